@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, language_id, simhash, substring_dedup, warc
+from . import bpe, decontamination, language_id, lm_scoring, simhash, substring_dedup, topk_search, toxicity, warc
 
 QUERIES = {
     "op1_bpe_encoding": bpe.query,
@@ -10,10 +10,14 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.query,
     "op5_language_id": language_id.query,
     "op6_simhash_near_dedup": simhash.query,
+    "op7_topk_search": topk_search.query,
+    "op8_lm_scoring": lm_scoring.query,
     "op9_warc": warc.query,
+    "op10_toxicity": toxicity.query,
 }
 ORACLE_SQL = {
     "op2_benchmark_decontamination": decontamination.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
+    "op7_topk_search": topk_search.SQL,
     "op9_warc": warc.SQL,
 }
