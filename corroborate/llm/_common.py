@@ -83,7 +83,7 @@ def plan_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[int, i
     row = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = row["b"] or 0
-    chunks = max(1, math.ceil(total / chunk_bytes), min(2 * parts, math.ceil(total / (64 << 10))))
+    chunks = max(1, math.ceil(total / chunk_bytes), min(parts, math.ceil(total / (1 << 20))))
     return chunks, max(1, min(parts, chunks), chunks // 8)
 
 
@@ -146,14 +146,21 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 _BASE = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i in 0..n."""
-    base = _BASE[which]
-    inv = pow(base, -1, 1 << 64)
-    up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, inv, np.uint64)
-    up[0] = down[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """base**i and base**-i modulo 2**64 for i in 0..n, kept for the next call."""
+    have = _POWERS.get(which)
+    if have is None or len(have[0]) <= n:
+        base = _BASE[which]
+        up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        with np.errstate(over="ignore"):
+            have = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        if n <= 2 * CHUNK_BYTES:
+            _POWERS[which] = have
+    return have[0][: n + 1], have[1][: n + 1]
 
 
 def slice_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:

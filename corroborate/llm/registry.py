@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, language_id, lm_scoring, simhash, substring_dedup, topk_search, toxicity, warc
+from . import bpe, decontamination, language_id, lm_scoring, simhash, substring_dedup, suffix_dedup, topk_search, toxicity, warc
 
 QUERIES = {
     "op1_bpe_encoding": bpe.query,
     "op2_benchmark_decontamination": decontamination.query,
     "op3_substring_dedup": substring_dedup.query,
+    "op4_suffix_array_dedup": suffix_dedup.query,
     "op5_language_id": language_id.query,
     "op6_simhash_near_dedup": simhash.query,
     "op7_topk_search": topk_search.query,

@@ -25,6 +25,7 @@ replaced by it.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -41,9 +42,9 @@ from . import _common as C
 WORDS, DISTANCE, SEED, BUCKET_ROWS, FAN = 4, 4, 42, 4096, 8
 
 
-def fingerprints(column, words: int = WORDS) -> np.ndarray:
-    """64-bit SimHash of each text's word shingles, repeats included."""
-    out = np.zeros(len(column), np.uint64)
+def fingerprints(column, words: int = WORDS, width: int = 1) -> np.ndarray:
+    """SimHash of each text's word shingles, repeats included: ``width`` words of 64 bits, the first from XXH64 itself."""
+    out = np.zeros((len(column), width), np.uint64)
     hashes: list[int] = []
     counts = np.zeros(len(column), np.int64)
     digest = xxhash.xxh64_intdigest
@@ -63,13 +64,24 @@ def fingerprints(column, words: int = WORDS) -> np.ndarray:
         counts[r] = len(own) - words + 1
     if not hashes:
         return out
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     rows = np.flatnonzero(counts)
-    ones = np.add.reduceat(bits, (np.cumsum(counts) - counts)[rows], axis=0, dtype=np.int32)
-    out[rows] = np.packbits(2 * ones > counts[rows, None], axis=1, bitorder="little").view("<u8").ravel()
+    h = np.array(hashes, np.uint64)
+    for w in range(width):
+        ones = _count_bits(h if w == 0 else C.mix(h, w), counts[rows])
+        out[rows, w] = np.packbits(2 * ones > counts[rows, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
+def _count_bits(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each group of consecutive values, how many have each bit; eight one-byte counters to a word, 255 rows at most."""
+    begin = np.cumsum(counts) - counts
+    pieces = -(-counts // 255)
+    at = np.repeat(begin, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    lanes = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+    part = np.add.reduceat(lanes, at, axis=0).view(np.uint8).astype(np.int32)
+    return np.add.reduceat(part, np.cumsum(pieces) - pieces, axis=0)
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Position of each code in the reflected Gray sequence."""
     for shift in (1, 2, 4, 8, 16, 32):
@@ -81,8 +93,9 @@ class GrayIndex:
     """Nodes over fingerprints in Gray order; each level groups FAN nodes of the one below."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
-        self.mask = [np.full(len(codes), (1 << 64) - 1, np.uint64)]
+        self.order = np.lexsort(gray_rank(codes).T[::-1])
+        self.codes = codes[self.order]
+        self.mask = [np.full(codes.shape, (1 << 64) - 1, np.uint64)]
         self.value = [self.codes]
         while len(self.value[-1]) > FAN:
             at = np.arange(0, len(self.value[-1]), FAN)
@@ -95,7 +108,7 @@ class GrayIndex:
         """For each fingerprint the first one of its component."""
         n = len(self.codes)
         label = np.arange(n)
-        near = np.flatnonzero(np.bitwise_count(self.codes[1:] ^ self.codes[:-1]) <= distance)
+        near = np.flatnonzero(_differing(self.codes[1:] ^ self.codes[:-1]) <= distance)
         label = _union(label, near, near + 1)
         top = len(self.value) - 1
         k = len(self.value[top])
@@ -108,7 +121,7 @@ class GrayIndex:
                 stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
                 continue
             shared = self.mask[level][a] & self.mask[level][b]
-            keep = np.bitwise_count(shared & (self.value[level][a] ^ self.value[level][b])) <= distance
+            keep = _differing(shared & (self.value[level][a] ^ self.value[level][b])) <= distance
             a, b = a[keep], b[keep]
             span = FAN**level
             low, high = self._ends(label, level, span)
@@ -137,6 +150,10 @@ class GrayIndex:
         return np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
 
 
+def _differing(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=-1, dtype=np.int32)
+
+
 def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Merge the components of a[i] and b[i]; a label is the least place of its component."""
     while True:
@@ -161,61 +178,78 @@ def block_choices(n: int, distance: int, target: int = 512) -> tuple[list[int],
     return masks, list(combinations(range(m), m - distance))
 
 
-def _deal(masks: list[int], choices: list[tuple[int, ...]]):
-    """(choice, bits there, fingerprint) for every choice of blocks."""
-    keep = [sum(masks[k] for k in c) for c in choices]
+def _deal(keep: np.ndarray):
+    """A row per mask in ``keep`` (masks x words): its number, a hash of the bits there, node and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.asarray(batch.column(0)).astype(np.int64)
+            node, *words = (np.asarray(c).astype(np.int64) for c in batch.columns)
+            codes = np.stack([w.view(np.uint64) for w in words], axis=1)
             for c, mask in enumerate(keep):
-                bits = codes.view(np.uint64) & np.uint64(mask)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), c, np.int32)), pa.array(bits.view(np.int64)), pa.array(codes)], ["c", "bits", "fp"])
+                bits = codes & mask
+                key = bits[:, 0] if len(words) == 1 else C.mix(bits[:, 0]) ^ C.mix(bits[:, 1], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), c, np.int32)), pa.array(key.view(np.int64)), *batch.columns], ["c", "bits", *batch.schema.names])
 
     return run
 
 
-def _link(distance: int):
+def _link(distance: int, words: list[str]):
     def run(key, table):
-        c, bits, x, y, fp = (np.asarray(table.column(n)).astype(np.int64) for n in ("c", "bits", "x", "y", "fp"))
-        order = np.lexsort((fp, y, x, bits, c))
-        c, bits, x, y, fp = c[order], bits[order], x[order], y[order], fp[order]
-        new = np.ones(len(fp) + 1, bool)
+        c, bits, x, y, node = (np.asarray(table.column(n)).astype(np.int64) for n in ("c", "bits", "x", "y", "node"))
+        codes = np.stack([np.asarray(table.column(n)).astype(np.int64).view(np.uint64) for n in words], axis=1)
+        order = np.lexsort((node, y, x, bits, c))
+        c, bits, x, y, node, codes = c[order], bits[order], x[order], y[order], node[order], codes[order]
+        new = np.ones(len(node) + 1, bool)
         new[1:-1] = (c[1:] != c[:-1]) | (bits[1:] != bits[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        at, codes = np.flatnonzero(new), fp.view(np.uint64)
-        u, v = [], []
-        for s, e in zip(at[:-1], at[1:]):
-            if e - s == 2:
-                if np.bitwise_count(codes[s] ^ codes[s + 1]) <= distance:
-                    u.append(fp[s : s + 1])
-                    v.append(fp[s + 1 : e])
-            elif e - s > 2:
-                index = GrayIndex(np.unique(fp[s:e]).view(np.uint64))
-                label = index.components(distance)
-                own = np.flatnonzero(label != np.arange(len(label)))
-                u.append(index.codes[label[own]].view(np.int64))
-                v.append(index.codes[own].view(np.int64))
-        u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (u, v))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        at = np.flatnonzero(new)
+        size = np.diff(at)
+        pair = at[:-1][size == 2]
+        pair = pair[_differing(codes[pair] ^ codes[pair + 1]) <= distance]
+        u, v = [node[pair]], [node[pair + 1]]
+        for s, e in zip(at[:-1][size > 2], at[1:][size > 2], strict=True):
+            index = GrayIndex(codes[s:e])
+            label = index.components(distance)
+            own = np.flatnonzero(label != np.arange(len(label)))
+            u.append(node[s:e][index.order[label[own]]])
+            v.append(node[s:e][index.order[own]])
+        return pa.table({"u": pa.array(np.concatenate(u), pa.int64()), "v": pa.array(np.concatenate(v), pa.int64())})
 
     return run
 
 
-def links(codes: DataFrame, n: int, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links u, v between the distinct fingerprints in column fp that span every component."""
+def links(codes: DataFrame, keep: np.ndarray, n: int, distance: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Links u, v between nodes (columns node and one per word) that span the components of every bucket."""
     parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    masks, choices = block_choices(n, distance)
-    groups = max(2 * parts, n * len(choices) // 20_000)
-    dealt = codes.mapInArrow(_deal(masks, choices), "c int, bits long, fp long")
+    words = codes.columns[1:]
+    groups = max(2 * parts, n * len(keep) // 20_000)
+    kinds = ", ".join(f"{w} long" for w in codes.columns)
+    dealt = codes.mapInArrow(_deal(keep), f"c int, bits long, {kinds}")
     hot = dealt.groupBy("c", "bits").agg(F.count("*").alias("rows")).where(F.col("rows") > bucket_rows)
     blocks = F.ceil(F.col("rows") / F.lit(bucket_rows / 2)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = dealt.join(hot.select("c", "bits", blocks.alias("blocks")), ["c", "bits"], "left").withColumn("own", F.when(F.col("blocks").isNotNull(), own))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = dealt.withColumn("other", other)
     x, y = F.coalesce(F.least("own", "other"), F.lit(0)), F.coalesce(F.greatest("own", "other"), F.lit(0))
-    pairs = pairs.select("c", "bits", "fp", x.alias("x"), y.alias("y")).withColumn("g", F.pmod(F.xxhash64("c", "bits", "x", "y"), F.lit(groups)))
-    return pairs.groupBy("g").applyInArrow(_link(distance), "u long, v long")
+    pairs = pairs.select("c", "bits", "node", *words, x.alias("x"), y.alias("y")).withColumn("g", F.pmod(F.xxhash64("c", "bits", "x", "y"), F.lit(groups)))
+    return pairs.groupBy("g").applyInArrow(_link(distance, words), "u long, v long")
+
+
+def exact_masks(n: int, distance: int) -> np.ndarray:
+    """Masks of which two 64-bit fingerprints within ``distance`` bits always share one."""
+    masks, choices = block_choices(n, distance)
+    return np.array([[sum(masks[k] for k in c)] for c in choices], np.uint64)
+
+
+def band_masks(n: int, bands: int, width: int, seed: int = 7) -> np.ndarray:
+    """Random masks, of 16 bits each for up to 2**20 fingerprints and one more bit for each doubling."""
+    bits = 16 + max(0, math.ceil(math.log2(max(n, 1) / (1 << 20))))
+    rng = np.random.default_rng(seed)
+    out = np.zeros((bands, width), np.uint64)
+    for row in out:
+        for b in rng.choice(64 * width, bits, replace=False):
+            row[b // 64] |= np.uint64(1) << np.uint64(b % 64)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -246,7 +280,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.small_batches(batches, limit=2 << 20):
-            fp = pa.array(fingerprints(batch.column(batch.schema.get_field_index("text")), words).view(np.int64))
+            fp = pa.array(fingerprints(batch.column(batch.schema.get_field_index("text")), words)[:, 0].view(np.int64))
             yield pa.RecordBatch.from_arrays([fp if f.name == "_fp" else batch.column(f.name) for f in arrow], schema=arrow)
 
     coded = base.mapInArrow(run, schema)
@@ -257,7 +291,8 @@ def classify(coded: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Replace ``_fp`` by fingerprint and component_id."""
     marked = C.cut(coded)
     classes = C.cut(marked.groupBy("_fp").agg(F.min("doc_id").alias("low")))
-    found = components(links(classes.select(F.col("_fp").alias("fp")), classes.count(), distance))
+    n = classes.count()
+    found = components(links(classes.select(F.col("_fp").alias("node"), F.col("_fp").alias("word")), exact_masks(n, distance), n, distance))
     rooted = classes.join(found, classes["_fp"] == found["node"], "left").select("_fp", "low", F.coalesce("root", "_fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     of = rooted.select("_fp", "root").join(lowest, "root").select("_fp", "component_id")
@@ -265,6 +300,78 @@ def classify(coded: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp")
 
 
+BANDS, WIDE_DISTANCE = 64, 38
+
+
+def _signatures(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.small_batches(batches, limit=2 << 20):
+            texts = batch.column(1)
+            fp = fingerprints(texts, words, 2).view(np.int64)
+            same = [hashlib.sha256(b" ".join((t.as_py() or "").encode().lower().split())).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy())], ["doc_id", "same", "a", "b"])
+
+    return run
+
+
+def _shingles(text: str | None, words: int) -> set[bytes]:
+    own = (text or "").encode().lower().split()
+    return {b" ".join(own[k : k + words]) for k in range(max(1, len(own) - words + 1))} if own else set()
+
+
+def _similar(words: int):
+    """Jaccard similarity of each text to the text its group is measured against."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, set()
+        for batch in C.small_batches(batches):
+            out = []
+            for text, other in zip(batch.column(2), batch.column(4), strict=True):
+                if last is None or other.as_py() != last:
+                    last = other.as_py()
+                    held = _shingles(last, words)
+                own = _shingles(text.as_py(), words)
+                out.append(len(own & held) / max(1, len(own | held)) if own or held else 1.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.float64())], ["doc_id", "root", "text", "first", "similarity"])
+
+    return run
+
+
+def confirmed_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Columns of ``docs`` with ``kept``: false for a row that repeats a kept document.
+
+    Texts of equal words are one; of the others, those whose 128-bit fingerprints share
+    one of ``BANDS`` random masks and differ in at most ``WIDE_DISTANCE`` bits are linked
+    (two texts of Jaccard similarity 0.8 differ in about 20).  In each component the
+    smallest doc_id stays, every member whose shingles are at least ``similarity`` alike
+    to it goes, and the others are measured against the smallest of themselves, until
+    none is left.  Rows with a null doc_id are kept; rows sharing a doc_id share its fate."""
+    base = C.ids(docs)
+    marked = C.cut(base.where("doc_id is not null").mapInArrow(_signatures(words), "doc_id long, same binary, a long, b long"))
+    texts = C.cut(marked.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("a").alias("a"), F.first("b").alias("b")))
+    node = F.xxhash64("a", "b")
+    codes = texts.select(node.alias("node"), "a", "b").distinct()
+    n = texts.count()
+    found = components(links(codes, band_masks(n, BANDS, 2), n, WIDE_DISTANCE)).withColumnRenamed("node", "_node")
+    rooted = texts.select("doc_id", node.alias("node")).join(found, F.col("node") == F.col("_node"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    left = C.cut(base.join(rooted.join(several, "root"), "doc_id").select("doc_id", "root", "text"))
+    gone = marked.join(texts.select("same", F.col("doc_id").alias("first")), "same").where("doc_id > first").select("doc_id", "first")
+    dropped = []
+    while not left.isEmpty():
+        first = left.groupBy("root").agg(F.min("doc_id").alias("first"), F.min_by("text", "doc_id").alias("first_text"))
+        pairs = left.join(first, "root").where("doc_id > first").select("doc_id", "root", "text", "first", "first_text")
+        measured = C.cut(pairs.mapInArrow(_similar(words), "doc_id long, root long, text string, first long, similarity double"))
+        dropped.append(measured.where(F.col("similarity") >= similarity).select("doc_id"))
+        left = measured.where(F.col("similarity") < similarity).select("doc_id", "root", "text")
+    out = gone.select("doc_id")
+    for more in dropped:
+        out = out.unionByName(more)
+    out = out.distinct().withColumnRenamed("doc_id", "_gone")
+    joined = docs.select(*C.carried(docs, ["kept"])).join(out, F.col("doc_id").cast("long") == F.col("_gone"), "left")
+    return joined.withColumn("kept", F.col("_gone").isNull()).drop("_gone")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = C.ids(docs)
@@ -274,5 +381,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def _only_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.small_batches(batches, limit=2 << 20):
-        fp = pa.array(fingerprints(batch.column(1)).view(np.int64))
+        fp = pa.array(fingerprints(batch.column(1))[:, 0].view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "_fp"])
