@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -158,7 +158,7 @@ def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
         up[0] = down[0] = 1
         with np.errstate(over="ignore"):
             have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if n <= 2 * CHUNK_BYTES:
+        if n <= CHUNK_BYTES + (CHUNK_BYTES >> 2):
             _POWERS[which] = have
     return have[0][: n + 1], have[1][: n + 1]
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 2 << 20
 
 
 def byte_symbols() -> list[str]:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-ORDER, SUFFIX, SYMBOLS, MARK, CHUNK_BYTES = 5, 2, 257, 256, 6 << 20
+ORDER, SUFFIX, SYMBOLS, MARK, CHUNK_BYTES = 5, 2, 257, 256, 4 << 20
 _BITS = np.uint64(9)
 _WORD = np.dtype([("h", "<u8"), ("c", "<u4"), ("n", "<u4")])
 
