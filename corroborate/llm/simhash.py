@@ -33,7 +33,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -300,7 +300,7 @@ def classify(coded: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp")
 
 
-BANDS, WIDE_DISTANCE = 64, 38
+BANDS, WIDE_DISTANCE, LEADERS = 64, 34, 24
 
 
 def _signatures(words: int):
@@ -319,20 +319,37 @@ def _shingles(text: str | None, words: int) -> set[bytes]:
     return {b" ".join(own[k : k + words]) for k in range(max(1, len(own) - words + 1))} if own else set()
 
 
-def _similar(words: int):
-    """Jaccard similarity of each text to the text its group is measured against."""
+def _measure(words: int, similarity: float):
+    """Hold each text against its group's leaders, smallest doc_id first; a leader like a smaller one is none.
+
+    Answers 1 (stays), -1 (goes) or 0 (not like any leader, and none itself)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()
+        root, leaders = None, []
+
+        def alike(a: set, b: set) -> bool:
+            return not (a or b) or len(a & b) >= similarity * len(a | b)
+
         for batch in C.small_batches(batches):
             out = []
-            for text, other in zip(batch.column(2), batch.column(4), strict=True):
-                if last is None or other.as_py() != last:
-                    last = other.as_py()
-                    held = _shingles(last, words)
+            for doc, own_root, text, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), range(batch.num_rows), strict=True):
+                if own_root != root:
+                    root, leaders = own_root, []
+                    for x in batch.column(3)[row].as_py():
+                        own = _shingles(x["text"], words)
+                        if not any(alike(own, held) for _, held in leaders):
+                            leaders.append((x["doc_id"], own))
                 own = _shingles(text.as_py(), words)
-                out.append(len(own & held) / max(1, len(own | held)) if own or held else 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.float64())], ["doc_id", "root", "text", "first", "similarity"])
+                verdict = 0
+                for leader, held in leaders:
+                    if leader == doc:
+                        verdict = 1
+                    elif leader < doc and alike(own, held):
+                        verdict = -1
+                    if verdict:
+                        break
+                out.append(verdict)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int32())], ["doc_id", "root", "text", "verdict"])
 
     return run
 
@@ -343,9 +360,9 @@ def confirmed_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     Texts of equal words are one; of the others, those whose 128-bit fingerprints share
     one of ``BANDS`` random masks and differ in at most ``WIDE_DISTANCE`` bits are linked
     (two texts of Jaccard similarity 0.8 differ in about 20).  In each component the
-    smallest doc_id stays, every member whose shingles are at least ``similarity`` alike
-    to it goes, and the others are measured against the smallest of themselves, until
-    none is left.  Rows with a null doc_id are kept; rows sharing a doc_id share its fate."""
+    smallest doc_id stays and every member whose shingles are at least ``similarity`` alike
+    to it goes; of those not alike the smallest stays in turn, and so on, ``LEADERS`` of a
+    component in one round, in as many rounds as it takes.  Rows with a null doc_id are kept; rows sharing a doc_id share its fate."""
     base = C.ids(docs)
     marked = C.cut(base.where("doc_id is not null").mapInArrow(_signatures(words), "doc_id long, same binary, a long, b long"))
     texts = C.cut(marked.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("a").alias("a"), F.first("b").alias("b")))
@@ -358,12 +375,13 @@ def confirmed_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     left = C.cut(base.join(rooted.join(several, "root"), "doc_id").select("doc_id", "root", "text"))
     gone = marked.join(texts.select("same", F.col("doc_id").alias("first")), "same").where("doc_id > first").select("doc_id", "first")
     dropped = []
+    first = Window.partitionBy("root").orderBy("doc_id")
     while not left.isEmpty():
-        first = left.groupBy("root").agg(F.min("doc_id").alias("first"), F.min_by("text", "doc_id").alias("first_text"))
-        pairs = left.join(first, "root").where("doc_id > first").select("doc_id", "root", "text", "first", "first_text")
-        measured = C.cut(pairs.mapInArrow(_similar(words), "doc_id long, root long, text string, first long, similarity double"))
-        dropped.append(measured.where(F.col("similarity") >= similarity).select("doc_id"))
-        left = measured.where(F.col("similarity") < similarity).select("doc_id", "root", "text")
+        leaders = left.withColumn("k", F.row_number().over(first)).where(F.col("k") <= LEADERS)
+        leaders = leaders.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("leaders"))
+        measured = C.cut(left.join(leaders, "root").select("doc_id", "root", "text", "leaders").mapInArrow(_measure(words, similarity), "doc_id long, root long, text string, verdict int"))
+        dropped.append(measured.where("verdict = -1").select("doc_id"))
+        left = measured.where("verdict = 0").select("doc_id", "root", "text")
     out = gone.select("doc_id")
     for more in dropped:
         out = out.unionByName(more)
