@@ -1,16 +1,353 @@
-"""Queries over the driver's tables, one per operator, with the SQL that checks them."""
+"""Queries over the driver's tables, one or more per operator, each with the SQL that checks it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corroborate.functions import text as T
+from corroborate.operators import linkage as L
+from corroborate.operators import review as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, l_linenumber, count(*) AS n_rows, count(DISTINCT l_returnflag) AS k, min(l_returnflag) AS v,
+  count(DISTINCT l_linestatus) AS k2, min(l_linestatus) AS v2, arg_min(l_partkey, (l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS base_part
+  FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, n_rows, base_part, CASE WHEN k > 1 THEN 'REVIEW' ELSE v END AS returnflag,
+  CASE WHEN k2 > 1 THEN 'REVIEW' ELSE v2 END AS linestatus, k > 1 OR k2 > 1 AS conflict FROM g
+""")
+def merge_exact_duplicates(t) -> DataFrame:
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"), F.col("l_partkey").alias("base_part"), "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return L.merge_duplicates(rows, ["l_orderkey", "l_linenumber"], ["returnflag", "linestatus"], ["base_part"], ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+
+
+@query("""
+SELECT l_partkey, l_returnflag, count(*) AS n_rows, count(DISTINCT year(l_shipdate)) AS n_locations, count(DISTINCT l_suppkey) AS n_pages,
+  count(*) = count(DISTINCT l_suppkey) AS disjoint
+FROM lineitem GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT year(l_shipdate)) > 1
+""")
+def merge_disjoint_conflict(t) -> DataFrame:
+    rows = t("lineitem").select("l_partkey", "l_returnflag", F.year("l_shipdate").alias("y"), "l_suppkey")
+    return L.disjoint_groups(rows, ["l_partkey", "l_returnflag"], "y", "l_suppkey")
+
+
+@query("""
+WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)
+SELECT p_partkey, CASE WHEN len(w) = 1 THEN p_partkey::VARCHAR ELSE printf('%d-%02d', p_partkey, i) END AS id, i AS ordinal, w[i] AS word
+FROM (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS i FROM w)
+""")
+def explode_group_ids(t) -> DataFrame:
+    words = t("part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    out = words.select("p_partkey", F.size("w").alias("n"), F.posexplode("w").alias("p", "word")).withColumn("ordinal", (F.col("p") + 1).cast("long"))
+    one = F.col("p_partkey").cast("string")
+    return out.select("p_partkey", F.when(F.col("n") == 1, one).otherwise(F.format_string("%d-%02d", "p_partkey", "ordinal")).alias("id"), "ordinal", "word")
+
+
+@query("""
+WITH l AS (SELECT s_suppkey, s_suppkey || ', ' || (s_suppkey + 7) || ',' || (s_suppkey + 11) || '~' || (s_suppkey + 20) || 'm' AS x FROM supplier)
+SELECT s_suppkey, i AS ordinal, trim(string_split(x[:-2], ',')[i]) || 'm' AS location FROM (SELECT s_suppkey, x, unnest(range(1, 4)) AS i FROM l)
+""")
+def split_list_units(t) -> DataFrame:
+    k = F.col("s_suppkey")
+    joined = F.concat(k.cast("string"), F.lit(", "), (k + 7).cast("string"), F.lit(","), (k + 11).cast("string"), F.lit("~"), (k + 20).cast("string"), F.lit("m"))
+    return t("supplier").select("s_suppkey", F.posexplode(T.split_list(joined)).alias("p", "location")).select("s_suppkey", (F.col("p") + 1).cast("long").alias("ordinal"), "location")
+
+
+@query("""
+SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN strlen(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS user_bytes FROM conversations
+""")
+def carry_forward_label(t) -> DataFrame:
+    label = F.when(F.col("role") == "user", F.octet_length("text").cast("long"))
+    return R.carry_forward(t("conversations"), "conv_id", "turn", label, "user_bytes").select("conv_id", "turn", "user_bytes")
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]', '', 'g')) AS normal FROM documents")
+def normalize_text(t) -> DataFrame:
+    return t("documents").select("doc_id", F.md5(T.norm(F.col("text")).cast("binary")).alias("normal"))
+
+
+@query("SELECT c_custkey, c_custkey::VARCHAR || 'm' AS location, c_custkey BETWEEN 100 AND 600 AS in_range FROM customer")
+def normalize_location(t) -> DataFrame:
+    place = T.normalize_location(F.concat(F.lit("STA. "), F.col("c_custkey").cast("string"), F.lit(".0 m")))
+    return t("customer").select("c_custkey", place.alias("location"), T.within_range(place, F.lit("100~600m")).alias("in_range"))
+
+
+KEYWORDS, CLEAR, NOISE = ["Licensed", "password", "copyright", "mail"], ["password"], ["Licensed"]
+
+
+@query("""
+SELECT doc_id, CASE WHEN contains(text, 'Licensed') THEN 'Licensed' WHEN contains(text, 'password') THEN 'password' WHEN contains(text, 'copyright') THEN 'copyright' WHEN contains(text, 'mail') THEN 'mail' END AS keyword,
+  CASE WHEN contains(text, 'password') THEN 'true' WHEN contains(text, 'Licensed') THEN 'false' ELSE 'unknown' END AS related,
+  CASE WHEN source = 'src0' AND contains(text, 'src0') THEN 0.9 WHEN source LIKE '%src0%' THEN 0.7 WHEN contains(text, 'src0') THEN 0.55
+       WHEN source LIKE '%src1%' AND contains(text, 'src1') THEN 0.9 WHEN source LIKE '%src1%' THEN 0.7 WHEN contains(text, 'src1') THEN 0.55 ELSE 0.2 END::DOUBLE AS confidence
+FROM documents
+""")
+def keyword_rules(t) -> DataFrame:
+    x = F.col("text")
+    source = T.classify_source(F.col("source"), x, [("src0", "first"), ("src1", "second")])
+    return t("documents").select("doc_id", T.first_keyword(x, KEYWORDS).alias("keyword"), T.tri_state(x, CLEAR, NOISE).alias("related"), source["confidence"].cast("double").alias("confidence"))
+
+
+@query(r"""
+SELECT page_id, CASE WHEN regexp_matches(url, '/(en|de|fr|es)/') THEN regexp_extract(url, '/(en|de|fr|es)/') WHEN regexp_matches(url, '\d+') THEN regexp_extract(url, '\d+') END AS hit,
+  md5(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS stripped FROM pages
+""")
+def first_match_patterns(t) -> DataFrame:
+    return t("pages").select("page_id", T.first_pattern(F.col("url"), ["/(en|de|fr|es)/", r"\d+"]).alias("hit"), F.md5(T.strip_markup(F.col("html")).cast("binary")).alias("stripped"))
+
+
+def _scored(t) -> DataFrame:
+    c, s = t("customer").select("c_custkey", "c_acctbal", "c_nationkey"), t("supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
+    near, same, number = F.abs(F.col("c_acctbal") - F.col("s_acctbal")) <= 500, F.col("c_nationkey") == F.col("s_nationkey"), F.col("c_custkey") % 100 == F.col("s_suppkey") % 100
+    signals = {"number": (number, 30), "balance": (near, 20), "nation": (same, 15), "band": (F.col("c_custkey") % 5 == F.col("s_suppkey") % 5, 10)}
+    return L.link(c, s, F.col("c_nationkey") % 5 == F.col("s_nationkey") % 5, signals, (number | same) & ~near, 75)
+
+
+_SCORED = """
+SELECT * FROM (SELECT c_custkey, s_suppkey, (c_custkey % 100 = s_suppkey % 100)::INT * 30 + (abs(c_acctbal - s_acctbal) <= 500)::INT * 20
+    + (c_nationkey = s_nationkey)::INT * 15 + (c_custkey % 5 = s_suppkey % 5)::INT * 10 AS score,
+    (c_custkey % 100 = s_suppkey % 100 OR c_nationkey = s_nationkey) AND NOT abs(c_acctbal - s_acctbal) <= 500 AS conflict
+  FROM customer JOIN supplier ON c_nationkey % 5 = s_nationkey % 5) WHERE score > 0"""
+
+
+@query(f"""
+SELECT c_custkey, s_suppkey, score::INT AS score, conflict,
+  CASE WHEN score / 75 >= 0.9 AND NOT conflict THEN 'confirmed' WHEN score / 75 >= 0.7 OR conflict THEN 'review' ELSE 'unmatched' END AS status FROM ({_SCORED})
+""")
+def scored_link(t) -> DataFrame:
+    return _scored(t).select("c_custkey", "s_suppkey", "score", "conflict", "status")
+
+
+@query(f"SELECT * FROM (SELECT c_custkey, s_suppkey, score::INT AS score, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey)::INT AS rank FROM ({_SCORED})) WHERE rank <= 5")
+def top_k_candidates(t) -> DataFrame:
+    return L.top_k(_scored(t), ["c_custkey"], [F.desc("score"), F.asc("s_suppkey")], 5).select("c_custkey", "s_suppkey", "score", "rank")
+
+
+@query(f"""
+WITH s AS (SELECT c_custkey, bool_or(score / 75 >= 0.9 AND NOT conflict) AS sure, bool_or(conflict) AS bad, bool_or(score / 75 >= 0.7) AS maybe FROM ({_SCORED}) GROUP BY 1)
+SELECT c_custkey, CASE WHEN sure THEN 'confirmed' WHEN bad THEN 'conflict' WHEN maybe THEN 'review' ELSE 'none' END AS link_status FROM customer LEFT JOIN s USING (c_custkey)
+""")
+def link_status_rollup(t) -> DataFrame:
+    by = _scored(t).groupBy("c_custkey").agg(F.bool_or(F.col("status") == "confirmed").alias("sure"), F.bool_or("conflict").alias("bad"), F.bool_or(F.col("confidence") >= 0.7).alias("maybe"))
+    status = F.when(F.col("sure"), "confirmed").when(F.col("bad"), "conflict").when(F.col("maybe"), "review").otherwise("none")
+    return t("customer").select("c_custkey").join(by, "c_custkey", "left").select("c_custkey", status.alias("link_status"))
+
+
+@query("""
+WITH b AS (SELECT event_type, avg(value) - 5 AS lo, avg(value) + 5 AS hi FROM events GROUP BY 1)
+SELECT event_id FROM events JOIN b USING (event_type) WHERE value BETWEEN lo AND hi
+""")
+def range_contains(t) -> DataFrame:
+    e = t("events").select("event_id", "event_type", "value")
+    bands = e.groupBy("event_type").agg((F.avg("value") - 5).alias("lo"), (F.avg("value") + 5).alias("hi"))
+    return e.join(F.broadcast(bands), "event_type").where("value between lo and hi").select("event_id")
+
+
+@query("""
+WITH b AS (SELECT l_orderkey, l_suppkey, max((l_quantity, -l_linenumber, l_partkey)) AS m FROM lineitem GROUP BY ALL)
+SELECT o_orderkey, count(l_suppkey) AS n_documents, coalesce(count_if(m[1] >= 25), 0) AS n_supporting,
+  CASE WHEN count(l_suppkey) = 0 THEN 'unsupported' WHEN count_if(m[1] >= 25) > 0 THEN 'matched' ELSE 'missing' END AS result
+FROM orders LEFT JOIN b ON o_orderkey = l_orderkey GROUP BY o_orderkey
+""")
+def best_evidence_per_document(t) -> DataFrame:
+    best = t("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.max(F.struct("l_quantity", -F.col("l_linenumber"), "l_partkey")).alias("m"))
+    by = best.groupBy("l_orderkey").agg(F.count("*").alias("n_documents"), F.count_if(F.col("m.l_quantity") >= 25).alias("n_supporting"))
+    out = t("orders").select("o_orderkey").join(by, F.col("o_orderkey") == F.col("l_orderkey"), "left").fillna(0, ["n_documents", "n_supporting"])
+    return out.select("o_orderkey", "n_documents", "n_supporting", F.when(F.col("n_documents") == 0, "unsupported").when(F.col("n_supporting") > 0, "matched").otherwise("missing").alias("result"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL) AND o_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
+def unmatched_candidates(t) -> DataFrame:
+    return L.unmatched(t("orders").select("o_orderkey", "o_custkey"), [(t("lineitem"), "o_orderkey", "l_orderkey"), (t("events"), "o_custkey", "user_id")]).select("o_orderkey")
+
+
+def _matched(t) -> DataFrame:
+    rows = t("lineitem").select("l_partkey", "l_linenumber", "l_returnflag")
+    return L.one_to_one(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), ["l_partkey", "l_linenumber"], [])
+
+
+_MATCHED = """
+SELECT l_partkey, l_linenumber, count_if(l_returnflag = 'R') AS r, count_if(l_returnflag = 'A') AS a FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY ALL"""
+
+
+@query(f"SELECT l_partkey, l_linenumber, least(r, a) AS matched, r - least(r, a) AS missed, a - least(r, a) AS extra FROM ({_MATCHED})")
+def one_to_one_match(t) -> DataFrame:
+    return _matched(t)
+
+
+@query("""
+WITH c AS (SELECT count_if(quality = 1 AND toxic = 0) AS tp, count_if(quality <> 1 AND toxic = 0) AS fp, count_if(quality = 1 AND toxic <> 0) AS fn FROM labels)
+SELECT tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) AS f1 FROM c
+""")
+def detection_prf(t) -> DataFrame:
+    truth, found = F.col("quality") == 1, F.col("toxic") == 0
+    return L.precision_recall_f1(R.counts(t("labels"), {"tp": truth & found, "fp": ~truth & found, "fn": truth & ~found}))
+
+
+@query("""
+WITH j AS (SELECT o_orderstatus, o_orderpriority, l_linestatus, l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT 'status' AS field, avg((o_orderstatus = l_linestatus)::INT) AS accuracy, count(*) AS n FROM j
+UNION ALL SELECT 'flag', avg((o_orderstatus = l_returnflag)::INT), count(*) FROM j
+""")
+def field_accuracy(t) -> DataFrame:
+    j = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    hits = j.select((F.col("o_orderstatus") == F.col("l_linestatus")).cast("int").alias("status"), (F.col("o_orderstatus") == F.col("l_returnflag")).cast("int").alias("flag"))
+    return hits.unpivot([], ["status", "flag"], "field", "hit").groupBy("field").agg(F.avg("hit").alias("accuracy"), F.count("*").alias("n"))
+
+
+@query(f"SELECT category, sum(n)::BIGINT AS n FROM (SELECT 'missed' AS category, r - least(r, a) AS n FROM ({_MATCHED}) UNION ALL SELECT 'extra', a - least(r, a) FROM ({_MATCHED})) GROUP BY 1")
+def error_category_counts(t) -> DataFrame:
+    return _matched(t).unpivot([], ["missed", "extra"], "category", "n").groupBy("category").agg(F.sum("n").alias("n"))
+
+
+@query("""
+SELECT coalesce(o_orderstatus, 'all') AS status, coalesce(o_orderpriority, 'all') AS priority, count(*) AS n, round(avg(o_totalprice), 4) AS mean
+FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())
+""")
+def group_rollups(t) -> DataFrame:
+    sets = t("orders").groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority")
+    out = sets.agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    return out.select(F.coalesce("o_orderstatus", F.lit("all")).alias("status"), F.coalesce("o_orderpriority", F.lit("all")).alias("priority"), "n", "mean")
+
+
+@query("""
+WITH w AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
+SELECT user_id, value AS latest, p AS previous, value - p AS delta, value - p <= -0.1 AS warning FROM w WHERE k = 1 AND p IS NOT NULL
+""")
+def regression_compare(t) -> DataFrame:
+    return R.last_change(t("events"), "user_id", ["ts", "event_id"], "value")
+
+
+@query("""
+SELECT count_if(o_orderstatus = 'F') AS confirmed, count_if(o_orderstatus = 'P') AS review, count_if(o_totalprice < 1000) AS small,
+  concat_ws('; ', CASE WHEN count_if(o_orderstatus = 'P') > 0 THEN 'open rows' END, CASE WHEN count_if(o_totalprice < 0) > 0 THEN 'negative' END) AS reasons,
+  count_if(o_orderstatus = 'P') = 0 AND count_if(o_totalprice < 0) = 0 AS can_finalize FROM orders
+""")
+def review_counts_and_gate(t) -> DataFrame:
+    status = F.col("o_orderstatus")
+    counted = R.counts(t("orders"), {"confirmed": status == "F", "review": status == "P", "small": F.col("o_totalprice") < 1000, "negative": F.col("o_totalprice") < 0})
+    return R.gate(counted, {"review": "open rows", "negative": "negative"}).drop("negative")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'steel')")
+def search_rows(t) -> DataFrame:
+    return R.search(t("part"), ["p_name", "p_brand", "p_type"], " Steel ").select("p_partkey")
+
+
+@query("""SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY regexp_extract(c_name, '\\d+')::DOUBLE NULLS LAST, c_custkey)::INT AS place FROM customer""")
+def sort_by_embedded_number(t) -> DataFrame:
+    w = Window.partitionBy("c_nationkey").orderBy(F.asc_nulls_last(T.embedded_number(F.col("c_name"))), "c_custkey")
+    return t("customer").select("c_custkey", F.row_number().over(w).alias("place"))
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 10 <> 1),
+b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 10 <> 2)
+SELECT o_orderkey, 'added' AS type, NULL AS field, NULL AS "from", NULL AS "to" FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)
+UNION ALL SELECT o_orderkey, 'removed', NULL, NULL, NULL FROM a WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)
+UNION ALL SELECT o_orderkey, 'field_edited', 'status', a.s, b.s FROM a JOIN b USING (o_orderkey) WHERE a.s IS DISTINCT FROM b.s
+""")
+def snapshot_diff_events(t) -> DataFrame:
+    o = t("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    after = o.where(F.col("o_orderkey") % 10 != 2).withColumn("status", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("status")))
+    return R.snapshot_diff(o.where(F.col("o_orderkey") % 10 != 1), after, "o_orderkey", ["status", "priority"])
+
+
+@query("""
+WITH s AS (SELECT user_id, event_type, max((day(ts) > 15)::INT) AS m, min((day(ts) > 15)::INT) AS k FROM events GROUP BY ALL)
+SELECT user_id, event_type, CASE WHEN k = 1 THEN 'linked' ELSE 'unlinked' END AS change FROM s WHERE k = 1 OR m = 0
+""")
+def link_set_diff(t) -> DataFrame:
+    return R.set_changes(t("events"), "user_id", "event_type", F.dayofmonth("ts") > 15)
+
+
+@query("""SELECT event_type, count_if(value < 50) / count(*) AS value, count(*) AS sample, count(*) >= 5 AS sufficient FROM events GROUP BY 1""")
+def field_retention(t) -> DataFrame:
+    by = t("events").groupBy("event_type").agg(F.count_if(F.col("value") < 50).alias("kept"), F.count("*").alias("n"))
+    return by.select("event_type", *R.metric(F.col("kept"), F.col("n")))
+
+
+@query("""
+WITH r AS (SELECT event_type, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS k FROM events),
+c AS (SELECT event_type, count_if(k <= 50) AS recent, count_if(k > 50) AS previous FROM r WHERE k <= 100 GROUP BY 1)
+SELECT event_type, recent, previous, recent / 50 AS recent_rate, previous / 50 AS previous_rate,
+  CASE WHEN recent < previous THEN 'improved' WHEN recent > previous THEN 'worsened' ELSE 'unchanged' END AS direction FROM c
+""")
+def recent_trend(t) -> DataFrame:
+    return R.recent_trend(t("events"), "event_type", "ts", "event_id")
+
+
+@query("""
+SELECT o_orderstatus || '|' || o_orderpriority AS version, count_if(o_totalprice > 100000) / count(*) AS value, count(*) AS sample, count(*) >= 5 AS sufficient
+FROM orders GROUP BY 1 HAVING count_if(o_totalprice > 100000) / count(*) < 0.8 AND count(*) >= 5
+""")
+def version_improvement_candidates(t) -> DataFrame:
+    by = t("orders").groupBy(F.concat_ws("|", "o_orderstatus", "o_orderpriority").alias("version")).agg(F.count_if(F.col("o_totalprice") > 100000).alias("k"), F.count("*").alias("n"))
+    return by.select("version", *R.metric(F.col("k"), F.col("n"))).where("sufficient and value < 0.8")
+
+
+@query(r"""
+WITH l AS (SELECT DISTINCT doc_id AS o, trim(x) AS i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> ''),
+s AS (SELECT o, count(*) AS n FROM l GROUP BY 1)
+SELECT p.o AS a, q.o AS b, count(*) AS shared FROM l p JOIN l q ON p.i = q.i AND p.o < q.o JOIN s sp ON sp.o = p.o JOIN s sq ON sq.o = q.o
+GROUP BY p.o, q.o, sp.n, sq.n HAVING count(*) / least(sp.n, sq.n) >= 0.8
+""")
+def doc_overlap_duplicates(t) -> DataFrame:
+    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x")).select("doc_id", F.trim("x").alias("line")).where("line <> ''")
+    return L.overlap_pairs(lines, "doc_id", "line").select("a", "b", "shared")
+
+
+@query("""
+WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE >= (list_sum(list_transform(embedding, lambda y: y::DOUBLE)) / 64))::INT) AS b FROM embeddings WHERE len(embedding) = 64)
+SELECT p.vec_id AS a, q.vec_id AS b, list_sum(list_transform(list_zip(p.b, q.b), lambda z: (z[1] <> z[2])::INT))::INT AS distance
+FROM m p JOIN m q ON p.vec_id < q.vec_id AND p.vec_id % 5 = 0 AND list_sum(list_transform(list_zip(p.b, q.b), lambda z: (z[1] <> z[2])::INT)) < 20
+""")
+def hash_hamming_duplicates(t) -> DataFrame:
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    h = t("embeddings").where(F.size("embedding") == 64).select("vec_id", L.bits_at_least_mean(v).alias("h"))
+    a, b = h.where("vec_id % 5 = 0").select(F.col("vec_id").alias("a"), F.col("h").alias("x")), h.select(F.col("vec_id").alias("b"), F.col("h").alias("y"))
+    distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
+    return a.join(b, (F.col("a") < F.col("b")) & (distance < 20)).select("a", "b", distance.cast("int").alias("distance"))
+
+
+@query("""
+SELECT o_orderkey, l_linenumber, l_partkey, 'linked' AS kind FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+UNION ALL SELECT o_orderkey, NULL, NULL, 'unlinked' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+""")
+def report_rows(t) -> DataFrame:
+    orders, lines = t("orders").select("o_orderkey"), t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.select("o_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_orderkey").isNull(), "unlinked").otherwise("linked").alias("kind"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, i AS line, x[i] AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))
+SELECT doc_id, line, regexp_extract(s, '[0-9a-f]{16,}') AS found FROM l WHERE regexp_matches(s, '[0-9a-f]{16,}')
+""")
+def hardcode_scan(t) -> DataFrame:
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "s"))
+    return lines.where(F.col("s").rlike("[0-9a-f]{16,}")).select("doc_id", (F.col("p") + 1).cast("long").alias("line"), F.regexp_substr("s", F.lit("[0-9a-f]{16,}")).alias("found"))
+
 
-def order_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_window_counts(t) -> DataFrame:
+    by = t("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return by.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-QUERIES = {"a15_status_counts": order_status_counts}
-ORACLE_SQL = {"a15_status_counts": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"}
-FLAGSHIP = order_status_counts
+FLAGSHIP = QUERIES["merge_exact_duplicates"]
