@@ -16,7 +16,7 @@ from the table of grams of SUFFIX + 1 symbols, at most 257**3 entries, broadcast
 The counts cover the whole training corpus and grow with it.
 
 The base score is a smoothed unigram model over words; word counts travel the same way,
-keyed by 96-bit hashes.
+keyed by 80-bit hashes and the bucket.
 
 Defined results: a null or blank text has only the end token and the end mark; rows
 with a null id are training rows; repeated rows count as often as they occur and each
@@ -38,7 +38,7 @@ from . import _common as C
 
 ORDER, SUFFIX, SYMBOLS, MARK, CHUNK_BYTES = 5, 2, 257, 256, 4 << 20
 _BITS = np.uint64(9)
-_WORD = np.dtype([("h", "<u8"), ("c", "<u4"), ("n", "<u4")])
+_WORD = np.dtype([("h", "<u8"), ("c", "<u2")])
 
 
 def _grams(buf: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,8 +181,8 @@ def _ask(buckets: int):
             put("gram", b, packed(np.diff(gram, prepend=gram[:1])), packed(np.append(gram[:1], chunk.gram_count[pick].astype(np.uint64))))
         for b, pick in chunk.picks(chunk.word_bucket):
             rec = np.empty(len(pick), _WORD)
-            rec["h"], rec["c"], rec["n"] = chunk.word[pick], chunk.check[pick], chunk.word_count[pick]
-            put("word", b, rec.tobytes(), b"")
+            rec["h"], rec["c"] = chunk.word[pick], chunk.check[pick].astype(np.uint16)
+            put("word", b, rec.tobytes(), packed(chunk.word_count[pick]))
         level = _Level(_part(chunk.gram, SUFFIX + 1), chunk.gram_count.astype(np.int64))
         seen = level.count > 0
         put("short", 0, level.gram[seen].tobytes(), level.count[seen].tobytes())
@@ -216,17 +216,16 @@ def _answer(short):
         else:
             parts = C.blobs(table["keys"], _WORD)
             rec = np.concatenate(parts)
-            both = np.empty(len(rec), [("h", "<u8"), ("c", "<u4")])
-            both["h"], both["c"] = rec["h"], rec["c"]
+            n = np.concatenate([unpacked(x) for x in table["counts"]]).astype(np.int64)
             order = np.lexsort((rec["c"], rec["h"]))
-            s = both[order]
+            s = rec[order]
             new = np.ones(len(s), bool)
             new[1:] = s[1:] != s[:-1]
-            total = np.add.reduceat(rec["n"][order].astype(np.int64), np.flatnonzero(new))
+            total = np.add.reduceat(n[order], np.flatnonzero(new))
             value = np.empty(len(rec), np.int64)
             value[order] = total[np.cumsum(new) - 1]
         cuts = np.cumsum([len(p) for p in parts])[:-1]
-        found = [np.ascontiguousarray(v).tobytes() for v in np.split(value, cuts)]
+        found = [packed(v) if kind == "word" else np.ascontiguousarray(v).tobytes() for v in np.split(value, cuts)]
         facts = [0] * len(found), [0] * len(found)
         if kind == "word":
             facts[0][0], facts[1][0] = int(total.sum()), int((total > 0).sum())
@@ -247,11 +246,11 @@ def _finish(buckets: int, tokens: int, types: int, ends: int):
     def run(key, left, right):
         chunk = _Chunk(left, buckets)
         gram, word = np.zeros(len(chunk.gram)), np.zeros(len(chunk.word), np.int64)
-        got = {(k, b): x.as_py() for k, b, x in zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["found"], strict=True)}
+        got = {(k, b): x for k, b, x in zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["found"], strict=True)}
         for b, pick in chunk.picks(chunk.gram_bucket):
-            gram[pick] = np.frombuffer(got["gram", b], np.float32)
+            gram[pick] = np.frombuffer(got["gram", b].as_buffer(), np.float32)
         for b, pick in chunk.picks(chunk.word_bucket):
-            word[pick] = np.frombuffer(got["word", b], np.int64)
+            word[pick] = unpacked(got["word", b])
         bottom = tokens + 0.1 * (types + 1)
         known = np.concatenate([[0], np.cumsum(word[chunk.of_word] > 0)])
         a, b = chunk.word_first[:-1], chunk.word_first[1:]
@@ -292,8 +291,9 @@ def lm_scores(docs: DataFrame, train: Column) -> DataFrame:
     order = np.argsort(short["gram"].to_numpy(np.int64))
     table = short["gram"].to_numpy(np.int64)[order].astype(np.uint64), short["n"].to_numpy(np.int64)[order]
     ends = base.where("_train").count()
-    answered = C.cut(asked.where("kind in ('gram', 'word')").groupBy("kind", "bucket").applyInArrow(_answer(spark.sparkContext.broadcast(table)), _ANSWERED))
-    facts = answered.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
+    answer = _answer(spark.sparkContext.broadcast(table))
+    answered = asked.where("kind in ('gram', 'word')").groupBy("kind", "bucket").applyInArrow(answer, _ANSWERED)
+    facts = asked.where("kind = 'word'").groupBy("kind", "bucket").applyInArrow(answer, _ANSWERED).agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     tokens, types = (facts["n"] or 0) + ends, (facts["v"] or 0) + (ends > 0)
     return base.groupBy("_chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_finish(buckets, tokens, types, ends), _SCORED)
 
