@@ -82,15 +82,21 @@ def unmatched(rows: DataFrame, evidence: list[tuple[DataFrame, str, str]]) -> Da
     return rows
 
 
-def overlap_pairs(items: DataFrame, owner: str, item: str, least: float = 0.8, most_owners: int | None = None) -> DataFrame:
+def overlap_pairs(items: DataFrame, owner: str, item: str, least: float = 0.8) -> DataFrame:
     """Pairs of owners whose distinct items overlap by at least ``least`` of the smaller set.
 
-    Prefix filter: owners' items are ordered by rarity; a pair that reaches the overlap
-    shares one of the first size - ceil(least * size) + 1 items of the smaller owner."""
-    own = items.select(F.col(owner).alias("o"), F.col(item).alias("i")).where("i is not null").distinct()
+    Owners with the same items are one class: pairs run between the classes' smallest
+    owners, and each other member is paired with its own class's smallest owner alone, so a
+    group of copies costs its size.  Prefix filter: items are ordered by rarity; a pair that
+    reaches the overlap shares one of the first size - ceil(least * size) + 1 items of the
+    smaller owner."""
+    every = items.select(F.col(owner).alias("o"), F.col(item).alias("i")).where("i is not null").distinct()
+    digest = every.groupBy("o").agg(F.count("*").alias("size"), F.md5(F.array_join(F.sort_array(F.collect_list(F.md5(F.col("i").cast("binary")))), "").cast("binary")).alias("d"))
+    classes = digest.groupBy("d", "size").agg(F.min("o").alias("rep"))
+    member = digest.join(classes, ["d", "size"]).where("o <> rep").select(F.col("rep").alias("a"), F.col("o").alias("b"), "size", F.col("size").alias("shared"))
+    own = every.join(classes.select(F.col("rep").alias("o")), "o", "left_semi")
     counted = own.groupBy("i").agg(F.count("*").alias("df")).where("df > 1")
-    sized = own.groupBy("o").agg(F.count("*").alias("size"))
-    rare = own.join(counted, "i").join(sized, "o")
+    rare = own.join(counted, "i").join(classes.select(F.col("rep").alias("o"), "size"), "o")
     place = Window.partitionBy("o").orderBy("df", "i")
     prefix = rare.withColumn("at", F.row_number().over(place)).where(F.col("at") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1)
     a = prefix.select(F.col("o").alias("p"), "i", F.col("size").alias("p_size"))
@@ -98,7 +104,28 @@ def overlap_pairs(items: DataFrame, owner: str, item: str, least: float = 0.8, m
     near = a.join(b, "i").where((F.col("p") != F.col("q")) & (F.col("p_size") <= F.col("q_size")))
     near = near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.least("p_size", "q_size").alias("size")).distinct()
     shared = near.join(own.select(F.col("o").alias("a"), "i"), "a").join(own.select(F.col("o").alias("b"), "i"), ["b", "i"]).groupBy("a", "b", "size").agg(F.count("*").alias("shared"))
-    return shared.withColumn("overlap", F.col("shared") / F.col("size")).where(F.col("overlap") >= least)
+    pairs = shared.withColumn("overlap", F.col("shared") / F.col("size")).where(F.col("overlap") >= least)
+    return pairs.unionByName(member.withColumn("overlap", F.lit(1.0)))
+
+
+def hamming_pairs(hashes: DataFrame, key: str, value: str, most: int = 8) -> DataFrame:
+    """Pairs (a, b, distance) of 64-bit hashes that differ in at most ``most`` bits.
+
+    Equal hashes are one class: pairs run between the classes' smallest keys, each other
+    member meets its own class's smallest key alone at distance 0.  Of ``most + 2`` bands at
+    least two agree in every pair, so hashes meet on a pair of bands and not all with all."""
+    rows = hashes.select(F.col(key).alias("k"), F.col(value).alias("h")).where("h is not null")
+    classes = rows.groupBy("h").agg(F.min("k").alias("rep"))
+    member = rows.join(classes, "h").where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"), F.lit(0).alias("distance"))
+    n = most + 2
+    edges = [64 * i // n for i in range(n + 1)]
+    band = [F.shiftrightunsigned("h", edges[i]).bitwiseAND((1 << edges[i + 1] - edges[i]) - 1) for i in range(n)]
+    keys = [F.struct(F.lit(i * n + j).alias("n"), band[i].alias("x"), band[j].alias("y")) for i in range(n) for j in range(i + 1, n)]
+    met = classes.select("rep", "h", F.explode(F.array(*keys)).alias("at"))
+    other = met.select(F.col("rep").alias("rep2"), F.col("h").alias("h2"), "at")
+    distance = F.bit_count(F.col("h").bitwiseXOR(F.col("h2"))).cast("int")
+    near = met.join(other, "at").where((F.col("rep") < F.col("rep2")) & (distance <= most))
+    return near.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), distance.alias("distance")).distinct().unionByName(member)
 
 
 def bits_at_least_mean(values: Column, n: int = 64) -> Column:

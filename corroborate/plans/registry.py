@@ -256,16 +256,16 @@ def sort_by_embedded_number(t) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 10 <> 1),
-b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 10 <> 2)
+WITH a AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderpriority <> '1-URGENT'),
+b AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders WHERE o_orderpriority <> '2-HIGH')
 SELECT o_orderkey, 'added' AS type, NULL AS field, NULL AS "from", NULL AS "to" FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)
 UNION ALL SELECT o_orderkey, 'removed', NULL, NULL, NULL FROM a WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)
 UNION ALL SELECT o_orderkey, 'field_edited', 'status', a.s, b.s FROM a JOIN b USING (o_orderkey) WHERE a.s IS DISTINCT FROM b.s
 """)
 def snapshot_diff_events(t) -> DataFrame:
     o = t("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    after = o.where(F.col("o_orderkey") % 10 != 2).withColumn("status", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("status")))
-    return R.snapshot_diff(o.where(F.col("o_orderkey") % 10 != 1), after, "o_orderkey", ["status", "priority"])
+    after = o.where("priority <> '2-HIGH'").withColumn("status", F.when(F.col("status") == "P", "X").otherwise(F.col("status")))
+    return R.snapshot_diff(o.where("priority <> '1-URGENT'"), after, "o_orderkey", ["status", "priority"])
 
 
 @query("""
@@ -303,9 +303,11 @@ def version_improvement_candidates(t) -> DataFrame:
 
 @query(r"""
 WITH l AS (SELECT DISTINCT doc_id AS o, trim(x) AS i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> ''),
-s AS (SELECT o, count(*) AS n FROM l GROUP BY 1)
-SELECT p.o AS a, q.o AS b, count(*) AS shared FROM l p JOIN l q ON p.i = q.i AND p.o < q.o JOIN s sp ON sp.o = p.o JOIN s sq ON sq.o = q.o
-GROUP BY p.o, q.o, sp.n, sq.n HAVING count(*) / least(sp.n, sq.n) >= 0.8
+s AS (SELECT o, count(*) AS n, list(i ORDER BY i) AS items FROM l GROUP BY 1),
+c AS (SELECT o, n, min(o) OVER (PARTITION BY items) AS rep FROM s),
+r AS (SELECT l.o, i, n FROM l JOIN c ON c.o = l.o AND c.rep = c.o)
+SELECT p.o AS a, q.o AS b, count(*) AS shared FROM r p JOIN r q ON p.i = q.i AND p.o < q.o GROUP BY p.o, q.o, p.n, q.n HAVING count(*) / least(p.n, q.n) >= 0.8
+UNION ALL SELECT rep, o, n FROM c WHERE rep <> o
 """)
 def doc_overlap_duplicates(t) -> DataFrame:
     lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x")).select("doc_id", F.trim("x").alias("line")).where("line <> ''")
@@ -313,16 +315,16 @@ def doc_overlap_duplicates(t) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE >= (list_sum(list_transform(embedding, lambda y: y::DOUBLE)) / 64))::INT) AS b FROM embeddings WHERE len(embedding) = 64)
-SELECT p.vec_id AS a, q.vec_id AS b, list_sum(list_transform(list_zip(p.b, q.b), lambda z: (z[1] <> z[2])::INT))::INT AS distance
-FROM m p JOIN m q ON p.vec_id < q.vec_id AND p.vec_id % 5 = 0 AND list_sum(list_transform(list_zip(p.b, q.b), lambda z: (z[1] <> z[2])::INT)) < 20
+WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE >= (list_sum(list_transform(embedding, lambda y: y::DOUBLE)) / 64))::INT) AS b FROM embeddings WHERE len(embedding) = 64),
+c AS (SELECT vec_id, b, min(vec_id) OVER (PARTITION BY b) AS rep FROM m),
+r AS (SELECT * FROM c WHERE rep = vec_id)
+SELECT * FROM (SELECT p.vec_id AS a, q.vec_id AS b, list_sum(list_transform(list_zip(p.b, q.b), lambda z: (z[1] <> z[2])::INT))::INT AS distance FROM r p JOIN r q ON p.vec_id < q.vec_id) WHERE distance <= 8
+UNION ALL SELECT rep, vec_id, 0 FROM c WHERE rep <> vec_id
 """)
 def hash_hamming_duplicates(t) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     h = t("embeddings").where(F.size("embedding") == 64).select("vec_id", L.bits_at_least_mean(v).alias("h"))
-    a, b = h.where("vec_id % 5 = 0").select(F.col("vec_id").alias("a"), F.col("h").alias("x")), h.select(F.col("vec_id").alias("b"), F.col("h").alias("y"))
-    distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    return a.join(b, (F.col("a") < F.col("b")) & (distance < 20)).select("a", "b", distance.cast("int").alias("distance"))
+    return L.hamming_pairs(h, "vec_id", "h")
 
 
 @query("""
