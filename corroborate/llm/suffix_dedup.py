@@ -7,11 +7,13 @@ A stretch of consecutive windows with one minimiser is cut out as a piece and de
 the bucket of its minimiser, so all places of a repeated string meet in one bucket, and
 a chunk sends equal pieces once with their smallest doc_id.
 
-In a bucket the pieces of each chunk are a shard: its suffixes are sorted by themselves
-and give a Burrows-Wheeler transform.  The transforms are then merged without sorting
-the suffixes of all shards: an interleave of the shards is refined by one symbol per
-round, each round dealing the interleave by the symbols that the transforms show in the
-present order.  After k rounds the order is that of the first k symbols, and a boundary
+In a bucket equal pieces are one, of the smallest doc_id, and a piece whose minimiser no
+other piece of the bucket has is left out, as it shares no string. The pieces left form
+shards of about ``SHARD_BYTES``: the suffixes of each are sorted by themselves and give a
+Burrows-Wheeler transform.  The transforms are then merged without sorting the suffixes
+of all shards: an interleave of the shards is refined by one symbol per round, each round
+dealing the interleave by the symbols that the transforms show in the present order.
+After k rounds the order is that of the first k symbols, and a boundary
 that first shows in round k says that its neighbours share k - 1 symbols; after
 ``length`` rounds the blocks left are the intervals of suffixes with a common prefix of
 ``length``, and their smallest document owns the string.
@@ -37,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _common as C
 
-LENGTH, SEED_BYTES, RUN, CHUNK_BYTES = 50, 25, 26, 2 << 20
+LENGTH, SEED_BYTES, RUN, CHUNK_BYTES, SHARD_BYTES = 50, 25, 26, 2 << 20, 256 << 10
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -154,7 +156,7 @@ def _send(length: int, buckets: int):
 
 
 class Shard:
-    """Suffix order and Burrows-Wheeler transform of a chunk's pieces, each closed by symbol 0.
+    """Suffix order and Burrows-Wheeler transform of some pieces, each closed by symbol 0.
 
     The pieces are taken in their own order, so that equal suffixes stand in the order of
     their pieces and the transform's n-th occurrence of a symbol is the n-th suffix that
@@ -162,7 +164,7 @@ class Shard:
 
     def __init__(self, text: np.ndarray, span: np.ndarray):
         width = -(-(int(span.max()) + 1) // 8) * 8
-        rows = np.zeros((len(span), 2 * width), np.uint8)
+        rows = np.zeros((len(span), width + 8), np.uint8)
         ends = np.cumsum(span)
         piece = np.repeat(np.arange(len(span)), span)
         rows[piece, np.arange(ends[-1]) - (ends - span)[piece]] = text + np.uint8(1)  # UTF-8 has no byte 255
@@ -170,70 +172,120 @@ class Shard:
         rows, span = rows[self.perm], span[self.perm]
         self.piece = np.repeat(np.arange(len(span)), span + 1)
         self.place = np.arange(len(self.piece)) - np.repeat(np.cumsum(span + 1) - span - 1, span + 1)
+        at = self.piece * (width + 8) + self.place
         flat = rows.ravel()
-        at = self.piece * 2 * width + self.place
-        eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.append(flat, np.zeros(8, np.uint8)), 8)[: len(flat)]).view(">u8").ravel()
-        self.order = np.lexsort([eight[at + k].astype(np.uint64) for k in range(0, width, 8)][::-1])
+        self.order = self._order(np.lib.stride_tricks.sliding_window_view(flat, 8)[at].copy().view(">u8").ravel().astype(np.uint64), span[self.piece] - self.place, width)
         symbol = flat[at]
         before = np.where(self.place == 0, np.arange(len(at)) + span[self.piece], np.arange(len(at)) - 1)
         self.bwt = symbol[before[self.order]]
 
+    @staticmethod
+    def _order(key: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
+        """Suffixes by their text, equal ones by place. key: their first 8 symbols; left: symbols before the closing one."""
+        n, have = np.arange(len(key)), 8
+        while True:
+            order = np.argsort(key)
+            new = np.ones(len(key), np.uint64)
+            new[1:] = key[order[1:]] != key[order[:-1]]
+            rank = np.empty(len(key), np.uint64)
+            rank[order] = np.cumsum(new)
+            if have >= width:
+                return np.argsort((rank << np.uint64(32)) | n.astype(np.uint64))
+            after = np.where(left >= have, rank[np.minimum(n + have, len(n) - 1)], np.uint64(0))
+            key, have = (rank << np.uint64(32)) | after, have * 2
+
 
 def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Refine the interleave of the shards ``rounds`` times.
 
+    A round deals the interleave by the symbol in front of each suffix; the n-th of a shard
+    that gets a symbol is the n-th suffix of the shard that begins with it (``front``).
     Returns, in merged order, the entry of each suffix (shards end to end), its block of
     equal prefixes, and the common prefix with the one before it (``rounds`` if it goes on)."""
     flat = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.int32), [len(t) for t in transforms])
-    inter, block = shard, np.zeros(len(flat), np.int32)
+    front, at = np.empty(len(flat), np.int32), 0
+    for t in transforms:
+        front[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t))
+        at += len(t)
+    entry, block = np.arange(len(flat), dtype=np.int32), np.zeros(len(flat), np.int32)
     common = np.full(len(flat), rounds, np.int16)
+    new = np.ones(len(flat), bool)
     for k in range(rounds):
-        entry = np.empty(len(flat), np.int64)
-        entry[np.argsort(inter, kind="stable")] = np.arange(len(flat))  # the n-th of a shard is its transform's n-th
         symbol = flat[entry]
         order = np.argsort(symbol, kind="stable")
-        inter, symbol, block = inter[order], symbol[order], block[order]
-        new = np.ones(len(flat), bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        entry, symbol, block = front[entry[order]], symbol[order], block[order]
+        np.not_equal(symbol[1:], symbol[:-1], out=new[1:])
+        new[1:] |= block[1:] != block[:-1]
         block = np.cumsum(new, dtype=np.int32)
         common[new & (common == rounds)] = k
-    entry = np.empty(len(flat), np.int64)
-    entry[np.argsort(inter, kind="stable")] = np.arange(len(flat))
     return entry, block, common
 
 
+def _distinct(text: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first piece of each kind, kind of each piece) of pieces that stand end to end."""
+    ends = np.cumsum(span)
+    a, b = (C.slice_hashes(text, ends - span, ends, which) for which in (0, 1))
+    order = np.lexsort((b, a))
+    new = np.ones(len(span), bool)
+    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    kind = np.empty(len(span), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind
+
+
+def _repeated(text: np.ndarray, start: np.ndarray, windows: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """Which windows of distinct pieces, end to end, begin a string that a smaller owner has too."""
+    span = windows + length - 1
+    part = (np.cumsum(span) - span) // SHARD_BYTES
+    shards, owners, rooms, first = [], [], [], []
+    begin = np.cumsum(windows) - windows
+    for own in np.split(np.arange(len(span)), np.flatnonzero(np.diff(part)) + 1):
+        n, ends = span[own], np.cumsum(span[own])
+        s = Shard(text[np.repeat(start[own] - (ends - n), n) + np.arange(ends[-1])], n)
+        of = own[s.perm[s.piece[s.order]]]
+        shards.append(s.bwt)
+        owners.append(owner[of])
+        rooms.append(s.place[s.order] < windows[of])
+        first.append(begin[of] + s.place[s.order])
+    entry, block, _ = merge(shards, length)
+    owned, room, window = np.concatenate(owners), np.concatenate(rooms), np.concatenate(first)
+    inside = room[entry]
+    entry, block = entry[inside], block[inside]
+    head = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    least = np.repeat(np.minimum.reduceat(owned[entry], head), np.diff(np.append(head, len(block))))
+    flag = np.zeros(int(windows.sum()), bool)
+    flag[window[entry]] = least < owned[entry]
+    return flag
+
+
 def _intervals(length: int):
     """Which windows of each chunk's pieces begin a string that a smaller doc_id owns too."""
 
     def run(key, table):
-        shards, owners, sizes = [], [], []
-        for text, facts in zip(table["text"], table["facts"], strict=True):
-            raw = np.frombuffer(zstandard.decompress(text.as_buffer()), np.uint8)
-            windows, owner = np.frombuffer(zstandard.decompress(facts.as_buffer()), "<i8").reshape(2, -1)
-            shards.append(Shard(raw, windows + length - 1))
-            owners.append(owner)
-            sizes.append(windows)
-        entry, block, _ = merge([s.bwt for s in shards], length)
-        piece = np.concatenate([s.perm[s.piece[s.order]] for s in shards])
-        place = np.concatenate([s.place[s.order] for s in shards])
-        owner = np.concatenate([o[s.perm[s.piece[s.order]]] for s, o in zip(shards, owners, strict=True)])
-        room = np.concatenate([w[s.perm[s.piece[s.order]]] for s, w in zip(shards, sizes, strict=True)])
-        inside = (place < room)[entry]
-        entry, block = entry[inside], block[inside]
-        head = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        least = np.repeat(np.minimum.reduceat(owner[entry], head), np.diff(np.append(head, len(block))))
-        flag = np.zeros(len(piece), bool)
-        flag[entry] = least < owner[entry]
-        out, at = [], 0
-        for s, windows in zip(shards, sizes, strict=True):
-            own = slice(at, at + len(s.order))
-            bits = np.zeros(int(windows.sum()), bool)
-            first = np.cumsum(windows) - windows
-            ok = place[own] < room[own]
-            bits[first[piece[own][ok]] + place[own][ok]] = flag[own][ok]
-            out.append(np.packbits(bits).tobytes())
-            at += len(s.order)
+        text = np.frombuffer(b"".join(zstandard.decompress(x.as_buffer()) for x in table["text"]), np.uint8)
+        facts = [np.frombuffer(zstandard.decompress(x.as_buffer()), "<i8").reshape(2, -1) for x in table["facts"]]
+        windows, owner = np.concatenate(facts, axis=1)
+        span = windows + length - 1
+        start = np.cumsum(span) - span
+        # equal pieces of several chunks are one, of the smallest owner
+        first, kind = _distinct(text, span)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, kind, owner)
+        # only pieces with one minimiser can share a string
+        seeds = (start[first][:, None] + np.arange(length - SEED_BYTES + 1)).ravel()
+        low = C.slice_hashes(text, seeds, seeds + SEED_BYTES).reshape(len(first), -1).min(axis=1)
+        _, same, count = np.unique(low, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(count[same] > 1)
+        size = windows[first]
+        flag = np.zeros(int(size.sum()), bool)
+        begin = np.cumsum(size) - size
+        if len(some):
+            n = size[some]
+            flag[np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = _repeated(text, start[first[some]], n, least[some], length)
+        inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        bits = flag[np.repeat(begin[kind], windows) + inner] | np.repeat(owner > least[kind], windows)
+        cuts = np.cumsum([int(f[0].sum()) for f in facts])[:-1]
+        out = [np.packbits(x).tobytes() for x in np.split(bits, cuts)]
         return pa.table({"bucket": table["bucket"], "chunk": table["chunk"], "blob": pa.array(out, pa.binary())})
 
     return run
