@@ -174,6 +174,18 @@ def slice_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
         return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64), which)
 
 
+def every_slice_hash(buf: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+    """``slice_hashes`` of the ``width`` bytes from every position that has so many."""
+    n = len(buf) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = powers(len(buf), which)
+    with np.errstate(over="ignore"):
+        run = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=run[1:])
+        return mix((run[width:] - run[:-width]) * down[:n] + np.uint64(width), which)
+
+
 def word_spans(buf: np.ndarray, off: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row of each maximal run of non-separator bytes within a row."""
     n = len(buf)

@@ -60,14 +60,13 @@ class _Chunk:
         self.ids, ok = C.long_column(table, "doc_id")
         n = len(self.buf) - length + 1
         if n <= 0:
-            self.at, self.low = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            self.at, self.low, self.row = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         else:
-            starts = np.arange(len(self.buf) - SEED_BYTES + 1)
-            low = _sliding_min(C.slice_hashes(self.buf, starts, starts + SEED_BYTES), length - SEED_BYTES + 1)
-            row = np.searchsorted(self.off, np.arange(n), side="right") - 1
-            self.at = np.flatnonzero((np.arange(n) + length <= self.off[row + 1]) & ok[row])
+            low = _sliding_min(C.every_slice_hash(self.buf, SEED_BYTES), length - SEED_BYTES + 1)
+            windows = np.where(ok, np.maximum(0, np.diff(self.off) - length + 1), 0)
+            self.at = np.arange(windows.sum()) + np.repeat(self.off[:-1] - (np.cumsum(windows) - windows), windows)
             self.low = low[self.at]
-        self.row = np.searchsorted(self.off, self.at, side="right") - 1
+            self.row = np.repeat(np.arange(len(windows)), windows)
         # windows in a row with one minimiser are a run, of at most RUN windows
         new = np.ones(len(self.at), bool)
         new[1:] = (self.low[1:] != self.low[:-1]) | (self.at[1:] != self.at[:-1] + 1) | (self.row[1:] != self.row[:-1])
