@@ -36,9 +36,8 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-ORDER, SUFFIX, SYMBOLS, MARK, CHUNK_BYTES = 5, 2, 257, 256, 4 << 20
+ORDER, SUFFIX, SYMBOLS, MARK, CHUNK_BYTES = 5, 2, 257, 256, 8 << 20
 _BITS = np.uint64(9)
-_WORD = np.dtype([("h", "<u8"), ("c", "<u2")])
 
 
 def _grams(buf: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +179,8 @@ def _ask(buckets: int):
             gram = chunk.gram[pick]  # ascending
             put("gram", b, packed(np.diff(gram, prepend=gram[:1])), packed(np.append(gram[:1], chunk.gram_count[pick].astype(np.uint64))))
         for b, pick in chunk.picks(chunk.word_bucket):
-            rec = np.empty(len(pick), _WORD)
-            rec["h"], rec["c"] = chunk.word[pick], chunk.check[pick].astype(np.uint16)
-            put("word", b, rec.tobytes(), packed(chunk.word_count[pick]))
+            check = chunk.check[pick].astype(np.uint16).astype(np.uint64) << np.uint64(32)
+            put("word", b, packed(np.diff(chunk.word[pick], prepend=np.uint64(0))), packed(check | chunk.word_count[pick]))
         level = _Level(_part(chunk.gram, SUFFIX + 1), chunk.gram_count.astype(np.int64))
         seen = level.count > 0
         put("short", 0, level.gram[seen].tobytes(), level.count[seen].tobytes())
@@ -214,18 +212,17 @@ def _answer(short):
             distinct, inverse = np.unique(gram, return_inverse=True)
             value = _log_probabilities(distinct, levels)[inverse].astype(np.float32)
         else:
-            parts = C.blobs(table["keys"], _WORD)
-            rec = np.concatenate(parts)
-            n = np.concatenate([unpacked(x) for x in table["counts"]]).astype(np.int64)
-            order = np.lexsort((rec["c"], rec["h"]))
-            s = rec[order]
-            new = np.ones(len(s), bool)
-            new[1:] = s[1:] != s[:-1]
+            parts = [np.cumsum(unpacked(x), dtype=np.uint64) for x in table["keys"]]
+            facts = np.concatenate([unpacked(x) for x in table["counts"]])
+            word, check, n = np.concatenate(parts), facts >> np.uint64(32), (facts & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            order = np.lexsort((check, word))
+            new = np.ones(len(word), bool)
+            new[1:] = (word[order[1:]] != word[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
             total = np.add.reduceat(n[order], np.flatnonzero(new))
-            value = np.empty(len(rec), np.int64)
+            value = np.empty(len(word), np.int64)
             value[order] = total[np.cumsum(new) - 1]
         cuts = np.cumsum([len(p) for p in parts])[:-1]
-        found = [packed(v) if kind == "word" else np.ascontiguousarray(v).tobytes() for v in np.split(value, cuts)]
+        found = [packed(v) if kind == "word" else zstandard.compress(np.ascontiguousarray(v).tobytes(), 3) for v in np.split(value, cuts)]
         facts = [0] * len(found), [0] * len(found)
         if kind == "word":
             facts[0][0], facts[1][0] = int(total.sum()), int((total > 0).sum())
@@ -248,7 +245,7 @@ def _finish(buckets: int, tokens: int, types: int, ends: int):
         gram, word = np.zeros(len(chunk.gram)), np.zeros(len(chunk.word), np.int64)
         got = {(k, b): x for k, b, x in zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["found"], strict=True)}
         for b, pick in chunk.picks(chunk.gram_bucket):
-            gram[pick] = np.frombuffer(got["gram", b].as_buffer(), np.float32)
+            gram[pick] = np.frombuffer(zstandard.decompress(got["gram", b].as_buffer()), np.float32)
         for b, pick in chunk.picks(chunk.word_bucket):
             word[pick] = unpacked(got["word", b])
         bottom = tokens + 0.1 * (types + 1)
