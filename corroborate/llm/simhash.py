@@ -26,7 +26,6 @@ replaced by it.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -45,6 +44,35 @@ WORDS, DISTANCE, SEED, BUCKET_ROWS, FAN = 4, 4, 42, 4096, 8
 def fingerprints(column, words: int = WORDS, width: int = 1) -> np.ndarray:
     """SimHash of each text's word shingles, repeats included: ``width`` words of 64 bits, the first from XXH64 itself."""
     out = np.zeros((len(column), width), np.uint64)
+    h, counts = _shingle_hashes(column, words)
+    rows = np.flatnonzero(counts)
+    if len(rows):
+        out[rows] = _majorities(h, counts[rows], width)
+    return out
+
+
+def sketches(column, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``BANDS`` keys and a SimHash of 64 * ``WIDTH`` bits of each text's set of word shingles, zero for a blank text.
+
+    A key hashes ``ROWS`` MinHash values, so texts of Jaccard similarity s share a given one with chance s ** ``ROWS``."""
+    keys, codes = np.zeros((len(column), BANDS), np.uint64), np.zeros((len(column), WIDTH), np.uint64)
+    h, counts = _shingle_hashes(column, words, once=True)
+    rows = np.flatnonzero(counts)
+    if not len(rows):
+        return keys, codes
+    own = counts[rows]
+    codes[rows] = _majorities(h, own, WIDTH)
+    begin = np.cumsum(own) - own
+    for k in range(BANDS):
+        key = np.zeros(len(rows), np.uint64)
+        for r in range(ROWS):
+            key = C.mix(key ^ np.minimum.reduceat((h ^ _SALTS[k, r, 0]) * (_SALTS[k, r, 1] | np.uint64(1)), begin), k)
+        keys[rows, k] = key
+    return keys, codes
+
+
+def _shingle_hashes(column, words: int, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' shingles one after another, each distinct one once if ``once``, and their number per text."""
     hashes: list[int] = []
     counts = np.zeros(len(column), np.int64)
     digest = xxhash.xxh64_intdigest
@@ -60,15 +88,20 @@ def fingerprints(column, words: int = WORDS, width: int = 1) -> np.ndarray:
         at = [0]
         for w in own:
             at.append(at[-1] + len(w) + 1)
-        hashes += [digest(joined[s : e - 1], SEED) for s, e in zip(at, at[words:])]
-        counts[r] = len(own) - words + 1
-    if not hashes:
-        return out
-    rows = np.flatnonzero(counts)
-    h = np.array(hashes, np.uint64)
+        found = [digest(joined[s : e - 1], SEED) for s, e in zip(at, at[words:])]
+        if once:
+            found = list(set(found))
+        hashes += found
+        counts[r] = len(found)
+    return np.array(hashes, np.uint64), counts
+
+
+def _majorities(h: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
+    """For each group of consecutive values the bits that most of them have."""
+    out = np.zeros((len(counts), width), np.uint64)
     for w in range(width):
-        ones = _count_bits(h if w == 0 else C.mix(h, w), counts[rows])
-        out[rows, w] = np.packbits(2 * ones > counts[rows, None], axis=1, bitorder="little").view("<u8").ravel()
+        ones = _count_bits(h if w == 0 else C.mix(h, w), counts)
+        out[:, w] = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
@@ -179,7 +212,7 @@ def block_choices(n: int, distance: int, target: int = 512) -> tuple[list[int],
 
 
 def _deal(keep: np.ndarray):
-    """A row per mask in ``keep`` (masks x words): its number, a hash of the bits there, node and words."""
+    """A row per mask in ``keep`` (masks x 1): its number, the bits there, node and word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,8 +220,7 @@ def _deal(keep: np.ndarray):
             codes = np.stack([w.view(np.uint64) for w in words], axis=1)
             for c, mask in enumerate(keep):
                 bits = codes & mask
-                key = bits[:, 0] if len(words) == 1 else C.mix(bits[:, 0]) ^ C.mix(bits[:, 1], 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), c, np.int32)), pa.array(key.view(np.int64)), *batch.columns], ["c", "bits", *batch.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), c, np.int32)), pa.array(bits[:, 0].view(np.int64)), *batch.columns], ["c", "bits", *batch.schema.names])
 
     return run
 
@@ -219,11 +251,15 @@ def _link(distance: int, words: list[str]):
 
 def links(codes: DataFrame, keep: np.ndarray, n: int, distance: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links u, v between nodes (columns node and one per word) that span the components of every bucket."""
-    parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = codes.columns[1:]
-    groups = max(2 * parts, n * len(keep) // 20_000)
     kinds = ", ".join(f"{w} long" for w in codes.columns)
-    dealt = codes.mapInArrow(_deal(keep), f"c int, bits long, {kinds}")
+    return bucket_links(codes.mapInArrow(_deal(keep), f"c int, bits long, {kinds}"), n * len(keep), distance, bucket_rows)
+
+
+def bucket_links(dealt: DataFrame, rows: int, distance: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The same for about ``rows`` rows already dealt to buckets (c, bits)."""
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = dealt.columns[3:]
+    groups = max(2 * parts, rows // 20_000)
     hot = dealt.groupBy("c", "bits").agg(F.count("*").alias("rows")).where(F.col("rows") > bucket_rows)
     blocks = F.ceil(F.col("rows") / F.lit(bucket_rows / 2)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -241,17 +277,6 @@ def exact_masks(n: int, distance: int) -> np.ndarray:
     return np.array([[sum(masks[k] for k in c)] for c in choices], np.uint64)
 
 
-def band_masks(n: int, bands: int, width: int, seed: int = 7) -> np.ndarray:
-    """Random masks, of 16 bits each for up to 2**20 fingerprints and one more bit for each doubling."""
-    bits = 16 + max(0, math.ceil(math.log2(max(n, 1) / (1 << 20))))
-    rng = np.random.default_rng(seed)
-    out = np.zeros((bands, width), np.uint64)
-    for row in out:
-        for b in rng.choice(64 * width, bits, replace=False):
-            row[b // 64] |= np.uint64(1) << np.uint64(b % 64)
-    return out
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node reachable) for every node of an edge, by star contraction."""
     now = C.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -300,20 +325,34 @@ def classify(coded: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp")
 
 
-BANDS, WIDE_DISTANCE, LEADERS = 64, 34, 24
+#: Two texts of Jaccard similarity 0.8 share none of the keys with chance (1 - 0.8 ** ROWS) ** BANDS = 6e-7, however many texts there are.
+BANDS, ROWS, WIDTH, WIDE_DISTANCE, LEADERS = 20, 3, 4, 76, 24
+_SALTS = np.random.default_rng(7).integers(0, 1 << 64, (BANDS, ROWS, 2), np.uint64)
 
 
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.small_batches(batches, limit=2 << 20):
             texts = batch.column(1)
-            fp = fingerprints(texts, words, 2).view(np.int64)
+            sketch = np.concatenate(sketches(texts, words), axis=1)
             same = [hashlib.sha256(b" ".join((t.as_py() or "").encode().lower().split())).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy())], ["doc_id", "same", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())], ["doc_id", "same", "sketch"])
 
     return run
 
 
+def _deal_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per key of each sketch: its number, the key, node and the words of the SimHash."""
+    for batch in batches:
+        both = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, BANDS + WIDTH)
+        words = [pa.array(both[:, BANDS + w].copy()) for w in range(WIDTH)]
+        for k in range(BANDS):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), k, np.int32)), pa.array(both[:, k].copy()), batch.column(0), *words], ["c", "bits", "node", *_WORD_NAMES])
+
+
+_WORD_NAMES = [f"w{k}" for k in range(WIDTH)]
+
+
 def _shingles(text: str | None, words: int) -> set[bytes]:
     own = (text or "").encode().lower().split()
     return {b" ".join(own[k : k + words]) for k in range(max(1, len(own) - words + 1))} if own else set()
@@ -357,19 +396,20 @@ def _measure(words: int, similarity: float):
 def confirmed_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Columns of ``docs`` with ``kept``: false for a row that repeats a kept document.
 
-    Texts of equal words are one; of the others, those whose 128-bit fingerprints share
-    one of ``BANDS`` random masks and differ in at most ``WIDE_DISTANCE`` bits are linked
-    (two texts of Jaccard similarity 0.8 differ in about 20).  In each component the
+    Texts of equal words are one; of the others, those that share one of ``BANDS`` MinHash
+    keys and whose 256-bit SimHashes differ in at most ``WIDE_DISTANCE`` bits are linked
+    (two texts of Jaccard similarity 0.8 differ in about 39, in 48 if they are of four and
+    five shingles).  In each component the
     smallest doc_id stays and every member whose shingles are at least ``similarity`` alike
     to it goes; of those not alike the smallest stays in turn, and so on, ``LEADERS`` of a
     component in one round, in as many rounds as it takes.  Rows with a null doc_id are kept; rows sharing a doc_id share its fate."""
     base = C.ids(docs)
-    marked = C.cut(base.where("doc_id is not null").mapInArrow(_signatures(words), "doc_id long, same binary, a long, b long"))
-    texts = C.cut(marked.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("a").alias("a"), F.first("b").alias("b")))
-    node = F.xxhash64("a", "b")
-    codes = texts.select(node.alias("node"), "a", "b").distinct()
-    n = texts.count()
-    found = components(links(codes, band_masks(n, BANDS, 2), n, WIDE_DISTANCE)).withColumnRenamed("node", "_node")
+    marked = C.cut(base.where("doc_id is not null").mapInArrow(_signatures(words), "doc_id long, same binary, sketch binary"))
+    texts = C.cut(marked.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")))
+    node = F.xxhash64("same")
+    kinds = ", ".join(f"{w} long" for w in _WORD_NAMES)
+    dealt = texts.select(node.alias("node"), "sketch").mapInArrow(_deal_sketches, f"c int, bits long, node long, {kinds}")
+    found = components(bucket_links(dealt, texts.count() * BANDS, WIDE_DISTANCE)).withColumnRenamed("node", "_node")
     rooted = texts.select("doc_id", node.alias("node")).join(found, F.col("node") == F.col("_node"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
     left = C.cut(base.join(rooted.join(several, "root"), "doc_id").select("doc_id", "root", "text"))

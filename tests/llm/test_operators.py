@@ -222,6 +222,39 @@ def test_confirmed_groups(docs, empty):
     assert simhash.confirmed_groups(empty).count() == 0
 
 
+def pair_of_similarity(rng, shingles):
+    """Two texts of distinct words whose five-word shingles have a Jaccard similarity just above 0.8."""
+    first = [f"w{rng.getrandbits(40)}" for _ in range(shingles + 4)]
+    if shingles == 4:
+        return " ".join(first), " ".join([*first, "more"]), 0.8
+    second, own = first, simhash._shingles(" ".join(first), 5)
+    for _ in range(60):
+        changed = [*second]
+        changed[rng.randrange(len(changed))] = f"v{rng.getrandbits(40)}"
+        other = simhash._shingles(" ".join(changed), 5)
+        if len(own & other) >= 0.8 * len(own | other):
+            second = changed
+    other = simhash._shingles(" ".join(second), 5)
+    return " ".join(first), " ".join(second), len(own & other) / len(own | other)
+
+
+@pytest.mark.parametrize("shingles", [4, 9, 50, 200])
+def test_near_copies_of_similarity_08_are_candidates(shingles):
+    rng = random.Random(shingles)
+    pairs = [pair_of_similarity(rng, shingles) for _ in range(400)]
+    (x, a), (y, b) = (simhash.sketches(pa.array([p[k] for p in pairs]), 5) for k in (0, 1))
+    assert ((x == y).any(axis=1) & (np.bitwise_count(a ^ b).sum(axis=1) <= simhash.WIDE_DISTANCE)).all()
+
+
+@pytest.mark.parametrize("n", [60, 600])
+def test_no_near_copy_of_similarity_08_stays(spark, n):
+    rng = random.Random(n)
+    pairs = [pair_of_similarity(rng, (9, 50, 120)[k % 3]) for k in range(n)]
+    assert min(p[2] for p in pairs) >= 0.8 and sum(p[2] for p in pairs) < 0.83 * n
+    rows = spark.createDataFrame([(2 * k + h, p[h]) for k, p in enumerate(pairs) for h in (0, 1)], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.confirmed_groups(rows).where("kept").collect()} == {2 * k for k in range(n)}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(k, [float(x) for x in rng.normal(size=6).round(1)]) for k in range(400)]
