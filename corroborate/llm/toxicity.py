@@ -10,8 +10,8 @@ lattice has one path.
 
 Everything is learnt with Spark from a sample of about ``MAX_ROWS`` labelled training
 rows, chosen by a hash.  The character model counts trigrams of their words.  The
-scorer counts the documents of either label that hold a restored word or word prefix,
-near copies (by a MinHash of word pairs) once, and keeps features whose share of toxic documents departs from the overall
+scorer counts the distinct texts of either label that hold a restored word or word prefix
+(case and white space make no difference), and keeps features whose share of toxic documents departs from the overall
 share by a likelihood ratio beyond ``MIN_EVIDENCE``, that are ``MIN_PURITY`` toxic and that at least
 ``MIN_SHARE`` of toxic documents hold, which bounds the model.  A document's score
 is one minus the product of its features' remaining doubts.
@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -159,16 +158,6 @@ def _char_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least hash of each text's word pairs, which near copies mostly share."""
-    for batch in C.small_batches(batches):
-        out = []
-        for text in batch.column(1).to_pylist():
-            w = (text or "").lower().encode().split()
-            out.append(min((zlib.crc32(a + b" " + b) for a, b in zip(w, w[1:])), default=zlib.crc32(b" ".join(w))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["doc_id", "key"])
-
-
 def _feature_counts(chars, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(chars.value, wanted.value)
@@ -198,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> ToxicMo
     sample = C.cut(docs.join(chosen, "doc_id").select("doc_id", "text", "toxic"))
     grams = sample.select("text").mapInArrow(_char_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     chars = CharModel({r.gram: r.n for r in grams.toLocalIterator()})
-    one = sample.select("doc_id", "text").mapInArrow(_keys, "doc_id long, key long").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    known = sample.join(one, "doc_id", "left_semi").select("text", "toxic")
+    same = F.sha2(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")), 256)
+    known = C.cut(sample.groupBy("toxic", same.alias("same")).agg(F.min("text").alias("text")).select("text", "toxic"))
     n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
     if not clean or not toxic:

@@ -336,3 +336,13 @@ def test_toxicity(spark, docs, empty):
     assert {i: got[i]["predicted"] for i, _, _ in cases} == {i: want for i, _, want in cases}
     assert toxicity.score(empty, model).count() == 0
     assert {r["predicted"] for r in toxicity.score(docs, toxicity.fit(frame, marks.where("false"))).collect()} == {0}
+
+
+def test_toxicity_counts_every_distinct_labelled_text(spark):
+    rows = [(k, "aa bb " + " ".join(f"w{k}x{i}" for i in range(20)) + (" moron" if k % 4 == 0 else "")) for k in range(80)]
+    rows += [(k + 100, "Same  moron") for k in range(40)] + [(k + 200, "same moron") for k in range(3)]
+    marks = [(k, int(k % 4 == 0 or k >= 100)) for k, _ in rows if k < 200] + [(k, 0) for k in range(200, 203)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    share = 21 / 82  # 20 + 1 toxic texts, 60 + 1 clean ones
+    assert model.base == share / 4
+    assert model.doubt["moron"] == (1 + 0.3 * (1 - share)) / (1 + 21 + 0.3)
