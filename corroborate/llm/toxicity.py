@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -48,8 +48,8 @@ SWAP_COST, DROP_COST, KEEP_COST, REPEAT_COST = 1.2, 0.4, 0.0, 0.3
 SEPARATORS = set(" .-_*~'`​­")
 
 _WORD = re.compile(r"[^\W\d_]+")
-_APART = re.compile(r"(?<!\S)[^\W\d_](?:\s[^\W\d_]){3,}(?!\S)")  # letters set apart by spaces
-_MIXED = re.compile(r"[^\W_]+(?:[0-9@$!|+(€*#%.\-_~'`­​]+[^\W_]+)+|[@$(€*#%|+!0-9]+[^\W\d_]\w*")
+_APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€*#%])(?:\s(?:[^\W_]|[@$!|+(€*#%])){3,}(?!\S)")  # letters or look-alikes set apart by spaces
+_MIXED = re.compile(r"[\w@$!|+(€*#%.\-~'`­​]+")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 LONGEST = 64  # a longer stretch without white space hides no word: it is read as its plain words
 
@@ -79,11 +79,12 @@ class CharModel:
         return got
 
 
-def restore(stretch: str, model: CharModel) -> str:
-    """The cheapest reading of one suspicious stretch."""
-    paths: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    previous = ""
-    for ch in stretch.lower():
+def readings(stretch: str, model: CharModel, ends: Iterable[int]) -> list[str]:
+    """The cheapest reading of each of the stretch's beginnings that end at ``ends``."""
+    costs: dict[str, float] = {"^^": 0.0}
+    back: list[dict[str, tuple[str, str]]] = []  # by column: the state before and the letter read
+    previous, ends, found = "", set(ends), []
+    for at, ch in enumerate(stretch.lower(), 1):
         options: list[tuple[str, float]] = []
         if ch.isalpha():
             options.append((ch, KEEP_COST))
@@ -94,17 +95,43 @@ def restore(stretch: str, model: CharModel) -> str:
             options.append(("", REPEAT_COST))
         if not options:
             options.append(("", 4 * DROP_COST))
-        found: dict[str, tuple[float, str]] = {}
-        for state, (cost, text) in paths.items():
+        now: dict[str, float] = {}
+        came: dict[str, tuple[str, str]] = {}
+        for state, cost in costs.items():
             for out, extra in options:
                 if out:
-                    now, value, read = state[1] + out, cost + extra + model.cost(state + out), text + out
+                    into, value = state[1] + out, cost + extra + model.cost(state + out)
                 else:
-                    now, value, read = state, cost + extra, text
-                if now not in found or (value, read) < found[now]:
-                    found[now] = (value, read)
-        paths, previous = found, ch
-    return min((cost + model.cost(state + "$"), read) for state, (cost, read) in paths.items())[1]
+                    into, value = state, cost + extra
+                if into not in now or (value, (state, out)) < (now[into], came[into]):
+                    now[into], came[into] = value, (state, out)
+        costs, previous = now, ch
+        back.append(came)
+        if at in ends:
+            _, state = min((cost + model.cost(state + "$"), state) for state, cost in costs.items())
+            read = []
+            for came in reversed(back):
+                state, out = came[state]
+                read.append(out)
+            found.append("".join(reversed(read)))
+    return found
+
+
+def restore(stretch: str, model: CharModel) -> str:
+    """The cheapest reading of one suspicious stretch."""
+    return "".join(readings(stretch, model, [len(stretch.lower())]))
+
+
+def all_readings(stretch: str, model: CharModel) -> set[str]:
+    """Readings of the whole stretch and of what is left when characters at its ends are plain punctuation or digits."""
+    stretch = stretch.lower().strip("".join(SEPARATORS - set(LOOKALIKES)))
+    plain = [k for k, ch in enumerate(stretch) if ch.isalnum()]
+    letters = [k for k, ch in enumerate(stretch) if ch.isalpha()]
+    if not stretch:
+        return set()
+    begins = {k for k in range(plain[0] + 1) if k == 0 or stretch[k] != stretch[k - 1]} if plain else {0}
+    ends = {len(stretch), *(range(plain[-1] + 1, len(stretch)) if plain else ())} | ({letters[-1] + 1} if letters else set())
+    return {r for b in begins for r in readings(stretch[b:], model, [e - b for e in ends])}
 
 
 class Reader:
@@ -119,7 +146,12 @@ class Reader:
             if _THRICE.search(token.lower()):
                 words |= {restore(w, self.model) for w in list(words)}
             if not token.isalpha():
-                words |= {restore(m.group(), self.model) for m in _MIXED.finditer(token)}
+                for m in _MIXED.findall(token):
+                    if len(m) > 1 and not m.isalpha():
+                        words |= all_readings(m, self.model)
+        return self.of_words(words)
+
+    def of_words(self, words: set[str]) -> tuple[str, ...]:
         found = set(words)
         for n in PREFIXES:
             found.update([w[:n] + "*" for w in words if len(w) >= n])
@@ -139,7 +171,7 @@ class Reader:
                 found.update(got)
         for m in _APART.finditer(text):
             if m.end() - m.start() <= 2 * LONGEST:
-                found.update(self.of_token(restore(m.group(), self.model)))
+                found.update(self.of_words(all_readings(m.group(), self.model)))
         return found
 
 

@@ -346,3 +346,14 @@ def test_toxicity_counts_every_distinct_labelled_text(spark):
     share = 21 / 82  # 20 + 1 toxic texts, 60 + 1 clean ones
     assert model.base == share / 4
     assert model.doubt["moron"] == (1 + 0.3 * (1 - share)) / (1 + 21 + 0.3)
+
+
+def words_model(words):
+    return toxicity.CharModel(Counter(g for w in words for g in (f"^^{w}$"[k : k + 3] for k in range(len(w) + 1))))
+
+
+def test_toxicity_reads_look_alikes_at_every_place():
+    reader = toxicity.Reader(words_model(["moron", "stupid", "idiot", "bitch", "shit", "ass", "idea", "house", "river", "you", "are"] * 30))
+    cases = {"a$$": "ass", "idio7": "idiot", "1di07": "idiot", "bitc#": "bitch", "m 0 r 0 n": "moron", "s h i 7": "shit", "s t u p 1 d": "stupid", "$h!7": "shit", "(idio7)": "idiot", "a$$!": "ass", "5tup1d!!": "stupid", "$ h i 7 !": "shit", "bitc#.": "bitch"}
+    for text, want in cases.items():
+        assert want in reader.features(f"so {text} it is"), text
