@@ -51,7 +51,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€*#%])(?:\s(?:[^\W_]|[@$!|+(€*#%])){3,}(?!\S)")  # letters or look-alikes set apart by spaces
 _MIXED = re.compile(r"[\w@$!|+(€*#%.\-~'`­​]+")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
-LONGEST = 64  # a longer stretch without white space hides no word: it is read as its plain words
+_RUN = re.compile(r"(\S\s?)\1{8,}")  # repetitions beyond eight tell no readings apart
+PIECE, OVERLAP = 512, 128  # a longer stretch is decoded in pieces
 
 
 @dataclass
@@ -79,8 +80,8 @@ class CharModel:
         return got
 
 
-def readings(stretch: str, model: CharModel, ends: Iterable[int]) -> list[str]:
-    """The cheapest reading of each of the stretch's beginnings that end at ``ends``."""
+def readings(stretch: str, model: CharModel, ends: Iterable[int], several: bool = False) -> list[str]:
+    """The cheapest reading of each of the stretch's beginnings that end at ``ends``; of ``several`` words, if so, which separators set apart."""
     costs: dict[str, float] = {"^^": 0.0}
     back: list[dict[str, tuple[str, str]]] = []  # by column: the state before and the letter read
     previous, ends, found = "", set(ends), []
@@ -97,9 +98,12 @@ def readings(stretch: str, model: CharModel, ends: Iterable[int]) -> list[str]:
             options.append(("", 4 * DROP_COST))
         now: dict[str, float] = {}
         came: dict[str, tuple[str, str]] = {}
+        apart = several and ch in SEPARATORS
         for state, cost in costs.items():
-            for out, extra in options:
-                if out:
+            for out, extra in [*options, (" ", DROP_COST)] if apart and state != "^^" else options:
+                if out == " ":
+                    into, value = "^^", cost + extra + model.cost(state + "$")
+                elif out:
                     into, value = state[1] + out, cost + extra + model.cost(state + out)
                 else:
                     into, value = state, cost + extra
@@ -134,6 +138,21 @@ def all_readings(stretch: str, model: CharModel) -> set[str]:
     return {r for b in begins for r in readings(stretch[b:], model, [e - b for e in ends])}
 
 
+def hidden_words(stretch: str, model: CharModel) -> set[str]:
+    """Words of a stretch of any length, read as one word and, if it holds separators, as several.
+
+    Of pieces that overlap, a word cut by the edge of one is whole in its neighbour."""
+    stretch = _RUN.sub(lambda m: 8 * m.group(1), stretch.lower())
+    words = all_readings(stretch, model) if len(stretch) <= PIECE else set()
+    if words and sum(ch in SEPARATORS or ch.isspace() for ch in stretch) < 3:
+        return words
+    for at in range(0, max(1, len(stretch) - OVERLAP), PIECE - OVERLAP):
+        piece = stretch[at : at + PIECE]
+        found = readings(piece, model, [len(piece)], several=True)[0].split()
+        words.update(found[at > 0 : len(found) - (at + PIECE < len(stretch) and len(found) > 1)])
+    return words
+
+
 class Reader:
     """Features of texts; remembers what it found for each stretch without white space."""
 
@@ -142,13 +161,13 @@ class Reader:
 
     def of_token(self, token: str) -> tuple[str, ...]:
         words = set(_WORD.findall(token.lower()))
-        if len(token) <= LONGEST:
-            if _THRICE.search(token.lower()):
-                words |= {restore(w, self.model) for w in list(words)}
-            if not token.isalpha():
-                for m in _MIXED.findall(token):
-                    if len(m) > 1 and not m.isalpha():
-                        words |= all_readings(m, self.model)
+        if _THRICE.search(token.lower()):
+            for w in list(words):
+                words |= hidden_words(w, self.model)
+        if not token.isalpha():
+            for m in _MIXED.findall(token):
+                if len(m) > 1 and not m.isalpha():
+                    words |= hidden_words(m, self.model)
         return self.of_words(words)
 
     def of_words(self, words: set[str]) -> tuple[str, ...]:
@@ -170,8 +189,7 @@ class Reader:
             if got:
                 found.update(got)
         for m in _APART.finditer(text):
-            if m.end() - m.start() <= 2 * LONGEST:
-                found.update(self.of_words(all_readings(m.group(), self.model)))
+            found.update(self.of_words(hidden_words(m.group(), self.model)))
         return found
 
 

@@ -357,3 +357,18 @@ def test_toxicity_reads_look_alikes_at_every_place():
     cases = {"a$$": "ass", "idio7": "idiot", "1di07": "idiot", "bitc#": "bitch", "m 0 r 0 n": "moron", "s h i 7": "shit", "s t u p 1 d": "stupid", "$h!7": "shit", "(idio7)": "idiot", "a$$!": "ass", "5tup1d!!": "stupid", "$ h i 7 !": "shit", "bitc#.": "bitch"}
     for text, want in cases.items():
         assert want in reader.features(f"so {text} it is"), text
+
+
+def test_toxicity_decodes_stretches_of_any_length():
+    words = ["river", "house", "stone", "under", "green", "water", "table", "light"]
+    reader = toxicity.Reader(words_model([*words, "moron"] * 30))
+    rng = random.Random(6)
+    for n in (10, 15, 60, 400):
+        text = [rng.choice(words) for _ in range(n)]
+        for at in (0, n // 2, n - 1):
+            letters = "".join([*text[:at], "moron", *text[at + 1 :]])
+            for apart in " .-":
+                assert "moron" in reader.features(f"so {apart.join(letters)} it"), (n, at, apart)
+                assert "moron" in reader.features(f"so {apart.join(letters).replace('moron', 'm0ron').replace(apart.join('moron'), apart.join('m0r0n'))} it"), (n, at, apart)
+    for n in (100, 2_000, 200_000):
+        assert "moron" in reader.features("m" + "o" * n + "ron")
