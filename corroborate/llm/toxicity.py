@@ -27,8 +27,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,7 @@ LOOKALIKES = {
 }
 SWAP_COST, DROP_COST, KEEP_COST, REPEAT_COST = 1.2, 0.4, 0.0, 0.3
 SEPARATORS = set(" .-_*~'`​­")
+_PLAIN_ENDS = "".join(sorted(SEPARATORS - set(LOOKALIKES)))
 
 _WORD = re.compile(r"[^\W\d_]+")
 _APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€*#%])(?:\s(?:[^\W_]|[@$!|+(€*#%])){3,}(?!\S)")  # letters or look-alikes set apart by spaces
@@ -80,27 +82,32 @@ class CharModel:
         return got
 
 
+@lru_cache(maxsize=4096)
+def _options(ch: str, again: bool) -> tuple[tuple[str, float], ...]:
+    """What a character may stand for, each with its cost."""
+    options: list[tuple[str, float]] = []
+    if ch.isalpha():
+        options.append((ch, KEEP_COST))
+    options += [(c, SWAP_COST) for c in LOOKALIKES.get(ch, "")]
+    if ch in SEPARATORS or not (ch.isalnum() or options):
+        options.append(("", DROP_COST))
+    if again:
+        options.append(("", REPEAT_COST))
+    return tuple(options or [("", 4 * DROP_COST)])
+
+
 def readings(stretch: str, model: CharModel, ends: Iterable[int], several: bool = False) -> list[str]:
     """The cheapest reading of each of the stretch's beginnings that end at ``ends``; of ``several`` words, if so, which separators set apart."""
     costs: dict[str, float] = {"^^": 0.0}
     back: list[dict[str, tuple[str, str]]] = []  # by column: the state before and the letter read
     previous, ends, found = "", set(ends), []
     for at, ch in enumerate(stretch.lower(), 1):
-        options: list[tuple[str, float]] = []
-        if ch.isalpha():
-            options.append((ch, KEEP_COST))
-        options += [(c, SWAP_COST) for c in LOOKALIKES.get(ch, "")]
-        if ch in SEPARATORS or not (ch.isalnum() or options):
-            options.append(("", DROP_COST))
-        if ch == previous:
-            options.append(("", REPEAT_COST))
-        if not options:
-            options.append(("", 4 * DROP_COST))
+        options = _options(ch, ch == previous)
         now: dict[str, float] = {}
         came: dict[str, tuple[str, str]] = {}
         apart = several and ch in SEPARATORS
         for state, cost in costs.items():
-            for out, extra in [*options, (" ", DROP_COST)] if apart and state != "^^" else options:
+            for out, extra in (*options, (" ", DROP_COST)) if apart and state != "^^" else options:
                 if out == " ":
                     into, value = "^^", cost + extra + model.cost(state + "$")
                 elif out:
@@ -128,7 +135,7 @@ def restore(stretch: str, model: CharModel) -> str:
 
 def all_readings(stretch: str, model: CharModel) -> set[str]:
     """Readings of the whole stretch and of what is left when characters at its ends are plain punctuation or digits."""
-    stretch = stretch.lower().strip("".join(SEPARATORS - set(LOOKALIKES)))
+    stretch = stretch.lower().strip(_PLAIN_ENDS)
     plain = [k for k, ch in enumerate(stretch) if ch.isalnum()]
     letters = [k for k, ch in enumerate(stretch) if ch.isalpha()]
     if not stretch:
@@ -159,6 +166,14 @@ class Reader:
     def __init__(self, model: CharModel, wanted: set[str] | None = None):
         self.model, self.wanted, self.memo = model, wanted, {}
 
+    @classmethod
+    def shared(cls, model: CharModel, wanted: Collection[str] | None) -> Reader:
+        """The reader that earlier tasks of this worker made for the same broadcast values, with what it remembers."""
+        kept = vars(model).setdefault("readers", {})
+        if id(wanted) not in kept:
+            kept[id(wanted)] = cls(model, None if wanted is None else set(wanted)), wanted
+        return kept[id(wanted)][0]
+
     def of_token(self, token: str) -> tuple[str, ...]:
         words = set(_WORD.findall(token.lower()))
         if _THRICE.search(token.lower()):
@@ -166,15 +181,14 @@ class Reader:
                 words |= hidden_words(w, self.model)
         if not token.isalpha():
             for m in _MIXED.findall(token):
-                if len(m) > 1 and not m.isalpha():
+                # a word with plain punctuation at its ends is itself its one reading
+                if len(m) > 1 and not m.lower().strip(_PLAIN_ENDS).isalpha():
                     words |= hidden_words(m, self.model)
         return self.of_words(words)
 
     def of_words(self, words: set[str]) -> tuple[str, ...]:
-        found = set(words)
-        for n in PREFIXES:
-            found.update([w[:n] + "*" for w in words if len(w) >= n])
-        found.discard("")
+        found = {w for w in words if w}
+        found.update([w[:n] + "*" for w in found for n in PREFIXES if len(w) >= n])
         return tuple(found if self.wanted is None else found & self.wanted)
 
     def features(self, text: str | None) -> set[str]:
@@ -210,7 +224,7 @@ def _char_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _feature_counts(chars, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(chars.value, wanted.value)
+        reader = Reader.shared(chars.value, wanted.value)
         for batch in C.small_batches(batches):
             seen: dict[str, int] = {}
             for text in batch.column(0).to_pylist():
@@ -271,7 +285,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        reader = Reader(m.chars, set(m.doubt))
+        reader = Reader.shared(m.chars, m.doubt)
         for batch in C.small_batches(batches):
             out: dict[str, list] = {k: [] for k in made}
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
