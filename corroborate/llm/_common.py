@@ -21,6 +21,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,7 +165,55 @@ def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slice_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of each byte slice."""
+    """64-bit hash of each byte slice: eight bytes at a time through a mixing step, chained; ``which`` gives unrelated hashes."""
+    size = ends - starts
+    h = mix(size.astype(np.uint64), which)
+    at = np.flatnonzero((size > 0) & (size <= LONG_SLICE))
+    lanes = _lanes(buf)
+    done = 0
+    while len(at):
+        with np.errstate(over="ignore"):
+            h[at] = mix(h[at] ^ _lane(lanes, starts[at] + done, size[at] - done), which)
+        done += 8
+        at = at[size[at] > done]
+    for k in np.flatnonzero(size > LONG_SLICE):
+        h[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]].tobytes(), which)
+    return h
+
+
+LONG_SLICE = 512
+
+
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """Of each position the eight bytes from there on (zeros beyond the end)."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(8, np.uint8)]), 8)
+
+
+def _lane(lanes: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place as one number, those after the ``left``-th zero."""
+    return lanes[at].view("<u8").ravel() & _FIRST_BYTES[np.minimum(left, 8)]
+
+
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def equal_slices(a: np.ndarray, a_start: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether each slice of ``a`` has the bytes of its slice of ``b``."""
+    same = a_size == b_size
+    at = np.flatnonzero(same & (a_size > 0) & (a_size <= LONG_SLICE))
+    x, y, done = _lanes(a), _lanes(b), 0
+    while len(at):
+        left = a_size[at] - done
+        same[at] = _lane(x, a_start[at] + done, left) == _lane(y, b_start[at] + done, left)
+        done += 8
+        at = at[same[at] & (a_size[at] > done)]
+    for k in np.flatnonzero(same & (a_size > LONG_SLICE)):
+        same[k] = np.array_equal(a[a_start[k] : a_start[k] + a_size[k]], b[b_start[k] : b_start[k] + b_size[k]])
+    return same
+
+
+def piece_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hash of each of many overlapping slices of at most a few hundred bytes, from one running sum."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = powers(len(buf), which)
@@ -175,7 +224,7 @@ def slice_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
 
 
 def every_slice_hash(buf: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """``slice_hashes`` of the ``width`` bytes from every position that has so many."""
+    """``piece_hashes`` of the ``width`` bytes from every position that has so many."""
     n = len(buf) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)

@@ -318,7 +318,7 @@ class Tokenizer:
             end = max(row + 1, int(np.searchsorted(off, off[row] + GROUP_BYTES, side="right")) - 1)
             part, own = buf[off[row] : off[end]], off[row : end + 1] - off[row]
             starts, ends, which = C.word_spans(part, own, C.ASCII_SPACE)
-            _, first, inverse = np.unique(C.slice_hashes(part, starts, ends), return_index=True, return_inverse=True)
+            first, inverse = _distinct(part, starts, ends)
             tokens, at = self.distinct_tokens(part, starts[first], ends[first])
             n = np.diff(at)[inverse]
             total = np.concatenate([[0], np.cumsum(n)])
@@ -335,6 +335,17 @@ class Tokenizer:
         return "".join(map(self.decoder.push, ids.tolist())) + self.decoder.finish()
 
 
+def _distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind of slice, and the kind of each: by hash, then compared byte by byte."""
+    _, first, kind = np.unique(C.slice_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    if C.equal_slices(buf, starts, size, buf, starts[first][kind], size[first][kind]).all():
+        return first, kind
+    seen: dict[bytes, int] = {}
+    kind = np.array([seen.setdefault(buf[s:e].tobytes(), len(seen)) for s, e in zip(starts, ends, strict=True)], np.int64)
+    return np.unique(kind, return_index=True)[1], kind
+
+
 _LETTERS_DIGITS_REST = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Of a byte: letter 0, digit 1, other 2, and 3 for what only the pattern can judge (controls, ' and <, most non-ASCII).
 _CLASS = np.full(256, 3, np.uint8)

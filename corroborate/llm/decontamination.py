@@ -40,21 +40,26 @@ _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[0x30:0x3A] = _NOT_WORD[0x61:0x7B] = _NOT_WORD[0x80:] = False
 
 
-def _words(column) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all rows and, per row, where its words begin."""
-    buf, off = C.text_buffer(column)
-    buf = C.ASCII_LOWER[buf]
-    starts, ends, row = C.word_spans(buf, off, _NOT_WORD)
-    return C.slice_hashes(buf, starts, ends), np.searchsorted(row, np.arange(len(off)))
+class _Words:
+    """The words of all rows: hash, bytes, place and, per row, where its words begin."""
+
+    def __init__(self, column):
+        buf, off = C.text_buffer(column)
+        self.buf = C.ASCII_LOWER[buf]
+        self.start, ends, row = C.word_spans(self.buf, off, _NOT_WORD)
+        self.size = ends - self.start
+        self.hash, self.first = C.slice_hashes(self.buf, self.start, ends), np.searchsorted(row, np.arange(len(off)))
 
 
 class Windows:
     """The distinct windows of one block of items, as word-hash sequences by length."""
 
     def __init__(self, item_ids: list, texts: list[str], window: int):
-        words, first = _words(pa.array(texts, pa.string()))
-        seen: dict[bytes, int] = {}
+        self.words = _Words(pa.array(texts, pa.string()))
+        words, first = self.words.hash, self.words.first
+        seen: dict[bytes, list[int]] = {}
         self.seq: list[np.ndarray] = []
+        self.at: list[int] = []
         self.items: list[list[str]] = []
         for k, item in enumerate(item_ids):
             own = words[first[k] : first[k + 1]]
@@ -62,15 +67,22 @@ class Windows:
                 continue
             n = min(window, len(own))
             for i in range(len(own) - n + 1):
-                seq = own[i : i + n]
-                at = seen.setdefault(seq.tobytes(), len(self.seq))
+                seq, start = own[i : i + n], int(first[k]) + i
+                known = seen.setdefault(seq.tobytes(), [])
+                at = next((w for w in known if self._text(self.at[w], n) == self._text(start, n)), len(self.seq))
                 if at == len(self.seq):
+                    known.append(at)
                     self.seq.append(seq)
+                    self.at.append(start)
                     self.items.append([])
                 self.items[at].append(str(item))
         self.items = [sorted(set(x)) for x in self.items]
         self.prefix: dict[int, tuple] = {}
 
+    def _text(self, first: int, n: int) -> list[bytes]:
+        w = self.words
+        return [w.buf[s : s + z].tobytes() for s, z in zip(w.start[first : first + n], w.size[first : first + n], strict=True)]
+
     def shingles(self) -> dict[int, np.ndarray]:
         """Every shingle of the windows, by shingle length."""
         out: dict[int, list] = {}
@@ -92,8 +104,7 @@ class Windows:
             key = np.array([r[0] for r in rows], np.uint64)
             at = np.array([r[1:] for r in rows], np.int64)
             self.prefix[s] = (key, *at.T)
-        self.seq_at = np.concatenate([[0], np.cumsum([len(x) for x in self.seq])]).astype(np.int64)
-        self.flat = np.concatenate(self.seq) if self.seq else np.zeros(0, np.uint64)
+        self.first_word = np.array(self.at, np.int64)
 
 
 def _member(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -112,7 +123,8 @@ def _count_shingles(wanted):
         keys = wanted.value
         total = {s: np.zeros(len(k), np.int64) for s, k in keys.items()}
         for batch in C.small_batches(batches):
-            words, first = _words(batch.column(0))
+            own = _Words(batch.column(0))
+            words, first = own.hash, own.first
             for s, k in keys.items():
                 h = C.window_hash(words, None, s)
                 at = _member(h, k)
@@ -133,7 +145,8 @@ def _match(block, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         win: Windows = block.value
         for batch in C.small_batches(batches):
-            words, first = _words(batch.column(batch.schema.get_field_index("text")))
+            doc = _Words(batch.column(batch.schema.get_field_index("text")))
+            words, first = doc.hash, doc.first
             step = np.zeros(len(words) + 1, np.int32)
             found: dict[int, set] = {}
             for s, (key, window, offset, length) in win.prefix.items():
@@ -150,7 +163,8 @@ def _match(block, out: pa.Schema):
                 same = np.ones(len(start), bool)
                 for j in range(int(n.max()) if len(n) else 0):
                     k = np.flatnonzero(same & (j < n))
-                    same[k] = words[start[k] + j] == win.flat[win.seq_at[which[k]] + j]
+                    x, y = start[k] + j, win.first_word[which[k]] + j
+                    same[k] = C.equal_slices(doc.buf, doc.start[x], doc.size[x], win.words.buf, win.words.start[y], win.words.size[y])
                 row, start, n, which = row[same], start[same], n[same], which[same]
                 np.add.at(step, start, 1)
                 np.add.at(step, start + n, -1)

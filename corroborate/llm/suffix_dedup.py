@@ -98,7 +98,7 @@ class _Chunk:
         start, size = self.at[self.head[self.runs]], self.size[self.runs]
         kinds = np.empty(len(start), [("a", "<u8"), ("b", "<u8")])
         for which, name in enumerate("ab"):
-            kinds[name] = C.slice_hashes(self.buf, start, start + size + self.length - 1, which)
+            kinds[name] = C.piece_hashes(self.buf, start, start + size + self.length - 1, which)
         _, first, self.same = np.unique(kinds, return_index=True, return_inverse=True)
         self.owner = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(self.owner, self.same, self.doc[self.runs])
@@ -223,7 +223,7 @@ def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.nda
 def _distinct(text: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first piece of each kind, kind of each piece) of pieces that stand end to end."""
     ends = np.cumsum(span)
-    a, b = (C.slice_hashes(text, ends - span, ends, which) for which in (0, 1))
+    a, b = (C.piece_hashes(text, ends - span, ends, which) for which in (0, 1))
     order = np.lexsort((b, a))
     new = np.ones(len(span), bool)
     new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
@@ -272,7 +272,7 @@ def _intervals(length: int):
         np.minimum.at(least, kind, owner)
         # only pieces with one minimiser can share a string
         seeds = (start[first][:, None] + np.arange(length - SEED_BYTES + 1)).ravel()
-        low = C.slice_hashes(text, seeds, seeds + SEED_BYTES).reshape(len(first), -1).min(axis=1)
+        low = C.every_slice_hash(text, SEED_BYTES)[seeds].reshape(len(first), -1).min(axis=1)
         _, same, count = np.unique(low, return_inverse=True, return_counts=True)
         some = np.flatnonzero(count[same] > 1)
         size = windows[first]

@@ -372,3 +372,37 @@ def test_toxicity_decodes_stretches_of_any_length():
                 assert "moron" in reader.features(f"so {apart.join(letters).replace('moron', 'm0ron').replace(apart.join('moron'), apart.join('m0r0n'))} it"), (n, at, apart)
     for n in (100, 2_000, 200_000):
         assert "moron" in reader.features("m" + "o" * n + "ron")
+
+
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+A, B = thue_morse(1024), thue_morse(1024).translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_a_polynomial_hash_makes_equal_stay_apart(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(0, A + " " + B), (1, " ".join([A] * 13)), (2, " ".join([B] * 13)), (3, B + " x"), (4, A + " y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    tok = Tokenizer.from_file(bpe.default_vocabulary())
+    assert all(r["token_ids"] == tok.encode(r["text"], add_special_tokens=False).ids for r in bpe.bpe_encode(frame).collect())
+    assert {r["n_removed"] for r in substring_dedup.substring_dedup(frame).collect()} == {0}
+    bench = spark.createDataFrame([(7, A + " y"), (8, B)], "item_id long, text string")
+    assert {r["doc_id"]: r["items"] for r in decontamination.decontaminate(frame, bench).collect()} == {0: ["8"], 1: [], 2: ["8"], 3: ["8"], 4: ["7"]}
+    known = {r["doc_id"]: r["n_known"] for r in lm_scoring.lm_scores(frame, F.col("doc_id") == 4).collect()}
+    assert known == {0: 2, 1: 14, 2: 1, 3: 1, 4: 3}
+
+
+def test_hashes_of_slices_differ_and_bytes_decide():
+    from corroborate.llm import _common
+
+    raw = np.frombuffer((A + B + A + B).encode(), np.uint8)
+    for size in (1, 7, 8, 9, 511, 512, 513, 1024):
+        at = np.arange(0, len(raw) - size, 7)
+        texts = [raw[k : k + size].tobytes() for k in at]
+        h = [_common.slice_hashes(raw, at, at + size, w).tolist() for w in (0, 1)]
+        assert len(set(texts)) == len(set(h[0])) == len(set(h[1])) and len(set(zip(texts, h[0]))) == len(set(texts))
+        n = np.full(len(at) - 1, size)
+        assert _common.equal_slices(raw, at[1:], n, raw, at[:-1], n).tolist() == [a == b for a, b in zip(texts[1:], texts)]
