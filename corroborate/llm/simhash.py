@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -56,7 +56,7 @@ def sketches(column, words: int) -> tuple[np.ndarray, np.ndarray]:
 
     A key hashes ``ROWS`` MinHash values, so texts of Jaccard similarity s share a given one with chance s ** ``ROWS``."""
     keys, codes = np.zeros((len(column), BANDS), np.uint64), np.zeros((len(column), WIDTH), np.uint64)
-    h, counts = _shingle_hashes(column, words, once=True)
+    h, counts = shingle_sets(column, words)
     rows = np.flatnonzero(counts)
     if not len(rows):
         return keys, codes
@@ -71,8 +71,33 @@ def sketches(column, words: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, codes
 
 
-def _shingle_hashes(column, words: int, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' shingles one after another, each distinct one once if ``once``, and their number per text."""
+def shingle_sets(column, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, as hashes in ascending order one text after another, and their number per text.
+
+    A text of fewer words is one shingle; one without words has none."""
+    buf, off = C.text_buffer(column)
+    buf = C.ASCII_LOWER[buf]
+    starts, ends, row = C.word_spans(buf, off, C.ASCII_SPACE)
+    word, first = C.slice_hashes(buf, starts, ends), np.searchsorted(row, np.arange(len(off)))
+    n = np.diff(first)
+    at = np.arange(max(0, len(word) - words + 1))
+    at = at[row[at] == row[at + words - 1]] if len(at) else at
+    value, owner = [C.window_hash(word, at, words)], [row[at]]
+    for size in range(1, words):
+        few = np.flatnonzero(n == size)
+        if len(few):
+            value.append(C.window_hash(word, first[few], size))
+            owner.append(few)
+    value, owner = np.concatenate(value), np.concatenate(owner)
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    return value[new], np.bincount(owner[new], minlength=len(n))
+
+
+def _shingle_hashes(column, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all texts' shingles one after another, repeats included, and their number per text."""
     hashes: list[int] = []
     counts = np.zeros(len(column), np.int64)
     digest = xxhash.xxh64_intdigest
@@ -88,11 +113,8 @@ def _shingle_hashes(column, words: int, once: bool = False) -> tuple[np.ndarray,
         at = [0]
         for w in own:
             at.append(at[-1] + len(w) + 1)
-        found = [digest(joined[s : e - 1], SEED) for s, e in zip(at, at[words:])]
-        if once:
-            found = list(set(found))
-        hashes += found
-        counts[r] = len(found)
+        hashes += [digest(joined[s : e - 1], SEED) for s, e in zip(at, at[words:])]
+        counts[r] = len(own) - words + 1
     return np.array(hashes, np.uint64), counts
 
 
@@ -241,8 +263,10 @@ def _link(distance: int, words: list[str]):
         for s, e in zip(at[:-1][size > 2], at[1:][size > 2], strict=True):
             index = GrayIndex(codes[s:e])
             label = index.components(distance)
-            own = np.flatnonzero(label != np.arange(len(label)))
-            u.append(node[s:e][index.order[label[own]]])
+            least = np.full(len(label), len(label))
+            np.minimum.at(least, label, index.order)  # nodes stand in ascending order
+            own = np.flatnonzero(least[label] != index.order)
+            u.append(node[s:e][least[label[own]]])
             v.append(node[s:e][index.order[own]])
         return pa.table({"u": pa.array(np.concatenate(u), pa.int64()), "v": pa.array(np.concatenate(v), pa.int64())})
 
@@ -255,11 +279,14 @@ def links(codes: DataFrame, keep: np.ndarray, n: int, distance: int, bucket_rows
     return bucket_links(codes.mapInArrow(_deal(keep), f"c int, bits long, {kinds}"), n * len(keep), distance, bucket_rows)
 
 
-def bucket_links(dealt: DataFrame, rows: int, distance: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The same for about ``rows`` rows already dealt to buckets (c, bits)."""
+def bucket_links(dealt: DataFrame, rows: int, distance: int, bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
+    """The same for about ``rows`` rows already dealt to buckets (c, bits); without ``bucket_rows`` no bucket is split."""
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = dealt.columns[3:]
     groups = max(2 * parts, rows // 20_000)
+    if bucket_rows is None:
+        whole = dealt.withColumns({"x": F.lit(0), "y": F.lit(0), "g": F.pmod(F.xxhash64("c", "bits"), F.lit(groups))})
+        return whole.groupBy("g").applyInArrow(_link(distance, words), "u long, v long")
     hot = dealt.groupBy("c", "bits").agg(F.count("*").alias("rows")).where(F.col("rows") > bucket_rows)
     blocks = F.ceil(F.col("rows") / F.lit(bucket_rows / 2)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -326,7 +353,9 @@ def classify(coded: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 #: Two texts of Jaccard similarity 0.8 share none of the keys with chance (1 - 0.8 ** ROWS) ** BANDS = 6e-7, however many texts there are.
-BANDS, ROWS, WIDTH, WIDE_DISTANCE, LEADERS = 20, 3, 4, 76, 24
+BANDS, ROWS, WIDTH, WIDE_DISTANCE = 20, 3, 4, 76
+#: Of a group of candidates, at most about so many texts and bytes of text are held against all others at a time.
+LEADERS, LEADER_BYTES, PART_BYTES, _HALVINGS = 2048, 16 << 20, 8 << 20, 40
 _SALTS = np.random.default_rng(7).integers(0, 1 << 64, (BANDS, ROWS, 2), np.uint64)
 
 
@@ -353,81 +382,148 @@ def _deal_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 _WORD_NAMES = [f"w{k}" for k in range(WIDTH)]
 
 
-def _shingles(text: str | None, words: int) -> set[bytes]:
-    own = (text or "").encode().lower().split()
-    return {b" ".join(own[k : k + words]) for k in range(max(1, len(own) - words + 1))} if own else set()
+class Kept:
+    """Texts of one group that stay: shingles, and SimHashes that tell which of them can be alike at all."""
 
+    def __init__(self, similarity: float):
+        self.similarity, self.shingles, self.codes = similarity, [], np.zeros((64, WIDTH), np.uint64)
 
-def _measure(words: int, similarity: float):
-    """Hold each text against its group's leaders, smallest doc_id first; a leader like a smaller one is none.
+    def add(self, code: np.ndarray, shingles: np.ndarray) -> None:
+        n = len(self.shingles)
+        if n == len(self.codes):
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+        self.codes[n] = code
+        self.shingles.append(shingles)
 
-    Answers 1 (stays), -1 (goes) or 0 (not like any leader, and none itself)."""
+    def like(self, code: np.ndarray, own: np.ndarray) -> bool:
+        """Whether one of these texts is at least ``similarity`` alike, the nearest by SimHash first."""
+        apart = _differing(self.codes[: len(self.shingles)] ^ code)
+        near = np.flatnonzero(apart <= WIDE_DISTANCE)
+        for k in near[np.argsort(apart[near], kind="stable")]:
+            other = self.shingles[k]
+            least, most = sorted((len(own), len(other)))
+            if least < self.similarity * most:
+                continue
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            if both >= self.similarity * (least + most - both):
+                return True
+        return False
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, leaders = None, []
-
-        def alike(a: set, b: set) -> bool:
-            return not (a or b) or len(a & b) >= similarity * len(a | b)
-
-        for batch in C.small_batches(batches):
-            out = []
-            for doc, own_root, text, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), range(batch.num_rows), strict=True):
-                if own_root != root:
-                    root, leaders = own_root, []
-                    for x in batch.column(3)[row].as_py():
-                        own = _shingles(x["text"], words)
-                        if not any(alike(own, held) for _, held in leaders):
-                            leaders.append((x["doc_id"], own))
-                own = _shingles(text.as_py(), words)
-                verdict = 0
-                for leader, held in leaders:
-                    if leader == doc:
-                        verdict = 1
-                    elif leader < doc and alike(own, held):
-                        verdict = -1
-                    if verdict:
-                        break
-                out.append(verdict)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int32())], ["doc_id", "root", "text", "verdict"])
+
+def _sets(column, words: int) -> list[np.ndarray]:
+    value, counts = shingle_sets(column, words)
+    return np.split(value, np.cumsum(counts)[:-1]) if len(counts) else []
+
+
+def _codes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDTH)
+
+
+def _resolve(words: int, similarity: float):
+    """Of each group the texts that stay, smallest doc_id first: a text goes if it is like one that stays."""
+
+    def run(key, table):
+        order = np.lexsort((np.asarray(table["doc_id"]), np.asarray(table["root"])))
+        root, codes, own = np.asarray(table["root"]), _codes(table["code"]), _sets(table["text"], words)
+        stays, last, kept = np.zeros(len(order), bool), None, Kept(similarity)
+        for k in order.tolist():
+            if root[k] != last:
+                last, kept = root[k], Kept(similarity)
+            if not kept.like(codes[k], own[k]):
+                kept.add(codes[k], own[k])
+                stays[k] = True
+        return pa.table({"doc_id": table["doc_id"], "root": table["root"], "stays": pa.array(stays)})
 
     return run
 
 
-def confirmed_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _compare(words: int, similarity: float):
+    """Of a part of a group, the texts that no leader is like."""
+
+    def run(key, left, right):
+        kept = Kept(similarity)
+        for code, own in zip(_codes(right["code"]), _sets(right["text"], words), strict=True):
+            kept.add(code, own)
+        gone = np.array([kept.like(c, own) for c, own in zip(_codes(left["code"]), _sets(left["text"], words), strict=True)], bool)
+        return pa.table({"doc_id": left["doc_id"], "root": left["root"], "gone": pa.array(gone)})
+
+    return run
+
+
+def star_links(dealt: DataFrame, rows: int, distance: int, hot_rows: int) -> DataFrame:
+    """Links u, v that join what each bucket (c, bits) proposes, one or two per node and none lost.
+
+    Buckets of up to ``hot_rows`` nodes go through the Gray-order index.  All nodes of a larger one are linked to its
+    least node, without any comparison: candidates only, so that a bucket costs one link per node.  A node's links
+    of all buckets are then drawn to the least of its up to ``BANDS`` neighbours before anything is joined."""
+    size = dealt.groupBy("c", "bits").agg(F.count("*").alias("rows"), F.min("node").alias("least")).where("rows > 1")
+    hot = size.where(F.col("rows") > hot_rows).select("c", "bits", "least")
+    marked = dealt.join(size.select("c", "bits"), ["c", "bits"], "left_semi").join(hot, ["c", "bits"], "left")
+    cool = bucket_links(marked.where("least is null").drop("least"), rows, distance, None)
+    ends = cool.unionByName(marked.where("least <> node").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    ends = ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
+    near = ends.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("near"))
+    first = F.element_at("near", 1)
+    rest = near.select(first.alias("v"), F.explode(F.slice("near", 2, BANDS * BUCKET_ROWS)).alias("u"))
+    return near.select("u", first.alias("v")).unionByName(rest.select("u", "v").distinct())
+
+
+def confirmed_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, leaders: int = LEADERS) -> DataFrame:
     """Columns of ``docs`` with ``kept``: false for a row that repeats a kept document.
 
-    Texts of equal words are one; of the others, those that share one of ``BANDS`` MinHash
-    keys and whose 256-bit SimHashes differ in at most ``WIDE_DISTANCE`` bits are linked
-    (two texts of Jaccard similarity 0.8 differ in about 39, in 48 if they are of four and
-    five shingles).  In each component the
-    smallest doc_id stays and every member whose shingles are at least ``similarity`` alike
-    to it goes; of those not alike the smallest stays in turn, and so on, ``LEADERS`` of a
-    component in one round, in as many rounds as it takes.  Rows with a null doc_id are kept; rows sharing a doc_id share its fate."""
+    Texts of equal words are one; of the others, those that share one of ``BANDS`` MinHash keys and whose 256-bit
+    SimHashes differ in at most ``WIDE_DISTANCE`` bits are linked (two texts of Jaccard similarity 0.8 differ in about
+    39, in 48 if they are of four and five shingles), and linked texts form a group of candidates.  Within a group the
+    smallest doc_id stays, and every text whose shingles are at least ``similarity`` alike to one that stays goes, in
+    the order of doc_id.  Groups of up to ``leaders`` texts are settled in one task each.  Of a larger one the texts
+    of the smallest doc_ids, about ``leaders``, are settled among themselves, and all others, dealt to parts by hash,
+    are held against those that stay; what is left goes into the next round.
+
+    Rows with a null doc_id are kept; rows sharing a doc_id share its fate; a null or blank text has no words and
+    equals any other such text; repeated rows each give a row; an empty table gives an empty one; an input column
+    named kept is replaced."""
+    spark = docs.sparkSession
     base = C.ids(docs)
     marked = C.cut(base.where("doc_id is not null").mapInArrow(_signatures(words), "doc_id long, same binary, sketch binary"))
-    texts = C.cut(marked.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")))
-    node = F.xxhash64("same")
+    texts = C.cut(marked.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")).withColumn("node", F.xxhash64("same")))
     kinds = ", ".join(f"{w} long" for w in _WORD_NAMES)
-    dealt = texts.select(node.alias("node"), "sketch").mapInArrow(_deal_sketches, f"c int, bits long, node long, {kinds}")
-    found = components(bucket_links(dealt, texts.count() * BANDS, WIDE_DISTANCE)).withColumnRenamed("node", "_node")
-    rooted = texts.select("doc_id", node.alias("node")).join(found, F.col("node") == F.col("_node"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    left = C.cut(base.join(rooted.join(several, "root"), "doc_id").select("doc_id", "root", "text"))
-    gone = marked.join(texts.select("same", F.col("doc_id").alias("first")), "same").where("doc_id > first").select("doc_id", "first")
-    dropped = []
-    first = Window.partitionBy("root").orderBy("doc_id")
-    while not left.isEmpty():
-        leaders = left.withColumn("k", F.row_number().over(first)).where(F.col("k") <= LEADERS)
-        leaders = leaders.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("leaders"))
-        measured = C.cut(left.join(leaders, "root").select("doc_id", "root", "text", "leaders").mapInArrow(_measure(words, similarity), "doc_id long, root long, text string, verdict int"))
-        dropped.append(measured.where("verdict = -1").select("doc_id"))
-        left = measured.where("verdict = 0").select("doc_id", "root", "text")
-    out = gone.select("doc_id")
-    for more in dropped:
+    dealt = texts.select("node", "sketch").mapInArrow(_deal_sketches, f"c int, bits long, node long, {kinds}")
+    found = components(star_links(dealt, texts.count() * BANDS, WIDE_DISTANCE, BUCKET_ROWS))
+    members = texts.join(found, "node").unionByName(texts.join(found.select(F.col("root").alias("node")).distinct(), "node").withColumn("root", F.col("node")))
+    code = F.substring("sketch", 8 * BANDS + 1, 8 * WIDTH)
+    left = C.cut(base.join(members.select("doc_id", "root", code.alias("code")).distinct(), "doc_id").groupBy("doc_id", "root").agg(F.min("code").alias("code"), F.min("text").alias("text")))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (left.agg(F.sum(size)).first()[0] or 0) // PART_BYTES)
+    gone = marked.join(texts.select("same", F.col("doc_id").alias("first")), "same").where("doc_id > first").select("doc_id")
+    dropped = [gone]
+    while True:
+        facts = left.groupBy("root").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+        small = (F.col("n") <= leaders) & (F.col("bytes") <= LEADER_BYTES)
+        whole = left.join(facts.where(small).select("root"), "root", "left_semi")
+        dropped.append(whole.withColumn("g", F.pmod(F.xxhash64("root"), F.lit(4 * tasks))).groupBy("g").applyInArrow(_resolve(words, similarity), "doc_id long, root long, stays boolean").where("not stays").select("doc_id"))
+        large = C.cut(facts.where(~small))
+        if large.isEmpty():
+            break
+        # the texts up to a quantile of doc_id: a beginning of the order, whatever its exact size
+        share = F.least(F.lit(leaders) / F.col("n"), F.lit(LEADER_BYTES) / F.greatest("bytes", F.lit(1)))
+        ranks = left.join(large.select("root"), "root").groupBy("root").agg(F.percentile_approx("doc_id", [2.0**-k for k in range(_HALVINGS)], 20_000).alias("at"))
+        halvings = F.least(F.ceil(-F.log2(share)), F.lit(_HALVINGS - 1)).cast("int")
+        limit = large.join(ranks, "root").select("root", F.element_at("at", halvings + 1).alias("limit"), F.ceil(F.greatest(F.col("bytes") / PART_BYTES, F.col("n") / 4096)).cast("int").alias("parts"))
+        split = C.cut(left.join(C.cut(limit), "root"))
+        first = C.cut(split.where("doc_id <= limit").groupBy("root").applyInArrow(_resolve(words, similarity), "doc_id long, root long, stays boolean"))
+        dropped.append(first.where("not stays").select("doc_id"))
+        chosen = split.join(first.where("stays").select("doc_id"), "doc_id").select(F.col("root").alias("of"), F.col("code").alias("code"), F.col("text").alias("text"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("at"))
+        others = split.where("doc_id > limit").select("doc_id", "root", "code", "text", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+        measured = others.groupBy("root", "part").cogroup(chosen.groupBy("of", "at")).applyInArrow(_compare(words, similarity), "doc_id long, root long, gone boolean")
+        measured = C.cut(measured)
+        dropped.append(measured.where("gone").select("doc_id"))
+        left = C.cut(split.join(measured.where("not gone").select("doc_id"), "doc_id").select("doc_id", "root", "code", "text"))
+    out = dropped[0]
+    for more in dropped[1:]:
         out = out.unionByName(more)
-    out = out.distinct().withColumnRenamed("doc_id", "_gone")
-    joined = docs.select(*C.carried(docs, ["kept"])).join(out, F.col("doc_id").cast("long") == F.col("_gone"), "left")
-    return joined.withColumn("kept", F.col("_gone").isNull()).drop("_gone")
+    out = out.distinct().withColumnRenamed("doc_id", "_gone id")
+    joined = docs.select(*C.carried(docs, ["kept"])).join(out, F.col("doc_id").cast("long") == F.col("_gone id"), "left")
+    return joined.withColumn("kept", F.col("_gone id").isNull()).drop("_gone id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -222,19 +222,55 @@ def test_confirmed_groups(docs, empty):
     assert simhash.confirmed_groups(empty).count() == 0
 
 
+def shingles_of(text, n=5):
+    own = (text or "").encode().lower().split()
+    return {b" ".join(own[k : k + n]) for k in range(max(1, len(own) - n + 1))} if own else set()
+
+
+def kept_by_brute_force(rows, similarity=0.8):
+    """doc_ids that stay: in ascending order, each unlike every one that stays."""
+    first = {}
+    for i, t in rows:
+        if i is not None:
+            first[i] = min(first.get(i, t or ""), t or "")
+    kept = []
+    for i in sorted(first):
+        own = shingles_of(first[i])
+        if not any((not own and not o) or len(own & o) >= similarity * len(own | o) for _, o in kept):
+            kept.append((i, own))
+    return {i for i, _ in kept}
+
+
+@pytest.mark.parametrize("leaders", [simhash.LEADERS, 64])
+def test_groups_equal_brute_force(spark, monkeypatch, leaders):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 16)
+    rng = random.Random(12)
+    base = [[f"w{rng.getrandbits(30)}" for _ in range(n)] for n in (60, 61, 40, 3, 5, 8)]
+    rows = []
+    for i in range(260):
+        own = list(base[rng.randrange(len(base)) if i % 3 else 0])
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = f"w{rng.getrandbits(30)}"
+        rows.append((i, " ".join(own)))
+    rows += [(500, None), (501, ""), (502, " \n"), (503, rows[5][1].upper()), (5, rows[5][1]), (None, rows[0][1]), (-1, rows[7][1] + " end")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"] for r in simhash.confirmed_groups(frame, leaders=leaders).where("kept").collect()}
+    assert got - {None} == kept_by_brute_force(rows) and None in got
+
+
 def pair_of_similarity(rng, shingles):
     """Two texts of distinct words whose five-word shingles have a Jaccard similarity just above 0.8."""
     first = [f"w{rng.getrandbits(40)}" for _ in range(shingles + 4)]
     if shingles == 4:
         return " ".join(first), " ".join([*first, "more"]), 0.8
-    second, own = first, simhash._shingles(" ".join(first), 5)
+    second, own = first, shingles_of(" ".join(first))
     for _ in range(60):
         changed = [*second]
         changed[rng.randrange(len(changed))] = f"v{rng.getrandbits(40)}"
-        other = simhash._shingles(" ".join(changed), 5)
+        other = shingles_of(" ".join(changed))
         if len(own & other) >= 0.8 * len(own | other):
             second = changed
-    other = simhash._shingles(" ".join(second), 5)
+    other = shingles_of(" ".join(second))
     return " ".join(first), " ".join(second), len(own & other) / len(own | other)
 
 
