@@ -15,10 +15,6 @@ def norm(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), WHITE, "")
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
-
-
 def normalize_location(c: Column) -> Column:
     """Stationing such as ``STA. 165.0 m`` or ``K165`` in one form; blank: null."""
     x = F.regexp_replace(norm(c), r"(?i)^STA\.?", "")
@@ -29,18 +25,17 @@ def normalize_location(c: Column) -> Column:
 
 
 def parse_range(c: Column) -> Column:
-    """struct(start, end, unit) of ``a~b unit`` or ``a unit``; null where none."""
-    x = norm(c)
-    pattern = rf"^({NUMBER})(?:~({NUMBER}))?(km|m|㎡|㎥)?$"
-    start = F.regexp_extract(x, pattern, 1).try_cast("double")
-    end = F.coalesce(F.regexp_extract(x, pattern, 2).try_cast("double"), start)
+    """struct(start, end, unit) of a location ``a~b unit``; null where it is no such range."""
+    x, pattern = normalize_location(c), rf"^({NUMBER})~({NUMBER})(m|km|㎡|㎥)$"
+    start, end = (F.regexp_extract(x, pattern, k).try_cast("double") for k in (1, 2))
     return F.when(start.isNotNull(), F.struct(start.alias("start"), end.alias("end"), F.regexp_extract(x, pattern, 3).alias("unit")))
 
 
 def within_range(point: Column, span: Column) -> Column:
-    """Whether a point lies in a range of the same unit, both ends counted."""
-    p, s = parse_range(point), parse_range(span)
-    inside = (p["unit"] == s["unit"]) & (p["start"] >= s["start"]) & (p["start"] <= s["end"]) & (p["start"] == p["end"])
+    """Whether a location lies in a range of the same unit, both ends counted; a single place is no range."""
+    x, s, pattern = normalize_location(point), parse_range(span), rf"^({NUMBER})(m|km|㎡|㎥)$"
+    at = F.regexp_extract(x, pattern, 1).try_cast("double")
+    inside = (F.regexp_extract(x, pattern, 2) == s["unit"]) & (at >= s["start"]) & (at <= s["end"])
     return F.coalesce(inside, F.lit(False))
 
 
