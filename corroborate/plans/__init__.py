@@ -1,3 +1,3 @@
 """Queries by subject; importing the package registers all of them."""
 
-from . import registry, review  # noqa: F401
+from . import inspection, registry, reporting, review  # noqa: F401
