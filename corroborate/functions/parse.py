@@ -79,3 +79,9 @@ def luma(red: Column, green: Column, blue: Column) -> Column:
 def page_prompt(page: Column, text: Column) -> Column:
     """A page's text under a line with its number."""
     return F.concat(F.lit("--- 페이지 "), page.cast("string"), F.lit(" ---\n"), F.coalesce(text, F.lit("")))
+
+
+def header_field(cell: Column, keywords: dict[str, str]) -> Column:
+    """The field of the longest keyword that a header cell contains; null if none."""
+    longest = sorted(keywords, key=lambda k: (-len(k), k))
+    return F.coalesce(*[F.when(F.contains(cell, F.lit(k)), F.lit(keywords[k])) for k in longest])

@@ -24,7 +24,7 @@ def photo_key() -> Column:
 def match_photos(truth: DataFrame, found: DataFrame) -> DataFrame:
     """Per case and key how many photos are matched, missed and extra, one to one."""
     keyed = lambda t: t.select("case_id", photo_key().alias("key"))
-    return L.one_to_one(keyed(truth), keyed(found), ["case_id", "key"], [])
+    return L.one_to_one(keyed(truth), keyed(found), ["case_id", "key"])
 
 
 def case_metrics(matches: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def run_cases(cases: DataFrame, truth: DataFrame, found: DataFrame, photo_truth:
 
     A case that cannot be measured is a row like any other and stops nothing."""
     keyed = lambda t: t.select("case_id", *[T.norm(F.col(k)).alias(k) for k in keys])
-    records = case_metrics(L.one_to_one(keyed(truth), keyed(found), ["case_id", *keys], []))
+    records = case_metrics(L.one_to_one(keyed(truth), keyed(found), ["case_id", *keys]))
     photos = case_metrics(match_photos(photo_truth, photo_found)).select("case_id", F.col("f1").alias("photo_f1"))
     out = cases.join(records, "case_id", "left").join(photos, "case_id", "left")
     lost = ~F.coalesce(F.col("has_truth"), F.lit(False))

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corroborate.functions import text as T
+
 REVIEW = "REVIEW"
 
 
 def merge_duplicates(rows: DataFrame, keys: list[str], fields: list[str], base: list[str], order: list[str], marker: str = REVIEW) -> DataFrame:
-    """One row per key.  A field keeps its one distinct value, else reads ``marker`` and is a conflict.
+    """One row per key.  A field keeps its one value, as the first row in ``order`` writes it, else reads ``marker`` and is a conflict.
 
-    base: columns taken from the first row in ``order``.  Distinct values are gathered as
-    sets before the shuffle, so a hot key costs its values and not its rows."""
+    Blank values are no values, and white space makes no difference.  base: columns taken from the first row.
+    Distinct values are gathered as sets before the shuffle, so a hot key costs its values and not its rows."""
     first = F.min_by(F.struct(*base), F.struct(*order)).alias("_base")
-    sets = [F.collect_set(f).alias(f"_{f}") for f in fields]
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), first, *sets)
-    values = [F.when(F.size(f"_{f}") > 1, F.lit(marker)).when(F.size(f"_{f}") == 1, F.element_at(f"_{f}", 1).cast("string")).otherwise("").alias(f) for f in fields]
+    filled = {f: F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) != "" for f in fields}
+    sets = [F.collect_set(F.when(ok, T.norm(F.col(f)))).alias(f"_{f}") for f, ok in filled.items()]
+    firsts = [F.min_by(F.when(ok, F.trim(F.col(f).cast("string"))), F.when(ok, F.struct(*order))).alias(f"_first_{f}") for f, ok in filled.items()]
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), first, *sets, *firsts)
+    values = [F.when(F.size(f"_{f}") > 1, F.lit(marker)).otherwise(F.coalesce(f"_first_{f}", F.lit(""))).alias(f) for f in fields]
     conflict = F.lit(False)
     for f in fields:
         conflict = conflict | (F.size(f"_{f}") > 1)
@@ -51,7 +55,7 @@ def top_k(pairs: DataFrame, by: list[str], order: list[Column], k: int) -> DataF
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def one_to_one(truth: DataFrame, found: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def one_to_one(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Greedy 1:1 match on equal keys: the n-th of either side with the n-th of the other; side is matched, missed or extra.
 
     Equal keys are interchangeable, so only how many each side has counts: both sides are
@@ -95,12 +99,13 @@ def overlap_pairs(items: DataFrame, owner: str, item: str, least: float = 0.8) -
     classes = digest.groupBy("d", "size").agg(F.min("o").alias("rep"))
     member = digest.join(classes, ["d", "size"]).where("o <> rep").select(F.col("rep").alias("a"), F.col("o").alias("b"), "size", F.col("size").alias("shared"))
     own = every.join(classes.select(F.col("rep").alias("o")), "o", "left_semi")
-    counted = own.groupBy("i").agg(F.count("*").alias("df")).where("df > 1")
-    rare = own.join(counted, "i").join(classes.select(F.col("rep").alias("o"), "size"), "o")
+    counted = own.groupBy("i").agg(F.count("*").alias("df"))
+    ranked = own.join(counted, "i").join(classes.select(F.col("rep").alias("o"), "size"), "o")
     place = Window.partitionBy("o").orderBy("df", "i")
-    prefix = rare.withColumn("at", F.row_number().over(place)).where(F.col("at") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1)
+    # ranks run over all items of an owner; items of one owner alone take their place and meet nothing
+    prefix = ranked.withColumn("at", F.row_number().over(place)).where(F.col("at") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1).where("df > 1")
     a = prefix.select(F.col("o").alias("p"), "i", F.col("size").alias("p_size"))
-    b = rare.select(F.col("o").alias("q"), "i", F.col("size").alias("q_size"))
+    b = ranked.where("df > 1").select(F.col("o").alias("q"), "i", F.col("size").alias("q_size"))
     near = a.join(b, "i").where((F.col("p") != F.col("q")) & (F.col("p_size") <= F.col("q_size")))
     near = near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.least("p_size", "q_size").alias("size")).distinct()
     shared = near.join(own.select(F.col("o").alias("a"), "i"), "a").join(own.select(F.col("o").alias("b"), "i"), ["b", "i"]).groupBy("a", "b", "size").agg(F.count("*").alias("shared"))

@@ -232,3 +232,11 @@ def new_candidates(evidence: DataFrame, records: DataFrame) -> DataFrame:
     rest = ["document_no", "seq", *_FIELDS]
     first = keyed.groupBy("report_id", "source_type", "k1", "k2", "k3").agg(F.min_by(F.struct(*rest), F.struct("document_no", "seq")).alias("x"))
     return first.select("report_id", "source_type", "x.*")
+
+
+def reanalyse(records: DataFrame, photos: DataFrame, evidence: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Photos matched and, with documents, records checked anew: (records, photos).  New candidates are not proposed again."""
+    pairs = photo_pairs(photos, records)
+    matched = photo_results(photos, pairs)
+    linked = record_links(records, matched, pairs)
+    return (linked if evidence is None else cross_check(linked, evidence)), matched

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corroborate.functions import text as T
 from corroborate.operators import linkage as L
 from corroborate.operators import review as R
+from corroborate.streaming.events import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -155,7 +156,7 @@ SELECT event_id FROM events JOIN b USING (event_type) WHERE value BETWEEN lo AND
 def range_contains(t) -> DataFrame:
     e = t("events").select("event_id", "event_type", "value")
     bands = e.groupBy("event_type").agg((F.avg("value") - 5).alias("lo"), (F.avg("value") + 5).alias("hi"))
-    return e.join(F.broadcast(bands), "event_type").where("value between lo and hi").select("event_id")
+    return e.join(bands, "event_type").where("value between lo and hi").select("event_id")
 
 
 @query("""
@@ -178,7 +179,7 @@ def unmatched_candidates(t) -> DataFrame:
 
 def _matched(t) -> DataFrame:
     rows = t("lineitem").select("l_partkey", "l_linenumber", "l_returnflag")
-    return L.one_to_one(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), ["l_partkey", "l_linenumber"], [])
+    return L.one_to_one(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), ["l_partkey", "l_linenumber"])
 
 
 _MATCHED = """
@@ -244,9 +245,9 @@ def review_counts_and_gate(t) -> DataFrame:
     return R.gate(counted, {"review": "open rows", "negative": "negative"}).drop("negative")
 
 
-@query("SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'steel')")
+@query("SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'widget')")
 def search_rows(t) -> DataFrame:
-    return R.search(t("part"), ["p_name", "p_brand", "p_type"], " Steel ").select("p_partkey")
+    return R.search(t("part"), ["p_name", "p_brand", "p_type"], " Widget ").select("p_partkey")
 
 
 @query("""SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY regexp_extract(c_name, '\\d+')::DOUBLE NULLS LAST, c_custkey)::INT AS place FROM customer""")
@@ -269,11 +270,11 @@ def snapshot_diff_events(t) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT user_id, event_type, max((day(ts) > 15)::INT) AS m, min((day(ts) > 15)::INT) AS k FROM events GROUP BY ALL)
-SELECT user_id, event_type, CASE WHEN k = 1 THEN 'linked' ELSE 'unlinked' END AS change FROM s WHERE k = 1 OR m = 0
+WITH s AS (SELECT user_id, floor(value)::INT AS item, max((day(ts) > 15)::INT) AS m, min((day(ts) > 15)::INT) AS k FROM events GROUP BY ALL)
+SELECT user_id, item, CASE WHEN k = 1 THEN 'linked' ELSE 'unlinked' END AS change FROM s WHERE k = 1 OR m = 0
 """)
 def link_set_diff(t) -> DataFrame:
-    return R.set_changes(t("events"), "user_id", "event_type", F.dayofmonth("ts") > 15)
+    return R.set_changes(t("events").withColumn("item", F.floor("value").cast("int")), "user_id", "item", F.dayofmonth("ts") > 15)
 
 
 @query("""SELECT event_type, count_if(value < 50) / count(*) AS value, count(*) AS sample, count(*) >= 5 AS sufficient FROM events GROUP BY 1""")
@@ -315,14 +316,16 @@ def doc_overlap_duplicates(t) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE >= (list_sum(list_transform(embedding, lambda y: y::DOUBLE)) / 64))::INT) AS b FROM embeddings WHERE len(embedding) = 64),
+WITH e AS (SELECT vec_id, list_transform(range(64), lambda i: embedding[i // 8 + 1]) AS v FROM embeddings WHERE len(embedding) = 64),
+m AS (SELECT vec_id, list_transform(v, lambda x: (x::DOUBLE >= (list_sum(list_transform(v, lambda y: y::DOUBLE)) / 64))::INT) AS b FROM e),
 c AS (SELECT vec_id, b, min(vec_id) OVER (PARTITION BY b) AS rep FROM m),
 r AS (SELECT * FROM c WHERE rep = vec_id)
 SELECT * FROM (SELECT p.vec_id AS a, q.vec_id AS b, list_sum(list_transform(list_zip(p.b, q.b), lambda z: (z[1] <> z[2])::INT))::INT AS distance FROM r p JOIN r q ON p.vec_id < q.vec_id) WHERE distance <= 8
 UNION ALL SELECT rep, vec_id, 0 FROM c WHERE rep <> vec_id
 """)
 def hash_hamming_duplicates(t) -> DataFrame:
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    # eight values, each a block of eight: near hashes occur
+    v = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.element_at("embedding", (i / 8).cast("int") + 1).cast("double"))
     h = t("embeddings").where(F.size("embedding") == 64).select("vec_id", L.bits_at_least_mean(v).alias("h"))
     return L.hamming_pairs(h, "vec_id", "h")
 
@@ -348,8 +351,7 @@ def hardcode_scan(t) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def tumbling_window_counts(t) -> DataFrame:
-    by = t("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return by.select(F.col("w.start").alias("start"), "event_type", "n")
+    return windowed_counts(t("events"), "ts", "event_type", "1 hour")
 
 
 FLAGSHIP = QUERIES["merge_exact_duplicates"]

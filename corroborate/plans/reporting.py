@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.functions import domain as D
+from corroborate.functions import parse as P
 from corroborate.functions import text as X
 from corroborate.operators import evaluation as E
 from corroborate.operators import matching as M
@@ -337,3 +338,13 @@ def most_frequent_events(t) -> DataFrame:
 @query(f"WITH {_PAIRS} SELECT status, count(*) AS n, min(score)::INT AS lowest FROM x GROUP BY 1")
 def link_tiers(t) -> DataFrame:
     return M.photo_pairs(T.photos(t), T.records(t)).groupBy("status").agg(F.count("*").alias("n"), F.min("score").alias("lowest"))
+
+
+@query(f"WITH {_STATUS}, {_FOLD.replace(T.R_SQL + ', ', '')} SELECT c.id, cv_result, photo_status FROM c JOIN y ON y.report_id = c.report_id AND y.id = c.id")
+def reanalysed_records(t) -> DataFrame:
+    return M.reanalyse(T.records(t), T.photos(t), T.evidence(t))[0].select("id", "cv_result", "photo_status")
+
+
+@query("SELECT p_partkey, CASE WHEN contains(p_name, 'red widget') THEN 'whole' WHEN contains(p_name, 'widget') THEN 'thing' WHEN contains(p_name, 'red') THEN 'colour' END AS field FROM part")
+def header_fields(t) -> DataFrame:
+    return t("part").select("p_partkey", P.header_field(F.col("p_name"), {"red": "colour", "widget": "thing", "red widget": "whole"}).alias("field"))

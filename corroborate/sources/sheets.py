@@ -1,16 +1,19 @@
-"""Report data sets written one folder per sheet."""
+"""Report data sets written one folder per sheet, and the store of reports."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: The one sheet of a workbook that would otherwise have none.
 NOTICE = "notice"
 
 
 def write_sheets(sheets: dict[str, DataFrame], path: str, form: str = "csv") -> list[str]:
-    """Write each sheet below ``path`` in parallel tasks; returns their folders."""
+    """Write each sheet below ``path`` in parallel tasks; returns their folders.  Without sheets one is written that says so."""
     written = []
+    if not sheets:
+        spark = SparkSession.getActiveSession()
+        sheets = {NOTICE: spark.createDataFrame([("nothing was chosen",)], "text string")}
     for name, rows in sheets.items():
         folder = f"{path.rstrip('/')}/{name}"
         writer = rows.write.mode("overwrite")
@@ -22,3 +25,28 @@ def write_sheets(sheets: dict[str, DataFrame], path: str, form: str = "csv") ->
 def save_reports(rows: DataFrame, path: str, key: str = "report_id") -> None:
     """Replace only the reports that ``rows`` holds; the others stay."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def load_reports(spark: SparkSession, path: str, defaults: dict, legacy) -> DataFrame:
+    """Stored reports, those of an older layout migrated."""
+    from corroborate.operators import state
+
+    return state.migrate(spark.read.option("mergeSchema", True).parquet(path), defaults, legacy)
+
+
+def delete_reports(spark: SparkSession, path: str, ids: list, key: str = "report_id") -> None:
+    """Take the named reports out of the store: their partitions go, the others are not read."""
+    jvm = spark.sparkContext._jvm
+    for i in ids:
+        at = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{key}={i}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_reports(spark: SparkSession, path: str, key: str = "report_id") -> None:
+    """Leave a store of no rows, of the same columns."""
+    spark.read.parquet(path).limit(0).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path + ".empty")
+    jvm = spark.sparkContext._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".empty"))
+    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    files.rename(new, old)

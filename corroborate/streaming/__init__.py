@@ -1 +1 @@
-
+"""Operators that also run on streams."""

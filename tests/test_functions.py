@@ -42,7 +42,7 @@ def test_prf_of_nothing_is_zero(spark):
 
 def test_one_to_one_counts_repeats(spark):
     rows = lambda n: spark.createDataFrame([("k",)] * n, "k string")
-    assert tuple(L.one_to_one(rows(2), rows(1), ["k"], []).first()) == ("k", 1, 1, 0)
+    assert tuple(L.one_to_one(rows(2), rows(1), ["k"]).first()) == ("k", 1, 1, 0)
 
 
 def test_short_trend_is_empty(spark):
