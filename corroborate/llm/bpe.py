@@ -8,8 +8,10 @@ the longest reach in symbols.  ``BpeEncoder.stream`` keeps a buffer of a constan
 number of symbols, merges it, and emits each token that ends at least the
 lookahead before the end of what it has seen; the rest is merged again with more
 input.  Since no merge of the whole crosses an emitted boundary, the tokens are
-those of merging the whole text at once.  Words of up to a buffer go through at
-once; each distinct one of a group of texts is encoded one time.
+those of merging the whole text at once.  ``BpeEncoder.transduce`` is the same machine
+over many words at a time, each with its own window; it is what the operator runs.  A
+text passes in pieces of at most ``GROUP_BYTES``, or of one longer word, whose distinct
+words go through once.
 
 Decoding.  ``Decoder`` reads ids one by one.  Where the vocabulary file names a
 byte-level decoder it is a byte-to-text state machine (pending bytes of an
@@ -90,6 +92,8 @@ class BpeEncoder:
         self.size = {i: self.width(t) for t, i in self.vocab.items()}
         self.buffer = max(64, 4 * self.lookahead)
         self.first_of, self.final_of = np.array(self.first, np.int32), np.array(self.final, np.int32)
+        self.size_of = np.zeros(max(self.size) + 1, np.int64)
+        self.size_of[list(self.size)] = list(self.size.values())
         self._hash_tables()
 
     def merge(self, syms: list[int]) -> list[int]:
@@ -133,17 +137,41 @@ class BpeEncoder:
             held = held[end:]
         yield from self.merge(held)
 
-    def word(self, word: str) -> list[int]:
-        return list(self.stream(self.symbols(word.encode())))
+    def transduce(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``stream`` over many words at once: tokens of all words in order, and the word of each.
 
-    def merge_many(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge many short words at once, each word's best rule per round.
-
-        flat: the words' bytes; ends: index of each word's last byte.  Returns the
-        tokens of all words in order and the word of each token."""
+        flat: the words' bytes; ends: index of each word's last byte.  Of each word a window of at most ``buffer``
+        symbols is merged; the tokens that end at least the lookahead before the window's end are emitted, and the window
+        moves on to the first that is not.  A word that ends within its window is done."""
         syms = self.first_of[flat]
         syms[ends] = self.final_of[flat[ends]]
-        owner = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=-1))
+        at, stop = np.concatenate([[0], ends[:-1] + 1]), ends + 1
+        left = np.arange(len(ends))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        while len(left):
+            size = np.minimum(stop[left] - at[left], self.buffer)
+            begin = np.cumsum(size) - size
+            window = np.arange(len(left), dtype=np.int32).repeat(size)
+            tokens, of = self._merge_windows(syms[at[left][window] - begin[window] + np.arange(len(window))], window)
+            whole = at[left] + size == stop[left]
+            if whole.all():
+                out.append((left[of], tokens))
+                break
+            end = np.cumsum(self.size_of[tokens]) - begin[of]
+            stable = whole[of] | (end <= size[of] - self.lookahead)
+            out.append((left[of[stable]], tokens[stable]))
+            moved = np.zeros(len(left), np.int64)
+            np.maximum.at(moved, of[stable], end[stable])
+            at[left] += moved
+            left = left[~whole]
+        of, tokens = (np.concatenate(x) for x in zip(*out, strict=True))
+        if len(out) > 2:
+            order = np.argsort(of, kind="stable")
+            of, tokens = of[order], tokens[order]
+        return tokens, of
+
+    def _merge_windows(self, syms: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge many windows at once, each one's best rule per round: tokens in order and the window of each."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(syms):
             new = np.ones(len(owner), bool)
@@ -226,6 +254,13 @@ class Decoder:
             return self.finish() + text
         return self.pending.decode(bytes(self.value[c] for c in text))
 
+    def push_many(self, tokens: np.ndarray) -> str:
+        """What ``push`` gives for each of the ids, joined."""
+        if self.bytewise or not len(tokens):
+            return "".join(map(self.push, tokens.tolist()))
+        lead, self.begun = " " if self.begun else "", True
+        return lead + " ".join(map(self.listed.__getitem__, tokens.tolist()))
+
     def finish(self) -> str:
         return self.pending.decode(b"", True)
 
@@ -260,13 +295,26 @@ class Tokenizer:
                 part = part.lower() if part.isascii() or "Σ" not in part else "".join(c.lower() for c in part)
             yield self.split.findall(part)
 
-    def plain_tokens(self, raw: bytes) -> list[int]:
-        """Token ids of one stretch without ASCII white space, by the vocabulary's own pattern."""
-        out: list[int] = []
-        for k, words in enumerate(self.pieces(raw.decode())):
-            for w in words:
-                out += [self.special[w]] if k % 2 else self.encoder.word(w)
-        return out
+    def plain_tokens(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of stretches without ASCII white space, split by the vocabulary's own pattern, and the stretch of each."""
+        words, of_word, given, place = [], [], [], []  # ordinary words; special tokens and where they stand
+        for k, raw in enumerate(stretches):
+            for turn, found in enumerate(self.pieces(raw.decode())):
+                for w in found:
+                    if turn % 2:
+                        given.append((self.special[w], len(of_word)))
+                    else:
+                        words.append(w.encode())
+                        place.append(len(of_word))
+                    of_word.append(k)
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64) - 1
+        tokens, word = self.encoder.transduce(np.frombuffer(b"".join(words), np.uint8), ends) if words else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        at = np.array(place, np.int64)[word] if words else word
+        if given:
+            tokens, at = np.concatenate([tokens, np.array([t for t, _ in given], np.int32)]), np.concatenate([at, np.array([p for _, p in given], np.int64)])
+            order = np.argsort(at, kind="stable")
+            tokens, at = tokens[order], at[order]
+        return tokens, np.array(of_word, np.int64)[at]
 
     def distinct_tokens(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of many stretches: all tokens in order, and where each stretch's begin.
@@ -283,7 +331,7 @@ class Tokenizer:
         tail[lead + 1 - (lead + 1 == len(flat))] = True
         odd |= (flat >= 0x80) & (flat < 0xC0) & ~tail
         odd[lead[(next_byte == 0x97) | (next_byte == 0xB7)]] = True
-        slow = np.logical_or.reduceat(odd, at[:-1]) | (size > 64) if len(size) else np.zeros(0, bool)
+        slow = np.logical_or.reduceat(odd, at[:-1]) if len(size) else np.zeros(0, bool)
         if not (self.lower and self.latin_rules):
             slow[:] = True
         owner = np.repeat(np.arange(len(size)), size)
@@ -295,28 +343,24 @@ class Tokenizer:
         begin = np.ones(len(flat), bool)
         begin[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1) | (owner[1:] != owner[:-1])
         word_at = np.flatnonzero(begin)
-        tokens, word = self.encoder.merge_many(flat, np.append(word_at[1:], len(flat)) - 1) if len(flat) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        tokens, word = self.encoder.transduce(flat, np.append(word_at[1:], len(flat)) - 1) if len(flat) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         whose = owner[word_at[word]] if len(word) else np.zeros(0, np.int64)
         rest = np.flatnonzero(slow)
         if len(rest):
-            lists = [self.plain_tokens(buf[starts[k] : ends[k]].tobytes()) for k in rest]
-            tokens = np.concatenate([tokens, np.array([t for x in lists for t in x], np.int32)])
-            whose = np.concatenate([whose, np.repeat(rest, [len(x) for x in lists])])
+            more, of = self.plain_tokens([buf[starts[k] : ends[k]].tobytes() for k in rest])
+            tokens, whose = np.concatenate([tokens, more]), np.concatenate([whose, rest[of]])
             order = np.argsort(whose, kind="stable")
             tokens, whose = tokens[order], whose[order]
         return tokens, np.searchsorted(whose, np.arange(len(size) + 1))
 
-    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """Token ids of each text.
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, token ids) in order; the ids of a long text come in several pieces, so that memory does not follow its length.
 
-        White space ends every word, so the stretches between it are independent: a group of
-        texts is cut into stretches, each distinct one is encoded once, and the texts' tokens
-        are gathered from those."""
+        White space ends every word, so the stretches between it are independent: a piece is cut into stretches, each
+        distinct one is encoded once, and the texts' tokens are gathered from those."""
         buf, off = C.text_buffer(texts)
-        row = 0
-        while row < len(off) - 1:
-            end = max(row + 1, int(np.searchsorted(off, off[row] + GROUP_BYTES, side="right")) - 1)
-            part, own = buf[off[row] : off[end]], off[row : end + 1] - off[row]
+        for row, end, a, b in _text_pieces(buf, off):
+            part, own = buf[a:b], np.clip(off[row : end + 1] - a, 0, b - a)
             starts, ends, which = C.word_spans(part, own, C.ASCII_SPACE)
             first, inverse = _distinct(part, starts, ends)
             tokens, at = self.distinct_tokens(part, starts[first], ends[first])
@@ -325,14 +369,22 @@ class Tokenizer:
             ids = tokens[np.repeat(at[inverse] - total[:-1], n) + np.arange(total[-1])].astype("<u4")
             cuts = total[np.searchsorted(which, np.arange(end - row + 1))]
             for k in range(end - row):
-                yield ids[cuts[k] : cuts[k + 1]]
-            row = end
+                yield row + k, ids[cuts[k] : cuts[k + 1]]
 
-    def decode(self, ids: np.ndarray) -> str:
-        if not self.decoder.bytewise:  # every token is whole text: the machine has no state but "begun"
-            return " ".join(map(self.decoder.listed.__getitem__, ids.tolist()))
-        self.decoder.reset()
-        return "".join(map(self.decoder.push, ids.tolist())) + self.decoder.finish()
+
+def _text_pieces(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, row after the last, first byte, byte after the last) of groups of texts; a long text in several, cut at white space."""
+    row = 0
+    while row < len(off) - 1:
+        end = max(row + 1, int(np.searchsorted(off, off[row] + GROUP_BYTES, side="right")) - 1)
+        a, stop = int(off[row]), int(off[end])
+        while stop - a > GROUP_BYTES:  # one text
+            space = np.flatnonzero(C.ASCII_SPACE[buf[a : a + GROUP_BYTES]])
+            cut = a + int(space[-1]) + 1 if len(space) else next((k for k in range(a + GROUP_BYTES, stop) if C.ASCII_SPACE[buf[k]]), stop)
+            yield row, end, a, cut
+            a = cut
+        yield row, end, a, stop
+        row = end
 
 
 def _distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,6 +407,36 @@ _CLASS[0x30:0x3A] = 1
 _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _CLASS[0x80:0xC0] = _CLASS[0xC3] = 0
 
 
+class _Coded:
+    """One text on its way: what is kept of its ids and of the text they decode to."""
+
+    def __init__(self, decoder: Decoder, keep: bool):
+        decoder.reset()
+        self.decoder, self.n, self.ids, self.text = decoder, 0, hashlib.sha256(), hashlib.sha256()
+        self.kept: tuple[list, list] | None = ([], []) if keep else None
+
+    def add(self, ids: np.ndarray) -> None:
+        self.n += len(ids)
+        self.ids.update(ids.tobytes())
+        self._show(self.decoder.push_many(ids))
+        if self.kept:
+            self.kept[0].extend(ids.tolist())
+
+    def _show(self, text: str) -> None:
+        self.text.update(text.encode())
+        if self.kept:
+            self.kept[1].append(text)
+
+    def close(self, made: dict[str, list]) -> None:
+        self._show(self.decoder.finish())
+        made["n_tokens"].append(self.n)
+        made["ids_sha256"].append(self.ids.hexdigest())
+        made["decoded_sha256"].append(self.text.hexdigest())
+        if self.kept:
+            made["token_ids"].append(self.kept[0])
+            made["decoded"].append("".join(self.kept[1]))
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
@@ -381,14 +463,15 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool =
         tok = tokenizer(path)
         for batch in batches:
             made: dict[str, list] = {k: [] for k in kinds}
-            for ids in tok.encode(batch.column("text")):
-                raw, shown = ids.tobytes(), tok.decode(ids)
-                made["n_tokens"].append(len(ids))
-                made["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
-                made["decoded_sha256"].append(hashlib.sha256(shown.encode()).hexdigest())
-                if keep_ids:
-                    made["token_ids"].append(ids.tolist())
-                    made["decoded"].append(shown)
+            now, at = None, -1
+            for row, ids in tok.encode(batch.column("text")):
+                if row != at:
+                    if now:
+                        now.close(made)
+                    now, at = _Coded(tok.decoder, keep_ids), row
+                now.add(ids)
+            if now:
+                now.close(made)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in arrow], schema=arrow)
 
     return base.mapInArrow(run, schema)

@@ -442,3 +442,24 @@ def test_hashes_of_slices_differ_and_bytes_decide():
         assert len(set(texts)) == len(set(h[0])) == len(set(h[1])) and len(set(zip(texts, h[0]))) == len(set(texts))
         n = np.full(len(at) - 1, size)
         assert _common.equal_slices(raw, at[1:], n, raw, at[:-1], n).tolist() == [a == b for a, b in zip(texts[1:], texts)]
+
+
+def test_long_words_and_long_texts_go_through_the_transducer(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 3000)
+    rng = random.Random(8)
+    enc = bpe.tokenizer(bpe.default_vocabulary()).encoder
+    made = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    long = 9 * enc.buffer
+    texts = [made(long, "abcdefghijklmnopqrstuvwxyz"), made(long, "the") + " tail", "a" * long, made(long, "aéñж"), " ".join(made(rng.randrange(1, 12), "etaoinshr") for _ in range(4000))]
+    texts += ["ab<|endoftext|>" + made(long, "ing") + "'s 12x", made(5000, "λόγος Σ ς"), "!" * 5000, None, "", " "]
+    lib, tok = Tokenizer.from_file(bpe.default_vocabulary()), bpe.tokenizer(bpe.default_vocabulary())
+    got: dict[int, list] = {k: [] for k in range(len(texts))}
+    for row, ids in tok.encode(pa.array(texts)):
+        got[row] += ids.tolist()
+    for k, text in enumerate(texts):
+        assert got[k] == lib.encode(text or "", add_special_tokens=False).ids, k
+        tok.decoder.reset()
+        ids = np.array(got[k], np.uint32)
+        assert tok.decoder.push_many(ids[:7]) + tok.decoder.push_many(ids[7:]) + tok.decoder.finish() == lib.decode(got[k], skip_special_tokens=False)
