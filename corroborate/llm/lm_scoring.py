@@ -12,7 +12,7 @@ The trie is never held whole.  A chunk of documents sends each bucket its distin
 (context, symbol) grams with their training counts, compressed; a bucket holds all
 contexts that end in the same ``SUFFIX`` symbols, hence every context of its grams from
 that order up, and answers each gram with its log probability.  Shorter contexts come
-from the table of grams of SUFFIX + 1 symbols, at most 257**3 entries, broadcast.
+from the table of grams of SUFFIX symbols, at most 257**3 entries, broadcast.
 The counts cover the whole training corpus and grow with it.
 
 The base score is a smoothed unigram model over words; word counts travel the same way,
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-ORDER, SUFFIX, SYMBOLS, MARK, CHUNK_BYTES = 5, 2, 257, 256, 8 << 20
+ORDER, SUFFIX, SYMBOLS, MARK, CHUNK_BYTES = 5, 3, 257, 256, 8 << 20
 _BITS = np.uint64(9)
 
 
@@ -133,6 +133,21 @@ def unpacked(value: pa.Scalar) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
+def listed(values: np.ndarray) -> bytes:
+    """Doubles as the list of distinct ones and the place of each in it, compressed."""
+    table, at = np.unique(values, return_inverse=True)
+    code = at.astype("<u2" if len(table) <= 1 << 16 else "<u4")
+    planes = np.ascontiguousarray(code.view(np.uint8).reshape(len(code), -1).T)
+    return zstandard.compress(np.array([len(table), code.itemsize], "<u4").tobytes() + table.astype("<f8").tobytes() + planes.tobytes(), 3)
+
+
+def unlisted(value: pa.Scalar) -> np.ndarray:
+    raw = zstandard.decompress(value.as_buffer())
+    n, width = np.frombuffer(raw, "<u4", 2)
+    code = np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=8 + 8 * n).reshape(width, -1).T).view(f"<u{width}").ravel()
+    return np.frombuffer(raw, "<f8", n, 8)[code]
+
+
 def _word_keys(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes of every word, and where each row's words begin."""
     low = C.ASCII_LOWER[buf]
@@ -181,7 +196,7 @@ def _ask(buckets: int):
         for b, pick in chunk.picks(chunk.word_bucket):
             check = chunk.check[pick].astype(np.uint16).astype(np.uint64) << np.uint64(32)
             put("word", b, packed(np.diff(chunk.word[pick], prepend=np.uint64(0))), packed(check | chunk.word_count[pick]))
-        level = _Level(_part(chunk.gram, SUFFIX + 1), chunk.gram_count.astype(np.int64))
+        level = _Level(_part(chunk.gram, SUFFIX), chunk.gram_count.astype(np.int64))
         seen = level.count > 0
         put("short", 0, level.gram[seen].tobytes(), level.count[seen].tobytes())
         return pa.table(
@@ -207,10 +222,9 @@ def _answer(short):
             parts = [np.cumsum(unpacked(x), dtype=np.uint64) + f[0] for x, f in zip(table["keys"], facts, strict=True)]
             gram, count = np.concatenate(parts), np.concatenate([f[1:] for f in facts]).astype(np.int64)
             trained = count > 0
-            low_gram, low_count = short.value
-            levels = _levels(low_gram, low_count, 0, SUFFIX - 1) + _levels(gram[trained], count[trained], SUFFIX, ORDER)
+            levels = short.value + _levels(gram[trained], count[trained], SUFFIX, ORDER)
             distinct, inverse = np.unique(gram, return_inverse=True)
-            value = _log_probabilities(distinct, levels)[inverse].astype(np.float32)
+            value = _log_probabilities(distinct, levels)[inverse]
         else:
             parts = [np.cumsum(unpacked(x), dtype=np.uint64) for x in table["keys"]]
             facts = np.concatenate([unpacked(x) for x in table["counts"]])
@@ -222,7 +236,7 @@ def _answer(short):
             value = np.empty(len(word), np.int64)
             value[order] = total[np.cumsum(new) - 1]
         cuts = np.cumsum([len(p) for p in parts])[:-1]
-        found = [packed(v) if kind == "word" else zstandard.compress(np.ascontiguousarray(v).tobytes(), 3) for v in np.split(value, cuts)]
+        found = [packed(v) if kind == "word" else listed(v) for v in np.split(value, cuts)]
         facts = [0] * len(found), [0] * len(found)
         if kind == "word":
             facts[0][0], facts[1][0] = int(total.sum()), int((total > 0).sum())
@@ -245,7 +259,7 @@ def _finish(buckets: int, tokens: int, types: int, ends: int):
         gram, word = np.zeros(len(chunk.gram)), np.zeros(len(chunk.word), np.int64)
         got = {(k, b): x for k, b, x in zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["found"], strict=True)}
         for b, pick in chunk.picks(chunk.gram_bucket):
-            gram[pick] = np.frombuffer(zstandard.decompress(got["gram", b].as_buffer()), np.float32)
+            gram[pick] = unlisted(got["gram", b])
         for b, pick in chunk.picks(chunk.word_bucket):
             word[pick] = unpacked(got["word", b])
         bottom = tokens + 0.1 * (types + 1)
@@ -286,11 +300,13 @@ def lm_scores(docs: DataFrame, train: Column) -> DataFrame:
     short = asked.where("kind = 'short'").select("keys", "counts").mapInArrow(_short_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     # at most 257**3 grams of three symbols exist, whatever the corpus
     order = np.argsort(short["gram"].to_numpy(np.int64))
-    table = short["gram"].to_numpy(np.int64)[order].astype(np.uint64), short["n"].to_numpy(np.int64)[order]
+    low = _levels(short["gram"].to_numpy(np.int64)[order].astype(np.uint64), short["n"].to_numpy(np.int64)[order], 0, SUFFIX - 1)
     ends = base.where("_train").count()
-    answer = _answer(spark.sparkContext.broadcast(table))
-    answered = asked.where("kind in ('gram', 'word')").groupBy("kind", "bucket").applyInArrow(answer, _ANSWERED)
-    facts = asked.where("kind = 'word'").groupBy("kind", "bucket").applyInArrow(answer, _ANSWERED).agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
+    answer = _answer(spark.sparkContext.broadcast(low))
+    by_kind = lambda kind: asked.where(F.col("kind") == kind).groupBy("kind", "bucket").applyInArrow(answer, _ANSWERED)
+    words = C.cut(by_kind("word"))
+    facts = words.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
+    answered = by_kind("gram").unionByName(words)
     tokens, types = (facts["n"] or 0) + ends, (facts["v"] or 0) + (ends > 0)
     return base.groupBy("_chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_finish(buckets, tokens, types, ends), _SCORED)
 
