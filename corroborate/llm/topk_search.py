@@ -6,14 +6,17 @@ keeps the tight bounding box of its members.  The largest inner product a box ca
 reach with a query bounds all its members, so a best-first walk opens the most
 promising box first and ends when the best open bound falls below the k-th score.
 
-Queries are a stated set and are read in blocks of ``query_rows``; each block is
-broadcast and run against every shard.  A first pass over a bounded pilot shard
-gives each query a k-th score that the second pass starts from, so the other shards
-prune from the outset.  A bound equal to the k-th score is still opened, which keeps
-ties exact.  Shard results are k rows per query, merged by a group on the query.
-
-Components are floor(256 * x) in double precision; scores are exact integers while
-they stay below 2**53, which holds for components up to 2**20 in 64 dimensions.
+Queries are a stated set, packed in blocks of ``query_rows``; every block meets every
+shard, in groups of one shard and up to ``BLOCKS`` blocks, so all of it is one job of
+Spark.  A first pass over a bounded pilot shard gives each query a k-th score that the
+second pass starts from, so the other shards prune from the outset.  A bound equal to
+the k-th score is still opened, which keeps ties exact.  Shard results are k rows per
+query, merged by a group on the query.
+
+Components are floor(256 * x) with x in double precision, held to the range of a long.
+Scores are exact integers: in doubles where they stay below 2**53 (components up to
+2**20 in 64 dimensions), else in whole numbers without the tree; beyond a long they
+read its limit.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component
 take no part, nor do rows without an id; vectors of another length than the query's
@@ -26,7 +29,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-K, QUERY_EVERY, LEAF, SHARD_ROWS, QUERY_ROWS, PILOT_ROWS = 5, 50, 128, 16_384, 4096, 4096
+K, QUERY_EVERY, LEAF, SHARD_ROWS, QUERY_ROWS, PILOT_ROWS, BLOCKS = 5, 50, 128, 16_384, 4096, 4096, 8
+EXACT, LONG = 2.0**53, (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -101,30 +104,72 @@ class KdTree:
         return best
 
 
-def _vectors(table) -> tuple[np.ndarray, list[np.ndarray]]:
-    return np.asarray(table.column("vec_id")).astype(np.int64), [np.asarray(x.values) for x in table.column("v")]
+def _pack(key, table):
+    """The vectors of a group, one row per length."""
+    ids, vectors = np.asarray(table.column("vec_id")).astype(np.int64), table.column("v").combine_chunks()
+    floors = np.asarray(table.column("floor")).astype(float)
+    sizes = np.asarray(vectors.value_lengths())
+    begin, flat = np.cumsum(sizes) - sizes, np.asarray(vectors.flatten())
+    rows: dict[str, list] = {"dim": [], "ids": [], "points": [], "floors": []}
+    for dim in np.unique(sizes):
+        own = np.flatnonzero(sizes == dim)
+        rows["dim"].append(int(dim))
+        rows["ids"].append(ids[own].tobytes())
+        rows["points"].append(flat[begin[own][:, None] + np.arange(dim)].tobytes())
+        rows["floors"].append(floors[own].tobytes())
+    kinds = {"dim": pa.int32(), "ids": pa.binary(), "points": pa.binary(), "floors": pa.binary()}
+    return pa.table({"g": pa.array([key[0].as_py()] * len(rows["dim"]), pa.int32())} | {n: pa.array(rows[n], t) for n, t in kinds.items()})
+
+
+_PACKED = "g int, dim int, ids binary, points binary, floors binary"
+
+
+def packed(vectors: DataFrame, group) -> DataFrame:
+    """One row per group and length of vectors (vec_id, v, floor)."""
+    return vectors.withColumn("g", group.cast("int")).groupBy("g").applyInArrow(_pack, _PACKED)
+
+
+def _unpacked(dim: int, ids, points, floors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(points.as_buffer(), np.float64).reshape(-1, dim), np.frombuffer(floors.as_buffer(), np.float64)
+
 
+def _whole(points: np.ndarray) -> np.ndarray:
+    """As Python integers, a saturated component as the limit of a long."""
+    return np.array([[max(-LONG - 1, min(LONG, int(x))) for x in p] for p in points], object).reshape(points.shape)
 
-def _search(queries, k: int):
-    """Top k of each query within one shard."""
 
-    def run(key, table):
-        ids, vectors = _vectors(table)
-        sizes = np.array([len(v) for v in vectors])
+def _top_exact(ids: np.ndarray, points: np.ndarray, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
+    score = points @ query
+    return heapq.nlargest(k, ((max(-LONG - 1, min(LONG, int(s))), -int(i)) for s, i in zip(score, ids, strict=True) if i != own_id))
+
+
+def _search(k: int):
+    """Top k of each query of some blocks within one shard."""
+
+    def run(key, left, right):
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        for dim, (query_ids, points, floors) in queries.value.items():
-            own = np.flatnonzero(sizes == dim)
-            if not len(own):
-                continue
-            tree = KdTree(ids[own], np.stack([vectors[i] for i in own]))
-            for at in range(0, len(query_ids), 512):
-                bound = tree.bounds(points[at : at + 512])
-                for j in range(len(bound)):
-                    q = int(query_ids[at + j])
-                    for score, neg in tree.search(points[at + j], q, k, floors[at + j], bound[j]):
-                        out["query_id"].append(q)
-                        out["vec_id"].append(-neg)
-                        out["score"].append(int(score))
+        for row in range(left.num_rows):
+            dim = left["dim"][row].as_py()
+            ids, points, _ = _unpacked(dim, *(left[n][row] for n in ("ids", "points", "floors")))
+            tree, whole = KdTree(ids, points), None
+            for b in range(right.num_rows):
+                if right["dim"][b].as_py() != dim:
+                    continue
+                query_ids, queries, floors = _unpacked(dim, *(right[n][b] for n in ("ids", "points", "floors")))
+                large = dim * np.abs(points).max() * np.abs(queries).max(axis=1) >= EXACT
+                for at in range(0, len(query_ids), 512):
+                    bound = tree.bounds(queries[at : at + 512])
+                    for j in range(at, at + len(bound)):
+                        q = int(query_ids[j])
+                        if large[j]:
+                            whole = _whole(points) if whole is None else whole
+                            found = _top_exact(ids, whole, _whole(queries[j : j + 1])[0], q, k)
+                        else:
+                            found = tree.search(queries[j], q, k, floors[j], bound[j - at])
+                        for score, neg in found:
+                            out["query_id"].append(q)
+                            out["vec_id"].append(-neg)
+                            out["score"].append(int(score))
         return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
     return run
@@ -133,29 +178,34 @@ def _search(queries, k: int):
 _FOUND = "query_id long, vec_id long, score long"
 
 
+def _meet(shards: DataFrame, n_shards: int, blocks: DataFrame, n_blocks: int, k: int) -> DataFrame:
+    """What every block finds in every shard: both are sent to groups of a shard and ``BLOCKS`` blocks."""
+    parts = math.ceil(n_blocks / BLOCKS)
+    a = shards.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).withColumnRenamed("g", "shard")
+    b = blocks.select("*", F.floor(F.col("g") / BLOCKS).cast("int").alias("block_part"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("block_shard"))
+    tasks = n_shards * parts
+    a, b = a.repartition(tasks, "shard", "part"), b.repartition(tasks, "block_shard", "block_part")
+    return a.groupBy("shard", "part").cogroup(b.groupBy("block_shard", "block_part")).applyInArrow(_search(k), _FOUND)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``vectors`` for each of ``queries`` (both with vec_id and v)."""
     spark = vectors.sparkSession
-    vectors = C.cut(vectors)
-    total = vectors.count()
-    shards = max(1, math.ceil(total / shard_rows))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
-    pilot = dealt.where(F.pmod(F.xxhash64("v", "vec_id"), F.lit(max(1, total // PILOT_ROWS))) == 0)
-    blocks = max(1, math.ceil(queries.count() / query_rows))
+    none = F.lit(float("-inf"))
+    vectors = C.cut(vectors.select("vec_id", "v"))
+    queries = C.cut(queries.select("vec_id", "v").groupBy("vec_id").agg(F.min("v").alias("v")))
+    total, asked = vectors.count(), queries.count()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, math.ceil(total / shard_rows), min(tasks, total // 2048))
+    blocks = max(1, math.ceil(asked / query_rows))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    pilot = vectors.where(F.pmod(F.xxhash64("v", "vec_id"), F.lit(max(1, total // PILOT_ROWS))) == 0).withColumn("floor", none)
+    first = _meet(packed(pilot, F.lit(0)), 1, packed(queries.withColumn("floor", none), block), blocks, k)
+    floors = first.groupBy("query_id").agg(F.min("score").cast("double").alias("_floor"), F.count("*").alias("_n")).where(F.col("_n") >= k)
+    started = queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce("_floor", none).alias("floor"))
+    found = _meet(packed(vectors.withColumn("floor", none), F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards))), shards, packed(started, block), blocks, k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).dropDuplicates(["vec_id"]).toPandas()
-        block: dict[int, tuple] = {}
-        for dim, group in rows.groupby(rows["v"].map(len)):
-            block[int(dim)] = (group["vec_id"].to_numpy(), np.stack(group["v"].to_list()), np.full(len(group), -np.inf))
-        first = pilot.groupBy(F.lit(0).alias("one")).applyInArrow(_search(spark.sparkContext.broadcast(block), k), _FOUND)
-        floor = {r.query_id: r.floor for r in first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).toLocalIterator()}
-        block = {d: (i, p, np.array([floor.get(int(q), -np.inf) for q in i], float)) for d, (i, p, _) in block.items()}
-        found = dealt.groupBy("shard").applyInArrow(_search(spark.sparkContext.broadcast(block), k), _FOUND)
-        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        out = found if out is None else out.unionByName(found)
-    return out.select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
