@@ -4,12 +4,13 @@
 already stored elsewhere, a revisit) and a metadata record, linked by
 WARC-Concurrent-To, and writes gzipped archives with Spark's text writer.
 ``read_records`` parses archives, one row per record, by Content-Length and
-checks payload digests.  ``assemble`` joins request and metadata records to the
-response or revisit they name and gives one nested row per capture.
+checks payload digests.  ``assemble`` brings request and metadata records together with
+the response or revisit they name, in one exchange on that identifier, and gives one
+nested row per capture; ``resolve`` joins revisits to the records they refer to.
 
 A payload held by a third of all pages is one row after partial aggregation; the
 join back is an inner join on the digest that adaptive execution may split.
-Files hold at most ``records_per_file`` captures.
+Files hold about ``FILE_BYTES`` of payload and at most ``RECORDS_PER_FILE`` captures.
 
 Defined results: a null html is the empty payload; of equal payloads of at least
 ``min_revisit_bytes`` bytes the largest page_id is the response (rows repeating
@@ -31,22 +32,26 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-MIN_REVISIT_BYTES, RECORDS_PER_FILE = 1000, 4096
+MIN_REVISIT_BYTES, RECORDS_PER_FILE, FILE_BYTES, SALTS = 1000, 4096, 64 << 20, 16
 CRLF = "\r\n"
 
 
 def choose_responses(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, html, digest, size, and the response's page_id where the row revisits it."""
+    """page_id, url, html, digest, size, the key of the row's records, and the response's key where the row revisits it.
+
+    A key holds the row's place in the input, so that repeated rows have records of their own."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-    ).withColumns({"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long")})
-    large = rows.where(F.col("size") >= min_revisit_bytes)
-    owner = large.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1 and owner is not null")
-    revisit = F.col("owner").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("owner")))
+    ).withColumns({"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long"), "place": F.monotonically_increasing_id()})
+    number = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
+    rows = rows.withColumn("key", F.concat_ws(":", F.lit("urn:page"), number, "digest", F.hex("place"))).drop("place")
+    large = rows.where(F.col("size") >= min_revisit_bytes).select("digest", "page_id", "key")
+    owner = large.groupBy("digest").agg(F.max(F.struct("page_id", "key")).alias("owner"), F.count("*").alias("n")).where("n > 1 and owner.page_id is not null")
+    revisit = F.col("owner").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("owner.page_id")))
     joined = rows.join(owner.drop("n"), "digest", "left")
-    return joined.withColumn("refers_to", F.when(revisit, F.col("owner"))).drop("owner")
+    return joined.withColumn("refers_to", F.when(revisit, F.col("owner.key"))).drop("owner")
 
 
 def _record(kind: str | Column, fields: list[tuple[str, Column]], content_type: str, block: Column) -> Column:
@@ -57,11 +62,12 @@ def _record(kind: str | Column, fields: list[tuple[str, Column]], content_type:
     return F.concat(F.concat_ws(CRLF, *head), F.lit(CRLF * 2), block)
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write gzipped archives below ``path``; a failed task leaves nothing behind."""
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> None:
+    """Write gzipped archives of about ``file_bytes`` of payload below ``path``; a failed task leaves nothing behind."""
+    mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0.0
+    records_per_file = max(1, min(RECORDS_PER_FILE, int(file_bytes // (mean + 1000))))
     rows = choose_responses(pages, min_revisit_bytes)
     number = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    rows = rows.withColumn("key", F.concat_ws(":", F.lit("urn:page"), number, "digest", F.hex(F.monotonically_increasing_id())))
     safe = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     host = F.coalesce(F.nullif(F.regexp_extract(safe, r"^\w+://([^/?#]*)", 1), F.lit("")), F.lit("localhost"))
     target = F.regexp_replace(safe, r"^\w+://[^/?#]*", "")
@@ -78,7 +84,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REV
     capture = [
         name("capture"), date, uri, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         ("WARC-Profile", F.when(~stored, F.lit(profile))),
-        ("WARC-Refers-To", F.when(~stored, F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(":"), "digest", F.lit(">")))),
+        ("WARC-Refers-To", F.when(~stored, F.concat(F.lit("<"), "refers_to", F.lit(":capture>")))),
     ]
     request = F.concat(F.lit("GET "), F.coalesce(F.nullif(target, F.lit("")), F.lit("/")), F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF * 2))
     about = F.concat(F.lit("page_id: "), number, F.lit(f"{CRLF}payload_bytes: "), F.col("size").cast("string"), F.lit(CRLF))
@@ -145,11 +151,26 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: capture_id and the nested request, capture and metadata records."""
+    """One row per capture: capture_id and the nested request, capture and metadata records (of several of one kind the greatest)."""
+    kind = F.col("record_type")
     nested = F.struct(*[c for c in records.columns if c != "concurrent_to"])
-    side = lambda kind: records.where(F.col("record_type") == kind).select(F.col("concurrent_to").alias("capture_id"), nested.alias(kind))
-    captures = records.where(F.col("record_type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), nested.alias("capture"))
-    return captures.join(side("request"), "capture_id", "left").join(side("metadata"), "capture_id", "left")
+    main = kind.isin("response", "revisit")
+    keyed = records.select(F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("capture_id"), kind.alias("kind"), nested.alias("r"))
+    one = lambda which, name: F.max(F.when(which, F.col("r"))).alias(name)
+    k = F.col("kind")
+    return keyed.groupBy("capture_id").agg(one(k == "request", "request"), one(k.isin("response", "revisit"), "capture"), one(k == "metadata", "metadata")).where("capture is not null")
+
+
+def resolve(captures: DataFrame) -> DataFrame:
+    """Captures with refers_to_page: the page_id of the record that a revisit refers to, null where there is none.
+
+    Many revisits may refer to one record, so both sides are salted."""
+    salt = F.pmod(F.xxhash64("capture_id"), F.lit(SALTS))
+    named = captures.where("capture.refers_to is not null").select(F.col("capture.refers_to").alias("_id")).distinct()
+    known = captures.where("capture.record_type = 'response'").select(F.col("capture_id").alias("_id"), F.col("metadata.page_id").alias("refers_to_page")).join(named, "_id")
+    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = (F.col("capture.refers_to") == F.col("_id")) & (salt == F.col("_salt"))
+    return captures.join(known, on, "left").drop("_id", "_salt")
 
 
 def round_trip(pages: DataFrame, path: str | None = None, payloads: bool = False) -> DataFrame:
@@ -161,12 +182,12 @@ def round_trip(pages: DataFrame, path: str | None = None, payloads: bool = False
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    done = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    done = resolve(C.cut(round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))))
     response = F.coalesce("capture.payload_bytes", "metadata.payload_bytes")
     return done.select(
         F.col("metadata.page_id").alias("page_id"), response.alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"),
         F.col("capture.record_type").alias("record_type"),
-        F.regexp_extract("capture.refers_to", r"^<urn:page:(-?\d+):", 1).try_cast("long").alias("refers_to"),
+        F.col("refers_to_page").alias("refers_to"),
     )
 
 
