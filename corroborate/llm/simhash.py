@@ -370,13 +370,19 @@ def _signatures(words: int):
     return run
 
 
-def _deal_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per key of each sketch: its number, the key, node and the words of the SimHash."""
+def _deal_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (bits, node) per key of each sketch; a key's band is mixed into it."""
     for batch in batches:
         both = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, BANDS + WIDTH)
-        words = [pa.array(both[:, BANDS + w].copy()) for w in range(WIDTH)]
-        for k in range(BANDS):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), k, np.int32)), pa.array(both[:, k].copy()), batch.column(0), *words], ["c", "bits", "node", *_WORD_NAMES])
+        node = np.asarray(batch.column(0)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, :BANDS].ravel()), pa.array(np.repeat(node, BANDS))], ["bits", "node"])
+
+
+def _code_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Node and the words of the SimHash of each sketch."""
+    for batch in batches:
+        both = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, BANDS + WIDTH)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(both[:, BANDS + w].copy()) for w in range(WIDTH))], ["node", *_WORD_NAMES])
 
 
 _WORD_NAMES = [f"w{k}" for k in range(WIDTH)]
@@ -450,17 +456,17 @@ def _compare(words: int, similarity: float):
     return run
 
 
-def star_links(dealt: DataFrame, rows: int, distance: int, hot_rows: int) -> DataFrame:
-    """Links u, v that join what each bucket (c, bits) proposes, one or two per node and none lost.
+def star_links(dealt: DataFrame, codes: DataFrame, rows: int, distance: int, hot_rows: int) -> DataFrame:
+    """Links u, v that join what each bucket of ``dealt`` (bits, node) proposes, one or two per node and none lost.
 
-    Buckets of up to ``hot_rows`` nodes go through the Gray-order index.  All nodes of a larger one are linked to its
-    least node, without any comparison: candidates only, so that a bucket costs one link per node.  A node's links
-    of all buckets are then drawn to the least of its up to ``BANDS`` neighbours before anything is joined."""
-    size = dealt.groupBy("c", "bits").agg(F.count("*").alias("rows"), F.min("node").alias("least")).where("rows > 1")
-    hot = size.where(F.col("rows") > hot_rows).select("c", "bits", "least")
-    marked = dealt.join(size.select("c", "bits"), ["c", "bits"], "left_semi").join(hot, ["c", "bits"], "left")
-    cool = bucket_links(marked.where("least is null").drop("least"), rows, distance, None)
-    ends = cool.unionByName(marked.where("least <> node").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    Buckets of up to ``hot_rows`` nodes go through the Gray-order index, with their ``codes`` (node and words), which
+    nodes alone in all their buckets never need.  All nodes of a larger one are linked to its least node, without any
+    comparison: candidates only, so that a bucket costs one link per node.  A node's links of all buckets are then drawn
+    to the least of its up to ``BANDS`` neighbours before anything is joined."""
+    size = dealt.groupBy("bits").agg(F.count("*").alias("rows"), F.min("node").alias("least")).where("rows > 1")
+    met = C.cut(dealt.join(size, "bits").select("bits", "node", "least", (F.col("rows") > hot_rows).alias("hot")))
+    cool = met.where("not hot").select(F.lit(0).alias("c"), "bits", "node").join(codes, "node").select("c", "bits", "node", *_WORD_NAMES)
+    ends = bucket_links(cool, rows, distance, None).unionByName(met.where("hot and least <> node").select(F.col("node").alias("u"), F.col("least").alias("v")))
     ends = ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     near = ends.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("near"))
     first = F.element_at("near", 1)
@@ -487,8 +493,9 @@ def confirmed_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, l
     marked = C.cut(base.where("doc_id is not null").mapInArrow(_signatures(words), "doc_id long, same binary, sketch binary"))
     texts = C.cut(marked.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")).withColumn("node", F.xxhash64("same")))
     kinds = ", ".join(f"{w} long" for w in _WORD_NAMES)
-    dealt = texts.select("node", "sketch").mapInArrow(_deal_sketches, f"c int, bits long, node long, {kinds}")
-    found = components(star_links(dealt, texts.count() * BANDS, WIDE_DISTANCE, BUCKET_ROWS))
+    dealt = texts.select("node", "sketch").mapInArrow(_deal_keys, "bits long, node long")
+    codes = texts.select("node", "sketch").mapInArrow(_code_words, f"node long, {kinds}")
+    found = components(star_links(dealt, codes, texts.count() * BANDS, WIDE_DISTANCE, BUCKET_ROWS))
     members = texts.join(found, "node").unionByName(texts.join(found.select(F.col("root").alias("node")).distinct(), "node").withColumn("root", F.col("node")))
     code = F.substring("sketch", 8 * BANDS + 1, 8 * WIDTH)
     left = C.cut(base.join(members.select("doc_id", "root", code.alias("code")).distinct(), "doc_id").groupBy("doc_id", "root").agg(F.min("code").alias("code"), F.min("text").alias("text")))
