@@ -194,13 +194,13 @@ class Shard:
             key, have = (rank << np.uint64(32)) | after, have * 2
 
 
-def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Refine the interleave of the shards ``rounds`` times.
 
     A round deals the interleave by the symbol in front of each suffix; the n-th of a shard
     that gets a symbol is the n-th suffix of the shard that begins with it (``front``).
-    Returns, in merged order, the entry of each suffix (shards end to end), its block of
-    equal prefixes, and the common prefix with the one before it (``rounds`` if it goes on)."""
+    Returns, in merged order, the entry of each suffix (shards end to end) and its common
+    prefix with the one before it (``rounds`` if it goes on)."""
     flat = np.concatenate(transforms)
     front, at = np.empty(len(flat), np.int32), 0
     for t in transforms:
@@ -208,7 +208,7 @@ def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.nda
         at += len(t)
     entry, block = np.arange(len(flat), dtype=np.int32), np.zeros(len(flat), np.int32)
     common = np.full(len(flat), rounds, np.int16)
-    new = np.ones(len(flat), bool)
+    new = np.ones(len(flat), bool)  # where a block of equal prefixes begins
     for k in range(rounds):
         symbol = flat[entry]
         order = np.argsort(symbol, kind="stable")
@@ -217,7 +217,7 @@ def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.nda
         new[1:] |= block[1:] != block[:-1]
         block = np.cumsum(new, dtype=np.int32)
         common[new & (common == rounds)] = k
-    return entry, block, common
+    return entry, common
 
 
 def _distinct(text: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +246,8 @@ def _repeated(text: np.ndarray, start: np.ndarray, windows: np.ndarray, owner: n
         owners.append(owner[of])
         rooms.append(s.place[s.order] < windows[of])
         first.append(begin[of] + s.place[s.order])
-    entry, block, _ = merge(shards, length)
+    entry, common = merge(shards, length)
+    block = np.cumsum(common < length)  # an interval of suffixes that share ``length`` bytes
     owned, room, window = np.concatenate(owners), np.concatenate(rooms), np.concatenate(first)
     inside = room[entry]
     entry, block = entry[inside], block[inside]

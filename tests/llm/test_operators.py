@@ -478,3 +478,69 @@ def test_long_words_and_long_texts_go_through_the_transducer(spark, monkeypatch)
         tok.decoder.reset()
         ids = np.array(got[k], np.uint32)
         assert tok.decoder.push_many(ids[:7]) + tok.decoder.push_many(ids[7:]) + tok.decoder.finish() == lib.decode(got[k], skip_special_tokens=False)
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_merged_transforms_give_the_common_prefixes():
+    rng = random.Random(13)
+    pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(60, 75))) for _ in range(12)] * 2
+    shards = [suffix_dedup.Shard(np.frombuffer(b"".join(part), np.uint8), np.array([len(p) for p in part])) for part in (pieces[:9], pieces[9:15], pieces[15:])]
+    entry, common = suffix_dedup.merge([s.bwt for s in shards], 50)
+    texts = []
+    for s, part in zip(shards, (pieces[:9], pieces[9:15], pieces[15:]), strict=True):
+        texts += [bytes(b + 1 for b in part[s.perm[s.piece[k]]][s.place[k] :]) + b"\0" for k in s.order]
+    ordered = [texts[k] for k in entry]
+    shared = lambda a, b: next((k for k in range(50) if a[k : k + 1] != b[k : k + 1] or a[k : k + 1] == b"\0"), 50)
+    assert [t[:50] for t in ordered] == sorted(t[:50] for t in texts)
+    assert all(int(common[k]) == shared(ordered[k - 1], ordered[k]) or b"\0" in ordered[k][: int(common[k]) + 1] for k in range(1, len(ordered)))
+
+
+def test_language_of_held_out_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+    rows = language_id.query(spark, SF).join(docs, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 100 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+
+
+def test_language_shares_equal_brute_force(spark):
+    rows = [(k, "der die und ein nicht " * 4 if k % 2 else "the and of with that " * 4, "de" if k % 2 else "en") for k in range(60)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    grams = lambda t: [f"  {t} "[k : k + 4] for k in range(len(t))]
+    known = {name: {g for _, t, n in rows if n == name for g in grams(t)} for name in model.languages}
+    g, first = language_id.grams(pa.array(["nicht with der zzz", "und"]))
+    shares = model.shares(g, first)
+    for k, text in enumerate(["nicht with der zzz", "und"]):
+        own = grams(text)
+        for i, name in enumerate(model.languages):
+            exact = sum(x in known[name] for x in own) / len(own)
+            assert abs(shares[k, i] - exact) <= 2 / len(own)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"  # sf0.01 holds out six toxic rows only
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic in (0, 1)").select("doc_id", "toxic")
+    rows = toxicity.query(spark, sf).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
+    bad, good = [r for r in rows if r["toxic"]], [r for r in rows if not r["toxic"]]
+    assert len(bad) > 50 and len(good) > 300
+    recall, false = sum(r["predicted"] for r in bad) / len(bad), sum(r["predicted"] for r in good) / len(good)
+    assert recall >= 0.85 and false <= 0.02, (recall, false)
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    own = [(k, f"the {LONG} word{k} and of with" if k < 3 else sentence(60) + f" n{k}", "en", "s", 1) for k in range(12)] + [(20, None, None, None, None), (21, "", "en", "s", 0), (3, "clash", "en", None, 5)]
+    frame = spark.createDataFrame(own, docs.schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame, SF)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert {r["doc_id"] for r in kept.collect()} == kept_by_brute_force([o[:2] for o in own])
+    cut = corpus_pipeline.drop_repeated_passages(spark, frame, SF)
+    gone = {i: g for (i, _), g in zip([(o[0], 0) for o in own], brute_removed([(o[0], (o[1] or "").encode().split()) for o in own], 13), strict=True)}
+    assert all((r["text"] or "").split() == [w for w, g in zip((o[1] or "").split(), gone[o[0]], strict=False) if not g] for o in own[:12] for r in cut.where(f"doc_id = {o[0]}").collect() if o[0] != 3)
+    bench = " ".join(spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"].split())
+    dirty = spark.createDataFrame([(1, "x " + bench, "en", "s", 1), (2, "a clean text", "en", "s", 1), (3, None, None, None, None)], docs.schema)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, dirty, SF).collect()} == {2, 3}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
