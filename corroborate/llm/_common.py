@@ -270,10 +270,10 @@ def window_hash(words: np.ndarray, at: np.ndarray | None, length: int, seed: int
 
 def cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of n positions lie in [s, s + length) of some start."""
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(starts + length, n), -1)
-    return np.cumsum(step[:-1]) > 0
+    begun = np.cumsum(np.bincount(starts, minlength=n))
+    open_ = begun.copy()
+    open_[length:] -= begun[:-length]
+    return open_ > 0
 
 
 ASCII_SPACE = np.zeros(256, bool)

@@ -51,6 +51,17 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
+def _distinct(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first piece of each kind, kind of each piece) of pieces of a text."""
+    a, b = (C.piece_hashes(text, start, end, which) for which in (0, 1))
+    order = np.lexsort((b, a))
+    new = np.ones(len(start), bool)
+    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    kind = np.empty(len(start), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind
+
+
 class _Chunk:
     """Windows of one chunk and the minimiser of each."""
 
@@ -96,10 +107,7 @@ class _Chunk:
             bits[pick] |= np.unpackbits(np.frombuffer(got[b], np.uint8), count=len(pick)).astype(bool)
         self.runs = np.flatnonzero(bits[self.of])
         start, size = self.at[self.head[self.runs]], self.size[self.runs]
-        kinds = np.empty(len(start), [("a", "<u8"), ("b", "<u8")])
-        for which, name in enumerate("ab"):
-            kinds[name] = C.piece_hashes(self.buf, start, start + size + self.length - 1, which)
-        _, first, self.same = np.unique(kinds, return_index=True, return_inverse=True)
+        first, self.same = _distinct(self.buf, start, start + size + self.length - 1)
         self.owner = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(self.owner, self.same, self.doc[self.runs])
         self.start, self.windows, self.where = start[first], size[first], self.bucket[self.of[self.runs[first]]]
@@ -220,18 +228,6 @@ def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.nda
     return entry, common
 
 
-def _distinct(text: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first piece of each kind, kind of each piece) of pieces that stand end to end."""
-    ends = np.cumsum(span)
-    a, b = (C.piece_hashes(text, ends - span, ends, which) for which in (0, 1))
-    order = np.lexsort((b, a))
-    new = np.ones(len(span), bool)
-    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
-    kind = np.empty(len(span), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    return order[new], kind
-
-
 def _repeated(text: np.ndarray, start: np.ndarray, windows: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     """Which windows of distinct pieces, end to end, begin a string that a smaller owner has too."""
     span = windows + length - 1
@@ -268,7 +264,7 @@ def _intervals(length: int):
         span = windows + length - 1
         start = np.cumsum(span) - span
         # equal pieces of several chunks are one, of the smallest owner
-        first, kind = _distinct(text, span)
+        first, kind = _distinct(text, start, start + span)
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, kind, owner)
         # only pieces with one minimiser can share a string
