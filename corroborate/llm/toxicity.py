@@ -8,9 +8,9 @@ decoding finds the cheapest path under channel costs and a character trigram mod
 and the restored words are scored.  Plain words of letters need no decoding: their
 lattice has one path.
 
-Everything is learnt with Spark from a sample of about ``MAX_ROWS`` labelled training
-rows, chosen by a hash.  The character model counts trigrams of their words.  The
-scorer counts the distinct texts of either label that hold a restored word or word prefix
+The character model counts trigrams over the distinct words of all training texts, and
+keeps those of at least ``MIN_GRAM_SHARE``.  The scorer learns with Spark from a sample of
+about ``MAX_ROWS`` labelled training rows, chosen by a hash: it counts the distinct texts of either label that hold a restored word or word prefix
 (case and white space make no difference), and keeps features whose share of toxic documents departs from the overall
 share by a likelihood ratio beyond ``MIN_EVIDENCE``, that are ``MIN_PURITY`` toxic and that at least
 ``MIN_SHARE`` of toxic documents hold, which bounds the model.  A document's score
@@ -39,6 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import _common as C
 
 MIN_EVIDENCE, MIN_PURITY, MIN_SHARE, PREFIXES, MAX_ROWS = 11.0, 0.92, 0.0015, (4, 5, 6), 40_000
+MIN_GRAM_SHARE = 2e-6
 
 #: Letters that a look-alike may stand for.
 LOOKALIKES = {
@@ -207,21 +208,36 @@ class Reader:
         return found
 
 
-def _char_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigrams of the distinct words of each batch of texts."""
+def _words_of_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of letters of each batch of texts."""
     for batch in C.small_batches(batches):
         words: set[str] = set()
         for text in batch.column(0).to_pylist():
             words.update((text or "").lower().split())
+        yield pa.RecordBatch.from_arrays([pa.array([w for w in words if w.isalpha()], pa.string())], ["word"])
+
+
+def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each trigram occurs in the words of a batch."""
+    for batch in batches:
         seen: dict[str, int] = {}
-        for w in words:
-            if w.isalpha() and len(w) < 40:
-                w = f"^^{w}$"
-                for k in range(len(w) - 2):
-                    seen[w[k : k + 3]] = seen.get(w[k : k + 3], 0) + 1
+        for w in batch.column(0).to_pylist():
+            w = f"^^{w}$"
+            for k in range(len(w) - 2):
+                seen[w[k : k + 3]] = seen.get(w[k : k + 3], 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
 
 
+def character_model(texts: DataFrame, min_share: float = MIN_GRAM_SHARE) -> CharModel:
+    """Trigrams of the distinct words of letters of all ``texts``, of whatever length; how texts lie in files plays no part.
+
+    Trigrams that are fewer than ``min_share`` of all are left to the back-off, so the model has at most 1 / ``min_share``."""
+    words = texts.select("text").mapInArrow(_words_of_letters, "word string").distinct()
+    grams = C.cut(words.mapInArrow(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    return CharModel({r.gram: r.n for r in grams.where(F.col("n") >= min_share * total).orderBy("gram").toLocalIterator()})
+
+
 def _feature_counts(chars, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader.shared(chars.value, wanted.value)
@@ -243,14 +259,13 @@ class ToxicModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> ToxicModel:
-    """docs: doc_id, text of training rows; labels: doc_id, toxic.  Learns from about ``max_rows`` labelled rows."""
+    """docs: doc_id, text of training rows; labels: doc_id, toxic.  Learns characters from all rows, labels from about ``max_rows``."""
     spark = docs.sparkSession
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     total = marks.count()
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1e6 * min(1.0, max_rows / max(1, total)))
     sample = C.cut(docs.join(chosen, "doc_id").select("doc_id", "text", "toxic"))
-    grams = sample.select("text").mapInArrow(_char_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    chars = CharModel({r.gram: r.n for r in grams.toLocalIterator()})
+    chars = character_model(docs)
     same = F.sha2(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")), 256)
     known = C.cut(sample.groupBy("toxic", same.alias("same")).agg(F.min("text").alias("text")).select("text", "toxic"))
     n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}

@@ -399,6 +399,17 @@ def test_toxicity_counts_every_distinct_labelled_text(spark):
     assert model.doubt["moron"] == (1 + 0.3 * (1 - share)) / (1 + 21 + 0.3)
 
 
+def test_character_model_counts_distinct_words_however_texts_are_dealt(spark):
+    rows = [(k, f"House tree{'' if k % 3 else ' ' + 'ab' * 50} x1 {'river' if k % 2 else 'Ri-ver'}") for k in range(40)] + [(None, None), (41, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    words = {w for _, t in rows for w in (t or "").lower().split() if w.isalpha()}
+    want = Counter(g for w in words for g in (f"^^{w}$"[k : k + 3] for k in range(len(w) + 1)))
+    for parts in (1, 7):
+        assert toxicity.character_model(frame.repartition(parts)).counts == want
+    assert toxicity.character_model(frame, 0.1).counts == {g: n for g, n in want.items() if n >= 0.1 * want.total()}
+    assert toxicity.character_model(frame.where("false")).counts == {}
+
+
 def words_model(words):
     return toxicity.CharModel(Counter(g for w in words for g in (f"^^{w}$"[k : k + 3] for k in range(len(w) + 1))))
 
