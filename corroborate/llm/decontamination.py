@@ -10,10 +10,11 @@ whose shingle is a prefix proposes a window start; the length and positional
 bounds drop starts for which the window would not lie inside the document; the
 rest is compared word by word over the item-sized window.
 
-The benchmark is a stated set of queries: it is read in blocks of at most
+The benchmark is a stated set of queries: it is read in blocks of about
 ``block_bytes`` of text, each small enough to broadcast, and every block is run
 against all documents, so a large benchmark costs more passes and not more
-memory.  Documents are never shuffled.
+memory.  A longer item is cut into parts that overlap by all but one word of a
+window, so each of its windows is whole in one part.  Documents are never shuffled.
 
 Defined results: words are runs of bytes outside ``\\x00-\\x2F \\x3A-\\x60 \\x7B-\\x7F``
 after lower-casing A-Z; a null text has no words; items with a null id or no
@@ -34,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _common as C
 
-WINDOW, SHINGLE, BLOCK_BYTES = 10, 3, 8 << 20
+WINDOW, SHINGLE, BLOCK_BYTES = 10, 3, 2 << 20
 
 _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[0x30:0x3A] = _NOT_WORD[0x61:0x7B] = _NOT_WORD[0x80:] = False
@@ -184,17 +185,35 @@ def _match(block, out: pa.Schema):
     return run
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list, list[str]]]:
-    """The benchmark's rows in blocks of at most ``block_bytes`` of text (one item at least)."""
+def item_parts(text: str, window: int, part_bytes: int) -> Iterator[str]:
+    """A text of more than ``part_bytes`` in parts of about so many (16 windows at least), each window of words whole in one."""
+    if len(text) * 4 <= part_bytes or len(text.encode()) <= part_bytes:
+        yield text
+        return
+    words = _Words(pa.array([text], pa.string()))
+    ends, n, first = words.start + words.size, len(words.start), 0
+    while True:
+        upto = int(np.searchsorted(ends, words.start[first] + part_bytes, side="right")) if n else 0
+        last = min(n, max(upto, first + 16 * window))
+        yield words.buf[words.start[first] : ends[last - 1]].tobytes().decode() if n else ""
+        if last == n:
+            return
+        first = last - window + 1
+
+
+def item_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[list, list[str]]]:
+    """The benchmark's rows, long ones in parts, in blocks of about ``block_bytes`` of text."""
     item_ids, texts, size = [], [], 0
     rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     for row in rows.toLocalIterator():
-        if size and size + len(row.text) > block_bytes:
-            yield item_ids, texts
-            item_ids, texts, size = [], [], 0
-        item_ids.append(row.item_id)
-        texts.append(row.text)
-        size += len(row.text)
+        for part in item_parts(row.text, window, block_bytes):
+            own = len(part.encode())
+            if size and size + own > block_bytes:
+                yield item_ids, texts
+                item_ids, texts, size = [], [], 0
+            item_ids.append(row.item_id)
+            texts.append(part)
+            size += own
     yield item_ids, texts
 
 
@@ -207,7 +226,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     out = out.withColumns({"_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>"), "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long")})
     schema = out.schema
     arrow = to_arrow_schema(schema)
-    for item_ids, texts in item_blocks(benchmark, block_bytes):
+    for item_ids, texts in item_blocks(benchmark, window, block_bytes):
         win = Windows(item_ids, texts, window)
         wanted = spark.sparkContext.broadcast(win.shingles())
         counted = C.ids(docs).select("text").mapInArrow(_count_shingles(wanted), "s int, h long, n long")

@@ -103,6 +103,18 @@ def test_decontamination(spark, docs, empty):
     assert not decontamination.decontaminate(docs, bench.where("false")).where("contaminated").count()
 
 
+@pytest.mark.parametrize("limit", [1, 900, 5_000])
+def test_parts_of_long_items_hold_every_window(limit):
+    rng = random.Random(8)
+    for n in (0, 3, 10, 159, 160, 161, 2_000):
+        text = " - ".join(rng.choice(["Zug", "été", "x" * 40, "naïve", "7"]) + str(rng.randrange(99)) for _ in range(n))
+        parts = list(decontamination.item_parts(text, 10, limit))
+        cut = [tuple(w[k : k + 10]) for w in map(lowered, parts) for k in range(max(1, len(w) - 9))]
+        own = lowered(text)
+        assert cut == [tuple(own[k : k + 10]) for k in range(max(1, len(own) - 9))]
+        assert all(len(p.encode()) <= max(limit, 160 * 46) for p in parts)
+
+
 def brute_removed(pieces, n):
     low = {}
     for i, x in pieces:
