@@ -69,7 +69,8 @@ class ByteBpe:
         self.cut = regex.compile(_CUT)
         self.parts: dict[int, tuple[int, int]] = {}
         self.rule: dict[tuple[int, int], int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.span, self.size = max(self.token) + 1, {r: len(b) for r, b in self.token.items()}
         whole = self._learn()
         self.longest = max(map(len, ranks))
         self.automaton, self.shorter = ahocorasick.Automaton(), {}
@@ -112,11 +113,11 @@ class ByteBpe:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both leaves exactly these two tokens."""
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(key := left * self.span + right)
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._undone(left, right)
+            known = self.pairs[key] = self._undone(left, right)
         return known
 
     def _undone(self, left: int, right: int) -> bool:
@@ -133,32 +134,29 @@ class ByteBpe:
             else:  # of equal merges the left one comes first, and the middle is left of this one
                 before, right = right + 1, b[0]
 
-    def _match(self, shown: str, at: int) -> int:
-        """The longest token that begins here."""
-        near = shown[at : at + self.longest]
-        return self.automaton.get(near[: self.automaton.longest_prefix(near)])
-
     def encode_piece(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        shown, n, out, at = piece.decode("latin-1"), len(piece), [], 0
-        dead = bytearray(n + 1)
-        token = self._match(shown, 0) if n else None
+        reach, begun, size, shorter, pairs, span, longest = self.automaton.longest_prefix, self.automaton.get, self.size, self.shorter, self.pairs, self.span, self.longest
+        shown, n, at, last, out = piece.decode("latin-1"), len(piece), 0, -1, []
+        dead: set[int] = set()
         while at < n:
-            while token is not None:
-                end = at + len(self.token[token])
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
-                    break
-                token = self.shorter[token]
-            if token is None:
-                dead[at] = 1
-                token = out.pop()
-                at -= len(self.token[token])
-                continue
+            near = shown[at : at + longest]
+            token = begun(near[: reach(near)])  # the longest that begins here
+            while True:
+                if token is None:
+                    dead.add(at)
+                    token = out.pop()
+                    last = out[-1] if out else -1
+                    at -= size[token]
+                elif not dead or at + size[token] not in dead:
+                    fits = last < 0 or pairs.get(last * span + token)
+                    if fits or (fits is None and self.compatible(last, token)):
+                        break
+                token = shorter[token]
             out.append(token)
-            at = end
-            if at < n:
-                token = self._match(shown, at)
+            at += size[token]
+            last = token
         return out
 
     def stretches(self, text: str) -> Iterator[list[str]]:
