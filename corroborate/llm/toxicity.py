@@ -55,7 +55,9 @@ _APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€*#%])(?:\s(?:[^\W_]|[@$!|+(€*
 _MIXED = re.compile(r"[\w@$!|+(€*#%.\-~'`­​]+")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _RUN = re.compile(r"(\S\s?)\1{8,}")  # repetitions beyond eight tell no readings apart
-PIECE, OVERLAP = 512, 128  # a longer stretch is decoded in pieces
+_BETWEEN = re.compile("[" + re.escape("".join(sorted(SEPARATORS))) + r"\s]")
+_MINGLED = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]")  # letters and other signs
+WORD, EDGE, COMMIT = 512, 128, 256
 
 
 @dataclass
@@ -97,11 +99,23 @@ def _options(ch: str, again: bool) -> tuple[tuple[str, float], ...]:
     return tuple(options or [("", 4 * DROP_COST)])
 
 
+def _path(back: list[dict[str, tuple[str, str]]], state: str) -> list[str]:
+    """The letters read on the way to ``state``."""
+    read = []
+    for came in reversed(back):
+        state, out = came[state]
+        read.append(out)
+    return read[::-1]
+
+
 def readings(stretch: str, model: CharModel, ends: Iterable[int], several: bool = False) -> list[str]:
-    """The cheapest reading of each of the stretch's beginnings that end at ``ends``; of ``several`` words, if so, which separators set apart."""
+    """The cheapest reading of each of the stretch's beginnings that end at ``ends``; of ``several`` words, if so, which separators set apart.
+
+    Every ``COMMIT`` signs the columns behind the state through which all open paths lead are read off and given up, so
+    memory does not follow the stretch's length and the reading is that of the whole lattice."""
     costs: dict[str, float] = {"^^": 0.0}
     back: list[dict[str, tuple[str, str]]] = []  # by column: the state before and the letter read
-    previous, ends, found = "", set(ends), []
+    previous, ends, found, settled = "", set(ends), [], []
     for at, ch in enumerate(stretch.lower(), 1):
         options = _options(ch, ch == previous)
         now: dict[str, float] = {}
@@ -121,11 +135,15 @@ def readings(stretch: str, model: CharModel, ends: Iterable[int], several: bool
         back.append(came)
         if at in ends:
             _, state = min((cost + model.cost(state + "$"), state) for state, cost in costs.items())
-            read = []
-            for came in reversed(back):
-                state, out = came[state]
-                read.append(out)
-            found.append("".join(reversed(read)))
+            found.append("".join(settled + _path(back, state)))
+        if at % COMMIT == 0:
+            live = set(costs)
+            for k in range(len(back) - 1, 0, -1):
+                live = {back[k][state][0] for state in live}
+                if len(live) == 1:
+                    settled += _path(back[:k], *live)
+                    back = back[k:]
+                    break
     return found
 
 
@@ -135,30 +153,28 @@ def restore(stretch: str, model: CharModel) -> str:
 
 
 def all_readings(stretch: str, model: CharModel) -> set[str]:
-    """Readings of the whole stretch and of what is left when characters at its ends are plain punctuation or digits."""
+    """Readings of the whole stretch and of what is left when characters at its ends are plain punctuation or digits.
+
+    A word has at most ``EDGE`` look-alikes ahead of its first letter or digit and behind its last, and counts by its first
+    ``WORD`` signs if it has more, whatever the stretch's length."""
     stretch = stretch.lower().strip(_PLAIN_ENDS)
     plain = [k for k, ch in enumerate(stretch) if ch.isalnum()]
-    letters = [k for k, ch in enumerate(stretch) if ch.isalpha()]
+    last = next((k + 1 for k in range(len(stretch) - 1, -1, -1) if stretch[k].isalpha()), None)
     if not stretch:
         return set()
-    begins = {k for k in range(plain[0] + 1) if k == 0 or stretch[k] != stretch[k - 1]} if plain else {0}
-    ends = {len(stretch), *(range(plain[-1] + 1, len(stretch)) if plain else ())} | ({letters[-1] + 1} if letters else set())
-    return {r for b in begins for r in readings(stretch[b:], model, [e - b for e in ends])}
+    begins = {0} | ({k for k in range(max(1, plain[0] - EDGE), plain[0] + 1) if stretch[k] != stretch[k - 1]} if plain else set())
+    ends = {len(stretch), *(range(plain[-1] + 1, min(len(stretch), plain[-1] + 1 + EDGE)) if plain else ())} | ({last} if last else set())
+    return {r for b in begins for r in readings(stretch[b : b + WORD], model, {min(e - b, WORD) for e in ends})}
 
 
 def hidden_words(stretch: str, model: CharModel) -> set[str]:
-    """Words of a stretch of any length, read as one word and, if it holds separators, as several.
-
-    Of pieces that overlap, a word cut by the edge of one is whole in its neighbour."""
+    """Words of a stretch of any length, read as one word and, if separators spell it out or set look-alikes apart, as several."""
     stretch = _RUN.sub(lambda m: 8 * m.group(1), stretch.lower())
-    words = all_readings(stretch, model) if len(stretch) <= PIECE else set()
-    if words and sum(ch in SEPARATORS or ch.isspace() for ch in stretch) < 3:
+    words = all_readings(stretch, model)
+    parts = _BETWEEN.split(stretch)
+    if words and len(parts) < 4 and (len(parts) < 2 or not any(_MINGLED.search(p) for p in parts)):
         return words
-    for at in range(0, max(1, len(stretch) - OVERLAP), PIECE - OVERLAP):
-        piece = stretch[at : at + PIECE]
-        found = readings(piece, model, [len(piece)], several=True)[0].split()
-        words.update(found[at > 0 : len(found) - (at + PIECE < len(stretch) and len(found) > 1)])
-    return words
+    return words.union(*(r.split() for r in readings(stretch, model, [len(stretch)], several=True)))
 
 
 class Reader:

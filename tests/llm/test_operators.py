@@ -448,6 +448,47 @@ def test_toxicity_decodes_stretches_of_any_length():
         assert "moron" in reader.features("m" + "o" * n + "ron")
 
 
+def test_toxicity_reads_a_hidden_word_alike_at_every_length():
+    words = ["river", "house", "stone", "moron", "stupid"]
+    reader = toxicity.Reader(words_model(words * 30))
+    for n in (10, 200, 490, 505, 513, 525, 2_000, 30_000):
+        digits = "".join(RND.choice("0123456789") for _ in range(n))
+        assert "moron" in reader.features(f"so m0ron{digits} it"), n
+        assert "moro*" in reader.features(f"so m0ron{'xqz' * (n // 3)} it"), n
+        assert "moron" in reader.features(f"so {'!?' * (n // 2)}m0ron it") and "moron" in reader.features(f"so m0ron{'?+' * (n // 2)} it"), n
+        assert "stupid" in reader.features("so " + "house." * (n // 6) + "5tup1d it"), n
+        assert "stupid" in reader.features("so " + "-".join(8 * c for c in "stup1d") + "-house" * (n // 6)), n
+
+
+def every_path(stretch, model):
+    """(cost, reading) of every path through a stretch's lattice."""
+    paths, previous = [(0.0, "^^", "")], ""
+    for ch in stretch.lower():
+        paths = [(c + x + (model.cost(state + out) if out else 0.0), state[1] + out if out else state, read + out) for c, state, read in paths for out, x in toxicity._options(ch, ch == previous)]
+        previous = ch
+    return [(c + model.cost(state + "$"), read) for c, state, read in paths]
+
+
+def test_toxicity_reading_is_the_cheapest_of_all_paths():
+    model = words_model(["moron", "stupid", "idiot", "ass", "house", "it", "is"] * 5)
+    for k in range(400):
+        stretch = "".join(RND.choice("m0or1is!$|-.taA*7 ") for _ in range(RND.randrange(1, 8)))
+        paths = every_path(stretch, model)
+        read = toxicity.restore(stretch, model)
+        assert min(c for c, r in paths if r == read) <= min(c for c, _ in paths) + 1e-9, stretch
+
+
+def test_toxicity_commits_nothing_that_a_later_sign_changes(monkeypatch):
+    model = words_model(["moron", "stupid", "idiot", "ass", "house", "it", "is"] * 5)
+    for k in range(60):
+        stretch = "".join(RND.choice("m0or1is!$|-.tup5d7d ") for _ in range(90))
+        want = {}
+        for step in (10_000, 1, 7):
+            monkeypatch.setattr(toxicity, "COMMIT", step)
+            want[step] = [toxicity.readings(stretch, model, [1, 40, 90], several) for several in (False, True)]
+        assert want[1] == want[7] == want[10_000]
+
+
 def thue_morse(n):
     return "".join("ab"[k.bit_count() % 2] for k in range(n))
 
