@@ -20,8 +20,7 @@ def normalize_location(c: Column) -> Column:
     x = F.regexp_replace(norm(c), r"(?i)^STA\.?", "")
     x = F.regexp_replace(x, r"(?i)^K(?=\d)", "")
     x = F.regexp_replace(x, r"^(.*?\d)\.0(?=(?:km|m|㎡|㎥))", "$1")
-    x = F.when(x.rlike(rf"^{NUMBER}(?:~{NUMBER})?$"), F.concat(x, F.lit("m"))).otherwise(x)
-    return F.nullif(x, F.lit(""))
+    return F.nullif(F.regexp_replace(x, rf"^({NUMBER}(?:~{NUMBER})?)$", "$1m"), F.lit(""))
 
 
 def parse_range(c: Column) -> Column:

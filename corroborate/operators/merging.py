@@ -60,7 +60,7 @@ def merge_records(records: DataFrame) -> DataFrame:
     weak = {**_keys(), "k_group": T.norm(F.col("group_no"))}
     keyed = first.select("*", *[c.alias(k) for k, c in weak.items()])
     keys = ["report_id", *weak]
-    facts = keyed.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(T.norm(F.col("location"))).alias("places"), F.sum(F.size("pages")).alias("p"), F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("d"))
+    facts = keyed.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(T.norm(F.col("location"))).alias("places"), F.sum(F.size(F.array_distinct("pages"))).alias("p"), F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("d"))
     apart = facts.where("n > 1 and places > 1 and p = d").select(*[F.col(k).alias(f"_{k}") for k in keys])
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     second = _merge(keyed.join(apart, on, "left_semi"), keys, True)

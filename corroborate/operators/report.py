@@ -58,9 +58,13 @@ def search_records(records: DataFrame, photos: DataFrame, text: str) -> DataFram
 
 
 def final_records(records: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
-    """All but excluded records; only those of the chosen ids if a choice is given."""
+    """All but excluded records; of reports in ``chosen`` (report_id, id) only those named there, of the others all."""
     kept = records.where(~F.col("status").eqNullSafe("excluded"))
-    return kept if chosen is None else kept.join(chosen.select("id").distinct(), "id", "left_semi")
+    if chosen is None:
+        return kept
+    named = chosen.select("report_id", "id").where("id is not null").distinct()
+    whole = kept.join(named.select("report_id").distinct(), "report_id", "left_anti")
+    return kept.join(named, ["report_id", "id"], "left_semi").unionByName(whole)
 
 
 def final_photos(photos: DataFrame) -> DataFrame:
@@ -163,22 +167,22 @@ def add_and_delete(records: DataFrame, blanks: DataFrame, deleted: DataFrame) ->
 
 
 def set_locks(truths: DataFrame, changes: DataFrame) -> DataFrame:
-    """Ground truths with lock changes (case_id, locked, at) applied: the last one holds, all are kept as revisions in turn."""
-    by = changes.groupBy("case_id").agg(F.max_by("locked", "at").alias("_now"), F.array_sort(F.collect_list(F.struct("at", "locked"))).alias("_new"))
+    """Ground truths with lock changes (case_id, locked, at) applied: the last one holds, of one time the lock; all are kept as revisions in turn."""
+    by = changes.groupBy("case_id").agg(F.max_by("locked", F.struct("at", "locked")).alias("_now"), F.array_sort(F.collect_list(F.struct("at", "locked"))).alias("_new"))
     out = truths.join(by, "case_id", "left")
     none = F.array().cast("array<struct<at:timestamp,locked:boolean>>")
     return out.withColumns({"locked": F.coalesce("_now", "locked"), "revisions": F.coalesce("_new", none)}).drop("_now", "_new")
 
 
 def override_no_photo(records: DataFrame, changes: DataFrame) -> DataFrame:
-    """``no_photo`` set or cleared by the last change (report_id, id, on, at) of a record."""
-    by = changes.groupBy("report_id", "id").agg(F.max_by("on", "at").alias("_on"))
+    """``no_photo`` set or cleared by the last change (report_id, id, on, at) of a record; of changes at one time, setting it holds."""
+    by = changes.groupBy("report_id", "id").agg(F.max_by("on", F.struct("at", "on")).alias("_on"))
     return records.join(by, ["report_id", "id"], "left").withColumn("no_photo", F.coalesce("_on", "no_photo")).drop("_on")
 
 
 def decide_candidates(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Candidates with the last decision (excluded or deferred) on each; none is removed."""
-    by = decisions.groupBy("candidate_id").agg(F.max_by("decision", "at").alias("_d"))
+    """Candidates with the last decision (excluded or deferred) on each, of one time the later in the alphabet; none is removed."""
+    by = decisions.groupBy("candidate_id").agg(F.max_by("decision", F.struct("at", "decision")).alias("_d"))
     return candidates.join(by, "candidate_id", "left").withColumn("decision", F.coalesce("_d", "decision")).drop("_d")
 
 

@@ -17,7 +17,7 @@ def edit_history(records: DataFrame, edits: DataFrame, key: str, fields: list[st
 def apply_edits(records: DataFrame, history: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:
     """Records with the last value of each edited field, and how many fields are overridden."""
     by = history.groupBy(key).agg(
-        *[F.max_by(F.struct("to"), F.when(F.col("field") == f, F.col(order))).alias(f"_{f}") for f in fields],
+        *[F.max_by(F.struct("to"), F.when(F.col("field") == f, F.struct(order, "to"))).alias(f"_{f}") for f in fields],
         F.size(F.collect_set("field")).alias("_n"),
     )
     out = records.join(by, key, "left")
@@ -26,10 +26,11 @@ def apply_edits(records: DataFrame, history: DataFrame, key: str, fields: list[s
 
 
 def upsert(current: DataFrame, puts: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row put under each key, of both tables; reduced before the shuffle."""
+    """The last row put under each key, of both tables; reduced before the shuffle.  Of rows of one order the one that is larger column by column (maps apart)."""
     both = current.unionByName(puts)
     rest = [c for c in both.columns if c != key]
-    return both.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*")
+    turn = F.struct(order, *[c for c in rest if "map<" not in both.schema[c].dataType.simpleString()])
+    return both.groupBy(key).agg(F.max_by(F.struct(*rest), turn).alias("_row")).select(key, "_row.*")
 
 
 def migrate(rows: DataFrame, defaults: dict[str, Column], legacy: Column) -> DataFrame:

@@ -1,3 +1,3 @@
 """Queries by subject; importing the package registers all of them."""
 
-from . import inspection, registry, reporting, review  # noqa: F401
+from . import approvals, inspection, registry, reporting, review, truth  # noqa: F401

@@ -169,7 +169,7 @@ _KEYED = f"report_id, {T.nrm('section')} AS k1, {T.nrm('damage_name')} AS k2, pa
 
 @query(f"""WITH {T.R_SQL}, a AS (SELECT * EXCLUDE (report_id), [p1, p2] AS pages, {_KEYED}, {T.nrm('location')} AS k5 FROM r),
 m1 AS ({_merge_sql('a', ['report_id', 'k1', 'k2', 'k3', 'k4', 'k5'], False)}), b AS (SELECT * EXCLUDE (report_id), {_KEYED}, {T.nrm('group_no')} AS k5, {T.nrm('location')} AS place FROM m1),
-g AS (SELECT report_id, k1, k2, k3, k4, k5 FROM b GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT place) > 1 AND sum(len(pages)) = len(list_distinct(flatten(list(pages))))),
+g AS (SELECT report_id, k1, k2, k3, k4, k5 FROM b GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT place) > 1 AND sum(len(list_distinct(pages))) = len(list_distinct(flatten(list(pages))))),
 h AS (SELECT b.* FROM b SEMI JOIN g USING (report_id, k1, k2, k3, k4, k5)), m2 AS ({_merge_sql('h', ['report_id', 'k1', 'k2', 'k3', 'k4', 'k5'], True)}),
 u AS (SELECT id, location, group_no, repair_method, quantity, quantity_group, status, merged, conflicts, pages, source_ids FROM b ANTI JOIN g USING (report_id, k1, k2, k3, k4, k5)
   UNION ALL SELECT id, location, group_no, repair_method, quantity, quantity_group, status, merged, conflicts, pages, source_ids FROM m2)

@@ -50,9 +50,9 @@ def record_search(t) -> DataFrame:
 
 @query(f"""WITH {_SHOWN} SELECT id AS no, coalesce(quantity, quantity_group, '-') AS quantity, n_photos::INT AS photo_count,
   CASE cv_result WHEN 'matched' THEN '일치' WHEN 'conflict' THEN '불일치' WHEN 'missingInAdditional' THEN '추가자료 미확인' ELSE '-' END AS cross_check,
-  CASE status WHEN 'confirmed' THEN '🟢 확인완료' WHEN 'review' THEN '🟡 검토필요' WHEN 'conflict' THEN '🔴 수정필요' END AS status FROM v WHERE status <> 'excluded' AND n % 3 = 0""")
+  CASE status WHEN 'confirmed' THEN '🟢 확인완료' WHEN 'review' THEN '🟡 검토필요' WHEN 'conflict' THEN '🔴 수정필요' END AS status FROM v WHERE status <> 'excluded' AND (n % 3 = 0 AND report_id % 2 = 0 OR report_id NOT IN (SELECT report_id FROM r WHERE n % 3 = 0 AND report_id % 2 = 0))""")
 def final_damage_rows(t) -> DataFrame:
-    chosen = T.records(t).where("n % 3 = 0").select("id")
+    chosen = T.records(t).where("n % 3 = 0 and report_id % 2 = 0").select("report_id", "id")
     return R.damage_rows(R.final_records(_reviewed(t), chosen)).select("no", "quantity", "photo_count", "cross_check", "status")
 
 
@@ -153,7 +153,7 @@ def records_added_and_deleted(t) -> DataFrame:
     return R.add_and_delete(T.records(t), blanks.withColumn("report_id", -F.col("report_id")), gone.where("id not like 'NEW-%' or report_id > 0").unionByName(gone.where("id like 'NEW-%'").select((-F.col("report_id")).alias("report_id"), "id"))).select("id", "part", "status")
 
 
-@query("""SELECT user_id AS case_id, arg_max(value >= 50, ts) AS locked, count(*)::INT AS n_revisions FROM events WHERE user_id % 2 = 0 GROUP BY 1
+@query("""SELECT user_id AS case_id, arg_max(coalesce(value >= 50, false), (ts, coalesce(value >= 50, false))) AS locked, count(*)::INT AS n_revisions FROM events WHERE user_id % 2 = 0 GROUP BY 1
 UNION ALL SELECT DISTINCT user_id, true, 0 FROM events WHERE user_id % 2 = 1""")
 def truth_locks(t) -> DataFrame:
     events = t("events")
@@ -162,7 +162,7 @@ def truth_locks(t) -> DataFrame:
     return R.set_locks(truths, changes).select("case_id", "locked", F.size("revisions").alias("n_revisions"))
 
 
-@query(f"""WITH {T.R_SQL}, d AS (SELECT l_orderkey, arg_max(l_returnflag = 'R', l_linenumber * 1000000 + l_partkey) AS o FROM lineitem GROUP BY 1)
+@query(f"""WITH {T.R_SQL}, d AS (SELECT l_orderkey, arg_max(l_returnflag = 'R', (l_linenumber * 1000000 + l_partkey, l_returnflag = 'R')) AS o FROM lineitem GROUP BY 1)
 SELECT id, coalesce(o, no_photo) AS no_photo FROM r LEFT JOIN d ON l_orderkey = n""")
 def no_photo_overrides(t) -> DataFrame:
     lines = t("lineitem").select(F.col("l_orderkey").alias("n"), (F.col("l_returnflag") == "R").alias("on"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("at"))
