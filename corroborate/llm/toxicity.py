@@ -56,6 +56,7 @@ _MIXED = re.compile(r"[\w@$!|+(€*#%.\-~'`­​]+")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _RUN = re.compile(r"(\S\s?)\1{8,}")  # repetitions beyond eight tell no readings apart
 _BETWEEN = re.compile("[" + re.escape("".join(sorted(SEPARATORS))) + r"\s]")
+_PARTED = re.compile("[" + re.escape(_PLAIN_ENDS) + r"\s]")
 _MINGLED = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]")  # letters and other signs
 WORD, EDGE, COMMIT = 512, 128, 256
 
@@ -115,21 +116,28 @@ def readings(stretch: str, model: CharModel, ends: Iterable[int], several: bool
     memory does not follow the stretch's length and the reading is that of the whole lattice."""
     costs: dict[str, float] = {"^^": 0.0}
     back: list[dict[str, tuple[str, str]]] = []  # by column: the state before and the letter read
-    previous, ends, found, settled = "", set(ends), [], []
+    previous, ends, found, settled, known = "", set(ends), [], [], model.memo
     for at, ch in enumerate(stretch.lower(), 1):
         options = _options(ch, ch == previous)
         now: dict[str, float] = {}
         came: dict[str, tuple[str, str]] = {}
         apart = several and ch in SEPARATORS
-        for state, cost in costs.items():
+        one = len(options) == 1 and len(costs) == 1 and not apart and options[0][0]
+        if one:  # a letter after a settled beginning
+            (state, cost), (out, extra) = *costs.items(), options[0]
+            step = known.get(state + out)
+            into = state[1] + out
+            now[into], came[into] = cost + extra + (model.cost(state + out) if step is None else step), (state, out)
+        for state, cost in () if one else costs.items():
             for out, extra in (*options, (" ", DROP_COST)) if apart and state != "^^" else options:
-                if out == " ":
-                    into, value = "^^", cost + extra + model.cost(state + "$")
-                elif out:
-                    into, value = state[1] + out, cost + extra + model.cost(state + out)
+                into, gram = (state[1] + out, state + out) if out != " " else ("^^", state + "$")
+                if out:
+                    step = known.get(gram)
+                    value = cost + extra + (model.cost(gram) if step is None else step)
                 else:
                     into, value = state, cost + extra
-                if into not in now or (value, (state, out)) < (now[into], came[into]):
+                best = now.get(into)
+                if best is None or value < best or (value == best and (state, out) < came[into]):
                     now[into], came[into] = value, (state, out)
         costs, previous = now, ch
         back.append(came)
@@ -171,8 +179,8 @@ def hidden_words(stretch: str, model: CharModel) -> set[str]:
     """Words of a stretch of any length, read as one word and, if separators spell it out or set look-alikes apart, as several."""
     stretch = _RUN.sub(lambda m: 8 * m.group(1), stretch.lower())
     words = all_readings(stretch, model)
-    parts = _BETWEEN.split(stretch)
-    if words and len(parts) < 4 and (len(parts) < 2 or not any(_MINGLED.search(p) for p in parts)):
+    spelt, parts = [[p for p in x.split(stretch) if p] for x in (_BETWEEN, _PARTED)]
+    if words and len(spelt) < 4 and (len(parts) < 2 or not any(_MINGLED.search(p) for p in parts)):
         return words
     return words.union(*(r.split() for r in readings(stretch, model, [len(stretch)], several=True)))
 
@@ -192,6 +200,8 @@ class Reader:
         return kept[id(wanted)][0]
 
     def of_token(self, token: str) -> tuple[str, ...]:
+        if token.isalpha() and not _THRICE.search(token.lower()):
+            return self.of_word(token.lower())
         words = set(_WORD.findall(token.lower()))
         if _THRICE.search(token.lower()):
             for w in list(words):
@@ -203,10 +213,13 @@ class Reader:
                     words |= hidden_words(m, self.model)
         return self.of_words(words)
 
+    def of_word(self, word: str) -> tuple[str, ...]:
+        """A word and its beginnings, those wanted."""
+        found = (word, *[word[:n] + "*" for n in PREFIXES if len(word) >= n])
+        return found if self.wanted is None else tuple(f for f in found if f in self.wanted)
+
     def of_words(self, words: set[str]) -> tuple[str, ...]:
-        found = {w for w in words if w}
-        found.update([w[:n] + "*" for w in found for n in PREFIXES if len(w) >= n])
-        return tuple(found if self.wanted is None else found & self.wanted)
+        return tuple({f for w in words if w for f in self.of_word(w)})
 
     def features(self, text: str | None) -> set[str]:
         text, memo = text or "", self.memo
