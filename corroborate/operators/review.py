@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corroborate.operators import scan
+
 
 def counts(rows: DataFrame, predicates: dict[str, Column]) -> DataFrame:
     """One row with a conditional count per predicate."""
@@ -69,5 +71,5 @@ def set_changes(rows: DataFrame, by: str, item: str, later: Column) -> DataFrame
 
 
 def carry_forward(rows: DataFrame, by: str, order: str, label: Column, name: str) -> DataFrame:
-    """The last label seen so far in the group."""
-    return rows.withColumn(name, F.last(label, ignorenulls=True).over(Window.partitionBy(by).orderBy(order)))
+    """The last label seen so far in the group, however large it is."""
+    return scan.last_seen(rows, [by], [order], label, name)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corroborate.operators import scan
+
 
 def edit_history(records: DataFrame, edits: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:
     """Edits (key, field, to, order) that changed something, each with the value it replaced; edits of unknown rows are no edits."""
     now = records.unpivot([key], [F.col(f).cast("string").alias(f) for f in fields], "field", "_original")
-    w = Window.partitionBy(key, "field").orderBy(order)
-    seen = edits.join(now, [key, "field"]).withColumn("from", F.when(F.row_number().over(w) == 1, F.col("_original")).otherwise(F.lag("to").over(w)))
+    told = scan.lagged(edits.select(key, "field", "to", order), [key, "field"], [order, "to"], F.col("to"), "_before")
+    seen = told.join(now, [key, "field"]).withColumn("from", F.when(F.col("_before").isNull(), F.col("_original")).otherwise(F.col("_before.v")))
     return seen.where(~F.col("from").eqNullSafe(F.col("to"))).select(key, "field", "from", "to", order, F.col("_original").alias("original"))
 
 
@@ -62,15 +64,15 @@ def approve(candidates: DataFrame, records: DataFrame, keys: list[str], candidat
 
 def transitions(rows: DataFrame, by: str, order: list[str], status: Column, targets: list[str]) -> DataFrame:
     """Rows where the status turns into one of ``targets``."""
-    w = Window.partitionBy(by).orderBy(*order)
-    told = rows.withColumn("to", status).withColumn("from", F.lag("to").over(w))
+    told = scan.lagged(rows.withColumn("to", status), [by], order, F.col("to"), "_before").withColumn("from", F.col("_before.v")).drop("_before")
     return told.where(F.col("to").isin(targets) & F.col("from").isNotNull() & (F.col("from") != F.col("to")))
 
 
 def numbered(rows: DataFrame, by: str, order: list[str], prefix: str, width: int) -> DataFrame:
     """Ids such as AD001, counted within each report."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return rows.withColumn("id", F.concat(F.lit(prefix), F.when(place < 10**width, F.lpad(place.cast("string"), width, "0")).otherwise(place.cast("string"))))
+    told, place = scan.numbered(rows, [by], order, "_place"), F.col("_place")
+    shown = F.when(place < 10**width, F.lpad(place.cast("string"), width, "0")).otherwise(place.cast("string"))
+    return told.withColumn("id", F.concat(F.lit(prefix), shown)).drop("_place")
 
 
 def first_of_group(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
