@@ -354,4 +354,16 @@ def tumbling_window_counts(t) -> DataFrame:
     return windowed_counts(t("events"), "ts", "event_type", "1 hour")
 
 
+@query("SELECT start, event_type, count(*) AS n FROM (SELECT unnest([b, b - INTERVAL 30 MINUTE]) AS start, event_type FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS b, event_type FROM events WHERE ts IS NOT NULL)) GROUP BY ALL")
+def sliding_window_counts(t) -> DataFrame:
+    return windowed_counts(t("events"), "ts", "event_type", "1 hour", slide="30 minutes")
+
+
+@query("""WITH s AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 1 DAY AS cut FROM events WHERE ts IS NOT NULL),
+g AS (SELECT user_id, ts, coalesce(sum(cut::INT) OVER (PARTITION BY user_id ORDER BY ts), 0) AS k FROM s)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 DAY AS "end", count(*) AS n FROM g GROUP BY user_id, k""")
+def session_window_counts(t) -> DataFrame:
+    return session_counts(t("events"), "ts", "user_id", "1 day")
+
+
 FLAGSHIP = QUERIES["merge_exact_duplicates"]
