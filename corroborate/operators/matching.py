@@ -78,12 +78,17 @@ def photo_pairs(photos: DataFrame, records: DataFrame) -> DataFrame:
     """report_id, photo_id, id, score, reasons, conflict, confidence and status of every pair with a signal."""
     p, r = (lambda f: F.col(f"p.{f}")), (lambda f: F.col(f"r.{f}"))
     holds = photo_signals(p, r)
-    pairs = prepared(photos).alias("p").join(prepared(records).alias("r"), F.col("p.report_id") == F.col("r.report_id"))
-    pairs = pairs.select(F.col("p.report_id").alias("report_id"), "p.photo_id", "r.id", *[c.alias(f"_{n}") for n, c in holds.items()], hard_conflict(p, r).alias("conflict"))
-    total = sum((F.col(f"_{n}").cast("int") * PHOTO_WEIGHTS[n] for n in holds), F.lit(0))
-    reasons = F.array_compact(F.array(*[F.when(F.col(f"_{n}"), n) for n in holds]))
+    # sorted and merged, never broadcast: a report's pairs are many more than its rows, and a large report can be split
+    pairs = prepared(photos).alias("p").join(prepared(records).hint("merge").alias("r"), F.col("p.report_id") == F.col("r.report_id"))
+    bits = sum((F.when(c, 1 << k).otherwise(0) for k, c in enumerate(holds.values())), F.lit(0))
+    # an array of one keeps the filter above the join, so that the signals are looked at once a pair
+    told = F.inline(F.array(F.struct(bits.alias("bits"), hard_conflict(p, r).alias("conflict"))))
+    pairs = pairs.select(F.col("p.report_id").alias("report_id"), "p.photo_id", "r.id", told).where("bits > 0")
+    has = lambda k: F.col("bits").bitwiseAND(1 << k) != 0
+    total = sum((F.when(has(k), PHOTO_WEIGHTS[n]).otherwise(0) for k, n in enumerate(holds)), F.lit(0))
+    reasons = F.array_compact(F.array(*[F.when(has(k), n) for k, n in enumerate(holds)]))
     scored = pairs.select("report_id", "photo_id", "id", F.least(total, F.lit(PHOTO_BEST)).alias("score"), reasons.alias("reasons"), "conflict")
-    scored = scored.where("score > 0").withColumn("confidence", F.col("score") / PHOTO_BEST)
+    scored = scored.withColumn("confidence", F.col("score") / PHOTO_BEST)
     sure = (F.col("confidence") >= CONFIRM) & ~F.col("conflict")
     return scored.withColumn("status", F.when(sure, "confirmed").when((F.col("confidence") >= MAYBE) | F.col("conflict"), "review").otherwise("unmatched"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corroborate.functions import text as T
 from corroborate.operators import linkage as L
 from corroborate.operators import review as R
-from corroborate.streaming.events import windowed_counts
+from corroborate.streaming.events import session_counts, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
