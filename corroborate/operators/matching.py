@@ -8,7 +8,7 @@ and the fields of a candidate.  Null and empty values match nothing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroborate.functions import domain as D
@@ -149,16 +149,55 @@ _FIELDS = ["section", "damage_name", "part", "sub_part", "location", "repair_met
 _STATE = "struct<" + ",".join(f"{f}:string" for f in FILLABLE) + ",matched:array<string>,conflicts:array<string>,filled:array<string>,n_matched:int,group_confirmed:boolean>"
 
 
+_COMPARED = ["id", "group_no", "section", "damage_name", "part", "sub_part", "location", "repair_method", "quantity", "quantity_group"]
+
+
+def _compared() -> Column:
+    """All of a record that a candidate is held against; equal records are one."""
+    return F.struct(*[F.col(c).cast("string").alias(c) for c in _COMPARED])
+
+
+def _winners(records: DataFrame, evidence: DataFrame) -> DataFrame:
+    """report_id, _k and _documents: by document the candidates that may be the best of a record while its blanks are filled.
+
+    A blank that is filled can give a candidate the field's weight or take it away.  So each has a highest and a lowest
+    score; one whose highest is below another's lowest, or equal and behind it in the document, is never the best."""
+    norm, given = (lambda c: T.norm(F.col(c))), (lambda c: D.given(F.col(c)))
+    own = records.select("report_id", _compared().alias("_k")).distinct().select("report_id", "_k", "_k.*")
+    names = ["section", "damage_name", "sub_part", "repair_method"]
+    amounts = {f"r_{c}": F.when(given(c), norm(c)) for c in ("quantity", "quantity_group")}
+    own = own.withColumns({f"r_{c}": norm(c) for c in ("id", "group_no", *names)} | amounts | {"r_place": T.normalize_location(F.col("location")), "r_part": F.col("part")})
+    own = own.withColumns({f"b_{c}": D.blank(F.col(c)) for c in FILLABLE})
+    theirs = evidence.withColumns({f"c_{c}": F.when(given(c), norm(c)) for c in (*names, "quantity", "photo_no")} | {"c_place": T.normalize_location(F.col("location")), "c_part": F.when(given("part"), F.col("part"))})
+    theirs = theirs.select("report_id", "document_no", F.struct("seq", *_FIELDS).alias("c"), *[c for c in theirs.columns if c.startswith("c_")])
+    r = own.select("report_id", "_k", *[c for c in own.columns if c[:2] in ("r_", "b_")])
+    same = lambda c, other: F.coalesce(F.col(c) == F.col(other), F.lit(False))
+    holds = {f: same(f"c_{f}", f"r_{f}") for f in names} | {"location": same("c_place", "r_place"), "part": same("c_part", "r_part")}
+    holds |= {"quantity": same("c_quantity", "r_quantity_group") | same("c_quantity", "r_quantity"), "photo_no": same("c_photo_no", "r_id") | same("c_photo_no", "r_group_no")}
+    points = lambda of: sum((F.when(c, EVIDENCE_WEIGHTS[n]).otherwise(0) for n, c in of.items()), F.lit(0))
+    more = {f: F.col(f"b_{f}") & ~holds[f] & F.col(f"c_{f}").isNotNull() for f in FILLABLE}
+    less = {f: F.col(f"b_{f}") & holds[f] for f in FILLABLE}
+    # never broadcast, for a report's pairs are many more than its rows; an array of one keeps the filter above the join
+    bounds = F.inline(F.array(F.struct(points(holds).alias("score"), points(more).alias("more"), points(less).alias("less"))))
+    pairs = r.join(theirs.hint("merge"), "report_id").select("report_id", "_k", "document_no", "c", bounds).where("score + more > 0")
+    pairs = pairs.withColumns({"low": F.struct((F.col("score") - F.col("less")).alias("s"), (-F.col("c.seq")).alias("t")), "high": F.struct((F.col("score") + F.col("more")).alias("s"), (-F.col("c.seq")).alias("t"))})
+    best = Window.partitionBy("report_id", "_k", "document_no")
+    kept = pairs.withColumn("_best", F.max("low").over(best)).where(F.col("high") >= F.col("_best"))
+    of_document = kept.groupBy("report_id", "_k", "document_no").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    return of_document.groupBy("report_id", "_k").agg(F.array_sort(F.collect_list(F.struct("document_no", "c"))).alias("_documents"))
+
+
 def cross_check(records: DataFrame, evidence: DataFrame, locked: str = "locked") -> DataFrame:
     """Records checked against each document of their report in turn; a blank that one document fills is seen by the next.
 
     Of a document the candidate with the highest score counts, the first of equals.  It conflicts if it names the same
     thing with another value; else, with at least 60 of 100 points, it confirms, and fills blanks that are not ``locked``
     by an edit.  Adds cv_result, cv_confidence, n_evidence, cv_conflicts, filled, matched_fields and group_confirmed; filled fields hold their new value.
-    A report's candidates travel with its records as one array; the fold itself needs no further exchange."""
-    of_document = evidence.groupBy("report_id", "document_no").agg(F.array_sort(F.collect_list(F.struct("seq", *_FIELDS))).alias("c"))
-    documents = of_document.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("document_no", "c"))).alias("_documents"))
-    rows = records.join(documents, "report_id", "left")
+    Candidates are scored against the records in one join.  Of a document only those travel with a record that may still
+    be its best, whatever blanks earlier documents fill: where the record has no blanks that is one (``_winners``)."""
+    near = _winners(records, evidence)
+    held = evidence.select("report_id").distinct().withColumn("_told", F.lit(True))
+    rows = records.withColumn("_k", _compared()).join(near, ["report_id", "_k"], "left").join(held, "report_id", "left").drop("_k")
     empty = F.array().cast("array<string>")
     start = F.struct(*[F.col(f) for f in FILLABLE], empty.alias("matched"), empty.alias("conflicts"), empty.alias("filled"), F.lit(0).alias("n_matched"), F.lit(False).alias("group_confirmed")).cast(_STATE)
     shut = F.coalesce(F.col(locked), empty)
@@ -194,11 +233,11 @@ def cross_check(records: DataFrame, evidence: DataFrame, locked: str = "locked")
     bad, good = F.size(s["conflicts"]) > 0, s["n_matched"] > 0
     sure = F.least(F.lit(0.98), F.lit(0.6) + 0.15 * s["n_matched"] + 0.02 * F.size(s["filled"]))
     made = {f: s[f] for f in FILLABLE} | {
-        "cv_result": F.when(bad, "conflict").when(good, "matched").when(F.col("_documents").isNotNull(), "missingInAdditional").otherwise("unsupported"),
+        "cv_result": F.when(bad, "conflict").when(good, "matched").when(F.col("_told"), "missingInAdditional").otherwise("unsupported"),
         "cv_confidence": F.when(bad, 0.4).when(good, sure).otherwise(0.0), "n_evidence": s["n_matched"], "cv_conflicts": s["conflicts"], "filled": s["filled"],
         "matched_fields": F.array_sort(s["matched"]), "group_confirmed": s["group_confirmed"],
     }
-    return folded.withColumns(made).drop("_s", "_documents")
+    return folded.withColumns(made).drop("_s", "_documents", "_told")
 
 
 def field_states(checked: DataFrame, fields: list[str]) -> DataFrame:
