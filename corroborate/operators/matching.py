@@ -146,7 +146,7 @@ def evidence_score(c, r) -> Column:
 
 FILLABLE = ["damage_name", "sub_part", "quantity", "repair_method"]
 _FIELDS = ["section", "damage_name", "part", "sub_part", "location", "repair_method", "quantity", "photo_no"]
-_STATE = "struct<" + ",".join(f"{f}:string" for f in FILLABLE) + ",matched:array<string>,conflicts:array<string>,filled:array<string>,n_matched:int,group_confirmed:boolean>"
+_STATE = "struct<" + ",".join(f"{f}:string" for f in FILLABLE) + ",matched:array<string>,conflicts:array<string>,filled:array<string>,n_matched:int,group_confirmed:boolean,evidence:array<struct<document_no:int,seq:bigint,result:string>>,values:array<struct<field:string,main:string,other:string,document_no:int,seq:bigint>>,enrichments:array<struct<field:string,value:string,document_no:int,seq:bigint>>>"
 
 
 _COMPARED = ["id", "group_no", "section", "damage_name", "part", "sub_part", "location", "repair_method", "quantity", "quantity_group"]
@@ -192,14 +192,15 @@ def cross_check(records: DataFrame, evidence: DataFrame, locked: str = "locked")
 
     Of a document the candidate with the highest score counts, the first of equals.  It conflicts if it names the same
     thing with another value; else, with at least 60 of 100 points, it confirms, and fills blanks that are not ``locked``
-    by an edit.  Adds cv_result, cv_confidence, n_evidence, cv_conflicts, filled, matched_fields and group_confirmed; filled fields hold their new value.
+    by an edit.  Adds cv_result, cv_confidence, n_evidence, cv_conflicts, filled, matched_fields and group_confirmed, and cv_evidence (what each
+    document says), cv_values (both values of each conflict) and cv_enrichments (what was filled from where); filled fields hold their new value.
     Candidates are scored against the records in one join.  Of a document only those travel with a record that may still
     be its best, whatever blanks earlier documents fill: where the record has no blanks that is one (``_winners``)."""
     near = _winners(records, evidence)
     held = evidence.select("report_id").distinct().withColumn("_told", F.lit(True))
     rows = records.withColumn("_k", _compared()).join(near, ["report_id", "_k"], "left").join(held, "report_id", "left").drop("_k")
     empty = F.array().cast("array<string>")
-    start = F.struct(*[F.col(f) for f in FILLABLE], empty.alias("matched"), empty.alias("conflicts"), empty.alias("filled"), F.lit(0).alias("n_matched"), F.lit(False).alias("group_confirmed")).cast(_STATE)
+    start = F.struct(*[F.col(f) for f in FILLABLE], empty.alias("matched"), empty.alias("conflicts"), empty.alias("filled"), F.lit(0).alias("n_matched"), F.lit(False).alias("group_confirmed"), *[F.array().alias(c) for c in ("evidence", "values", "enrichments")]).cast(_STATE)
     shut = F.coalesce(F.col(locked), empty)
 
     def check(state: Column, document: Column) -> Column:
@@ -218,12 +219,19 @@ def cross_check(records: DataFrame, evidence: DataFrame, locked: str = "locked")
                 return good & m["fills"] & (free & ~D.given(F.col("quantity_group")) if f == "quantity" else free)
 
             filled = F.array_compact(F.array(*[F.when(fits(f), f) for f in FILLABLE]))
+            at = [document["document_no"].cast("int").alias("document_no"), c["seq"].cast("long").alias("seq")]
+            main = {"location": F.col("location"), "quantity": F.coalesce(state["quantity"], F.col("quantity_group"), F.lit(""))}
+            apart = [F.when(bad & F.array_contains(m["conflicts"], f), F.struct(F.lit(f).alias("field"), (main[f] if f in main else state[f]).alias("main"), c[f].alias("other"), *at)) for f in ("location", "damage_name", "repair_method", "quantity")]
+            told = F.when(bad, "conflict").when(good, "matched")
+            seen = F.array_compact(F.array(F.when(told.isNotNull(), F.struct(*at, told.alias("result")))))
+            gained = F.array_compact(F.array(*[F.when(fits(f), F.struct(F.lit(f).alias("field"), c[f].alias("value"), *at)) for f in FILLABLE]))
             sure = good & D.given(c["quantity"]) & D.given(F.col("quantity_group")) & D.same(c["quantity"], F.col("quantity_group"))
             return F.struct(
                 *[F.when(fits(f), c[f]).otherwise(state[f]).alias(f) for f in FILLABLE],
                 F.when(any_, F.array_union(state["matched"], m["matched"])).otherwise(state["matched"]).alias("matched"),
                 F.when(bad, F.concat(state["conflicts"], m["conflicts"])).otherwise(state["conflicts"]).alias("conflicts"),
                 F.concat(state["filled"], filled).alias("filled"), (state["n_matched"] + F.when(good, 1).otherwise(0)).alias("n_matched"), (state["group_confirmed"] | sure).alias("group_confirmed"),
+                F.concat(state["evidence"], seen).alias("evidence"), F.concat(state["values"], F.array_compact(F.array(*apart))).alias("values"), F.concat(state["enrichments"], gained).alias("enrichments"),
             ).cast(_STATE)
 
         return D.let(best, apply)
@@ -235,11 +243,86 @@ def cross_check(records: DataFrame, evidence: DataFrame, locked: str = "locked")
     made = {f: s[f] for f in FILLABLE} | {
         "cv_result": F.when(bad, "conflict").when(good, "matched").when(F.col("_told"), "missingInAdditional").otherwise("unsupported"),
         "cv_confidence": F.when(bad, 0.4).when(good, sure).otherwise(0.0), "n_evidence": s["n_matched"], "cv_conflicts": s["conflicts"], "filled": s["filled"],
-        "matched_fields": F.array_sort(s["matched"]), "group_confirmed": s["group_confirmed"],
+        "matched_fields": F.array_sort(s["matched"]), "group_confirmed": s["group_confirmed"], "cv_evidence": s["evidence"], "cv_values": s["values"], "cv_enrichments": s["enrichments"],
     }
     return folded.withColumns(made).drop("_s", "_documents", "_told")
 
 
+CHECKED = ["damage_name", "part", "sub_part", "location", "quantity", "repair_method", "section"]
+MEMORY = {
+    "conflicts": "array<struct<field:string,main:string,other:string,document_no:int,seq:bigint,resolved:struct<value:string,reason:string,decided_at:string>>>",
+    "enrichments": "array<struct<field:string,value:string,document_no:int,seq:bigint>>", "settled": "array<string>",
+}
+
+
+def _open(conflicts: Column) -> Column:
+    return F.filter(conflicts, lambda c: c["resolved"].isNull())
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """Result, confidence and state of each field, from what is remembered and what the last check found."""
+    open_, good = F.size(_open(F.col("conflicts"))) > 0, F.col("n_evidence") > 0
+    sure = F.least(F.lit(0.98), F.lit(0.6) + 0.15 * F.col("n_evidence") + 0.02 * F.size("cv_enrichments"))
+    rest = F.when(F.col("cv_result").isin("missingInAdditional", "unsupported"), F.col("cv_result")).otherwise("missingInAdditional")
+    named = lambda which: F.transform(which, lambda c: c["field"])
+    state = lambda f: F.when(F.array_contains("settled", f), "matched").when(F.array_contains(named(_open(F.col("conflicts"))), f), "conflict").when(F.array_contains(named(F.col("enrichments")), f), "enriched").when(
+        F.array_contains(named(F.col("conflicts")), f) | F.array_contains("matched_fields", f) | (F.lit(f == "quantity") & F.col("group_confirmed")), "matched")
+    states = F.map_from_entries(F.array_compact(F.array(*[F.when(state(f).isNotNull(), F.struct(F.lit(f).alias("field"), state(f).alias("state"))) for f in CHECKED])))
+    return rows.withColumns({"review_required": open_, "field_states": states}).withColumns({"cv_result": F.when(open_, "conflict").when(good, "matched").otherwise(rest), "cv_confidence": F.when(open_, 0.4).when(good, sure).otherwise(0.0)})
+
+
+def remember(checked: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """Checked records with ``MEMORY``, review_required and field_states (a map), and result and confidence judged by them.
+
+    earlier: report_id, id, conflicts, enrichments and group_confirmed of the run before, one row per record.  A field
+    that was settled then stays so: its new conflicts take the first decision on it.  What earlier runs filled stays in
+    the history.  A record that was not there before starts anew."""
+    none = {c: F.array().cast(k) for c, k in MEMORY.items()}
+    if earlier is None:
+        rows = checked.withColumns({"_c": none["conflicts"], "_e": none["enrichments"], "_g": F.lit(False)})
+    else:
+        old = earlier.select("report_id", "id", F.col("conflicts").cast(MEMORY["conflicts"]).alias("_c"), F.col("enrichments").cast(MEMORY["enrichments"]).alias("_e"), F.col("group_confirmed").alias("_g"))
+        rows = checked.join(old, ["report_id", "id"], "left")
+    decided = F.filter(F.coalesce("_c", none["conflicts"]), lambda c: c["resolved"].isNotNull())
+    first = lambda f: F.try_element_at(F.filter(decided, lambda c: c["field"] == f), F.lit(1))["resolved"]
+    kept = F.transform("cv_values", lambda v: F.struct(v["field"].alias("field"), v["main"].alias("main"), v["other"].alias("other"), v["document_no"].alias("document_no"), v["seq"].alias("seq"), first(v["field"]).alias("resolved"))).cast(MEMORY["conflicts"])
+    made = {"conflicts": kept, "enrichments": F.concat(F.coalesce("_e", none["enrichments"]), "cv_enrichments"), "settled": none["settled"], "group_confirmed": F.col("group_confirmed") | F.coalesce("_g", F.lit(False))}
+    return _judged(rows.withColumns(made).drop("_c", "_e", "_g"))
+
+
+def settle(remembered: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Decisions (report_id, id, field, value, reason, decided_at) on remembered records, of several on a field the last.
+
+    All conflicts of the field are resolved, the field takes the value and counts as matched from then on; the result is
+    matched once no conflict is open, as it is for a record that had none."""
+    kind = "struct<value:string,reason:string,decided_at:string>"
+    last = decisions.groupBy("report_id", "id", "field").agg(F.max(F.struct(F.col("decided_at").cast("string").alias("at"), "value", "reason")).alias("d"))
+    by = last.groupBy("report_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct(F.col("d.value").alias("value"), F.col("d.reason").alias("reason"), F.col("d.at").alias("decided_at")).cast(kind).alias("v")))).alias("_d"))
+    rows = remembered.join(by, ["report_id", "id"], "left").withColumn("_t", F.col("_d").isNotNull())
+    mine = lambda f: F.try_element_at(F.col("_d"), f)
+    rows = rows.withColumn("conflicts", F.transform("conflicts", lambda c: c.withField("resolved", F.coalesce(mine(c["field"]), c["resolved"]))))
+    settled = F.array_union("settled", F.coalesce(F.map_keys("_d"), F.array().cast("array<string>")))
+    values = {f: F.when(mine(F.lit(f)).isNotNull(), mine(F.lit(f))["value"]).otherwise(F.col(f)) for f in CHECKED if f in rows.columns}
+    was = {c: F.col(c).alias(f"_{c}") for c in ("cv_result", "cv_confidence")}
+    out = _judged(rows.withColumns(values | {"settled": settled}).select("*", *was.values()))
+    open_ = F.col("review_required")
+    result = F.when(F.col("_t"), F.when(open_, "conflict").otherwise("matched")).otherwise(F.col("_cv_result"))
+    return out.withColumns({"cv_result": result, "cv_confidence": F.col("_cv_confidence")}).drop("_cv_result", "_cv_confidence", "_d", "_t")
+
+
+def evidence_rows(checked: DataFrame, documents: DataFrame) -> DataFrame:
+    """report_id, id, file, type, page, quote and result of what each document says of each record, for the report's source and check rows; documents: report_id, document_no, seq, file, type, page, quote."""
+    each = checked.select("report_id", "id", F.explode("cv_evidence").alias("e")).select("report_id", "id", "e.*")
+    return each.join(documents.select("report_id", "document_no", "seq", "file", "type", "page", "quote"), ["report_id", "document_no", "seq"]).drop("document_no", "seq")
+
+
+def conflict_rows(remembered: DataFrame, documents: DataFrame) -> DataFrame:
+    """report_id, id, file, field, main, other, resolved, reason and at of each conflict, for the report's check and history rows."""
+    each = remembered.select("report_id", "id", F.explode("conflicts").alias("c")).select("report_id", "id", "c.*")
+    out = each.join(documents.select("report_id", "document_no", "seq", "file"), ["report_id", "document_no", "seq"])
+    return out.select("report_id", "id", "file", "field", "main", "other", F.col("resolved.value").alias("resolved"), F.col("resolved.reason").alias("reason"), F.col("resolved.decided_at").alias("at"))
+
+
 def field_states(checked: DataFrame, fields: list[str]) -> DataFrame:
     """report_id, id, field, state: conflict before enriched before matched; other fields have no row."""
     state = lambda f: F.when(F.array_contains("cv_conflicts", f), "conflict").when(F.array_contains("filled", f), "enriched").when(F.array_contains("matched_fields", f) | (F.lit(f == "quantity") & F.col("group_confirmed")), "matched")

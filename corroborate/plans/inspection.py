@@ -94,20 +94,24 @@ def _step(k: int) -> str:
     anchor = f"({holds['sub_part']} OR {holds['photo_no']})"
     apart = {"location": "coalesce(c.nl <> r.nl, false)"} | {f: differ(f) for f in ("damage_name", "repair_method", "quantity")}
     conflicts = f"CASE WHEN {anchor} THEN {T.names(apart)} ELSE '' END"
+    text = {"location": ("r.location", "c.location"), "damage_name": ("r.damage_name", "c.damage_name"), "repair_method": ("r.repair_method", "c.repair_method"), "quantity": ("coalesce(r.quantity, r.quantity_group, '')", "c.quantity")}
+    values = "concat_ws(';', " + ", ".join(f"CASE WHEN {anchor} AND {c} THEN '{f}=' || {text[f][0]} || '>' || {text[f][1]} || '@{k}:' || c.seq END" for f, c in apart.items()) + ")"
     matched = T.names({n: c for n, c in holds.items() if n != "photo_no"})
     scored = f"""SELECT r.*, coalesce({score}, 0) AS score, {conflicts} AS bad, {matched} AS hits, ({anchor} OR {at}) AS fills, {T.same('c.quantity', 'r.quantity_group')} AS sure,
-      c.damage_name AS c_damage_name, c.sub_part AS c_sub_part, c.quantity AS c_quantity, c.repair_method AS c_repair_method,
+      {values} AS vals_new, c.seq AS c_seq, c.damage_name AS c_damage_name, c.sub_part AS c_sub_part, c.quantity AS c_quantity, c.repair_method AS c_repair_method,
       row_number() OVER (PARTITION BY r.report_id, r.id ORDER BY coalesce({score}, 0) DESC, c.seq) AS rk FROM f{k} r LEFT JOIN e c ON c.report_id = r.report_id AND c.document_no = {k}"""
     good = "(score >= 60 AND bad = '')"
     blank = lambda x: f"coalesce(trim({x}), '') IN ('', '-')"
     fits = {f: f"({good} AND fills AND {blank(f)} AND NOT {blank('c_' + f)} AND o1 IS DISTINCT FROM '{f}'" + (f" AND NOT {T.given('quantity_group')})" if f == "quantity" else ")") for f in M.FILLABLE}
     new = ", ".join(f"CASE WHEN {c} THEN c_{f} ELSE {f} END AS {f}" for f, c in fits.items())
-    return f"""f{k + 1} AS (SELECT * EXCLUDE (score, bad, hits, fills, sure, c_damage_name, c_sub_part, c_quantity, c_repair_method, rk) REPLACE ({new},
+    return f"""f{k + 1} AS (SELECT * EXCLUDE (score, bad, vals_new, c_seq, hits, fills, sure, c_damage_name, c_sub_part, c_quantity, c_repair_method, rk) REPLACE ({new},
       CASE WHEN score > 0 THEN concat_ws(',', nullif(matched, ''), nullif(hits, '')) ELSE matched END AS matched, CASE WHEN score > 0 THEN concat_ws(',', nullif(conflicts, ''), nullif(bad, '')) ELSE conflicts END AS conflicts,
-      concat_ws(',', nullif(filled, ''), nullif({T.names(fits)}, '')) AS filled, n_matched + {good}::INT AS n_matched, group_confirmed OR ({good} AND sure) AS group_confirmed) FROM ({scored}) WHERE rk = 1)"""
+      concat_ws(',', nullif(filled, ''), nullif({T.names(fits)}, '')) AS filled, n_matched + {good}::INT AS n_matched, group_confirmed OR ({good} AND sure) AS group_confirmed,
+      CASE WHEN score > 0 AND bad <> '' THEN concat_ws(';', nullif(vals, ''), vals_new) ELSE vals END AS vals, concat_ws(';', nullif(ev, ''), CASE WHEN score > 0 AND bad <> '' THEN '{k}:' || c_seq || ':conflict' WHEN {good} THEN '{k}:' || c_seq || ':matched' END) AS ev,
+      concat_ws(';', nullif(enr, ''), {", ".join(f"CASE WHEN {c} THEN '{f}=' || c_{f} || '@{k}:' || c_seq END" for f, c in fits.items())}) AS enr) FROM ({scored}) WHERE rk = 1)"""
 
 
-_FOLD = f"""{T.R_SQL}, {T.E_SQL}, f0 AS (SELECT *, '' AS matched, '' AS conflicts, '' AS filled, 0 AS n_matched, false AS group_confirmed FROM r), {_step(0)}, {_step(1)}, {_step(2)},
+_FOLD = f"""{T.R_SQL}, {T.E_SQL}, f0 AS (SELECT *, '' AS matched, '' AS conflicts, '' AS filled, 0 AS n_matched, false AS group_confirmed, '' AS vals, '' AS ev, '' AS enr FROM r), {_step(0)}, {_step(1)}, {_step(2)},
 c AS (SELECT *, CASE WHEN conflicts <> '' THEN 'conflict' WHEN n_matched > 0 THEN 'matched' WHEN report_id IN (SELECT report_id FROM e) THEN 'missingInAdditional' ELSE 'unsupported' END AS cv_result,
   array_to_string(list_sort(list_distinct(list_filter(string_split(matched, ','), lambda m: m <> ''))), ',') AS matched_fields FROM f3)"""
 
@@ -123,7 +127,7 @@ def crosscheck_fold(t) -> DataFrame:
     return checked_records(t).select("id", *M.FILLABLE, "cv_result", "n_evidence", *joined.values(), "group_confirmed", F.round("cv_confidence", 6).alias("confidence"))
 
 
-_STATES = ["damage_name", "part", "sub_part", "location", "quantity", "repair_method", "section"]
+_STATES = M.CHECKED
 
 
 @query(f"""WITH {_FOLD} SELECT * FROM (SELECT id, field, CASE WHEN list_contains(string_split(conflicts, ','), field) THEN 'conflict' WHEN list_contains(string_split(filled, ','), field) THEN 'enriched'
@@ -139,6 +143,51 @@ def crosscheck_resolved(t) -> DataFrame:
     return M.resolve_conflict(checked_records(t), decisions).select("id", "location", "cv_result")
 
 
+@query(f"WITH {_FOLD} SELECT id, ev AS evidence, vals AS conflicts, enr AS enrichments FROM c")
+def crosscheck_evidence(t) -> DataFrame:
+    place = lambda x: F.concat(x["document_no"].cast("string"), F.lit(":"), x["seq"].cast("string"))
+    shown = {
+        "evidence": F.transform("cv_evidence", lambda e: F.concat(place(e), F.lit(":"), e["result"])), "conflicts": F.transform("cv_values", lambda v: F.concat(v["field"], F.lit("="), v["main"], F.lit(">"), v["other"], F.lit("@"), place(v))),
+        "enrichments": F.transform("cv_enrichments", lambda v: F.concat(v["field"], F.lit("="), v["value"], F.lit("@"), place(v))),
+    }
+    return checked_records(t).select("id", *[F.array_join(c, ";").alias(n) for n, c in shown.items()])
+
+
+def _earlier(t) -> DataFrame:
+    """What a run before left: decisions on places and names, an open conflict, a filled quantity."""
+    done = lambda f, value: F.struct(F.lit(f).alias("field"), F.lit("a").alias("main"), F.lit("b").alias("other"), F.lit(0).alias("document_no"), F.lit(1).cast("long").alias("seq"), value.cast("struct<value:string,reason:string,decided_at:string>").alias("resolved"))
+    yes, no = F.struct(F.lit("v"), F.lit("why"), F.lit("t")), F.lit(None)
+    k = F.col("n") % 4
+    conflicts = F.array_compact(F.array(F.when(k == 2, done("location", no)), F.when(k.isin(0, 2), done("location", yes)), F.when(k == 1, done("damage_name", yes))))
+    filled = F.when(F.col("n") % 3 == 0, F.array(F.struct(F.lit("quantity").alias("field"), F.lit("3m").alias("value"), F.lit(0).alias("document_no"), F.lit(1).cast("long").alias("seq"))))
+    return T.records(t).where("n % 5 > 0").select("report_id", "id", conflicts.alias("conflicts"), filled.alias("enrichments"), (F.col("n") % 7 == 0).alias("group_confirmed"))
+
+
+_FIELD = "string_split(v, '=')[1]"
+_MEMORY = f"""{_FOLD}, m AS (SELECT *, list_filter(string_split(conflicts, ','), lambda f: f <> '') AS cf, CASE WHEN n % 5 = 0 THEN '' WHEN n % 4 IN (0, 2) THEN 'location' WHEN n % 4 = 1 THEN 'damage_name' ELSE '' END AS done,
+  n % 5 > 0 AND n % 3 = 0 AS had, group_confirmed OR (n % 5 > 0 AND n % 7 = 0) AS grp FROM c),
+w AS (SELECT *, list_filter(cf, lambda f: f <> done) AS open, list_filter(string_split(filled, ','), lambda f: f <> '') || CASE WHEN had THEN ['quantity'] ELSE [] END AS rich FROM m)"""
+_NEXT = "CASE WHEN len(open) > 0 THEN 'conflict' WHEN n_matched > 0 THEN 'matched' WHEN report_id IN (SELECT report_id FROM e) THEN 'missingInAdditional' ELSE 'unsupported' END"
+_STATE_OF = "CASE WHEN list_contains({open}, field) THEN 'conflict' WHEN list_contains(rich, field) THEN 'enriched' WHEN list_contains(cf, field) OR list_contains(string_split(matched_fields, ','), field) OR (field = 'quantity' AND grp) THEN 'matched' END"
+
+
+@query(f"""WITH {_MEMORY} SELECT id, {_NEXT} AS cv_result, len(rich) AS n_enrichments, len(open) AS n_open, (SELECT string_agg(field || ':' || s, ',' ORDER BY i) FROM (SELECT i, field, {_STATE_OF.format(open='open')} AS s FROM (SELECT unnest({M.CHECKED}) AS field, unnest(range(7)) AS i)) WHERE s IS NOT NULL) AS states,
+  round(CASE WHEN len(open) > 0 THEN 0.4 WHEN n_matched > 0 THEN least(0.98, 0.6 + 0.15 * n_matched + 0.02 * (len(rich) - had::INT)) ELSE 0 END::DOUBLE, 6) AS confidence FROM w""")
+def crosscheck_second_run(t) -> DataFrame:
+    out = M.remember(checked_records(t), _earlier(t))
+    states = F.array_join(F.array_compact(F.array(*[F.concat(F.lit(f"{f}:"), F.try_element_at("field_states", F.lit(f))) for f in M.CHECKED])), ",")
+    return out.select("id", "cv_result", F.size("enrichments").alias("n_enrichments"), F.size(M._open(F.col("conflicts"))).alias("n_open"), F.nullif(states, F.lit("")).alias("states"), F.round("cv_confidence", 6).alias("confidence"))
+
+
+@query(f"""WITH {_MEMORY} SELECT id, CASE WHEN n % 2 = 0 THEN '77m' ELSE location END AS location, CASE WHEN n % 2 = 1 THEN {_NEXT} WHEN len(list_filter(open, lambda f: f <> 'location')) > 0 THEN 'conflict' ELSE 'matched' END AS cv_result,
+  CASE WHEN n % 2 = 0 THEN 'matched' ELSE (SELECT {_STATE_OF.format(open='open')} FROM (SELECT 'location' AS field)) END AS location_state FROM w""")
+def crosscheck_settled(t) -> DataFrame:
+    kept = T.records(t).where("n % 2 = 0").select("report_id", "id", F.lit("location").alias("field"))
+    decisions = kept.select("*", F.lit("1m").alias("value"), F.lit(None).cast("string").alias("reason"), F.lit("t1").alias("decided_at")).unionByName(kept.select("*", F.lit("77m").alias("value"), F.lit("r").alias("reason"), F.lit("t2").alias("decided_at")))
+    out = M.settle(M.remember(checked_records(t), _earlier(t)), decisions)
+    return out.select("id", "location", "cv_result", F.try_element_at("field_states", F.lit("location")).alias("location_state"))
+
+
 @query(f"""WITH {T.R_SQL}, {T.E_SQL}, few AS (SELECT * FROM r WHERE n % 4 = 0), left_ AS (SELECT * FROM e WHERE ({T.given('damage_name')} OR {T.given('location')}) AND NOT EXISTS (SELECT 1 FROM few r WHERE r.report_id = e.report_id
   AND ({T.same('e.sub_part', 'r.sub_part')} OR coalesce(e.nl = r.nl, false) OR {T.numbered('e.photo_no')})))
 SELECT report_id, source_type, seq, damage_name, location FROM (SELECT *, row_number() OVER (PARTITION BY report_id, source_type, {T.nrm('damage_name')}, {T.nrm('sub_part')}, coalesce(nl, '') ORDER BY document_no, seq) AS k FROM left_) WHERE k = 1""")
