@@ -43,10 +43,17 @@ def delete_reports(spark: SparkSession, path: str, ids: list, key: str = "report
 
 
 def clear_reports(spark: SparkSession, path: str, key: str = "report_id") -> None:
-    """Leave a store of no rows, of the same columns."""
-    spark.read.parquet(path).limit(0).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path + ".empty")
-    jvm = spark.sparkContext._jvm
-    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".empty"))
-    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Leave a store of no rows, of the same columns.
+
+    The empty store is written first and the old one moved aside before it takes its place, so that a run that breaks off
+    leaves the old store, beside or below its name with ``.old``; what is left of one is put back or cleared next time."""
+    spark_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store, empty, old = (spark_path(path.rstrip("/") + x) for x in ("", ".empty", ".old"))
+    files = store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(old) and not files.exists(store):
+        files.rename(old, store)
+    spark.read.parquet(path).limit(0).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(empty.toString())
+    files.delete(old, True)
+    files.rename(store, old)
+    files.rename(empty, store)
     files.delete(old, True)
-    files.rename(new, old)

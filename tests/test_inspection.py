@@ -122,7 +122,7 @@ def _zip(files):
 def folder(tmp_path):
     s, w = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     book = {
-        "xl/workbook.xml": f'<workbook xmlns="{s}"><sheets><sheet name="A"/></sheets></workbook>', "xl/sharedStrings.xml": f'<sst xmlns="{s}"><si><t>균열</t></si></sst>',
+        "xl/workbook.xml": f'<workbook xmlns="{s}" xmlns:r="{s}"><sheets><sheet name="A" r:id="x9"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="x9" Target="worksheets/sheet1.xml"/></Relationships>', "xl/sharedStrings.xml": f'<sst xmlns="{s}"><si><t>균열</t></si></sst>',
         "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{s}"><sheetData><row r="2"><c r="A2" t="s"><v>0</v></c><c r="C2"><v>12</v></c><c r="D2" t="inlineStr"><is><t>7m</t></is></c></row></sheetData></worksheet>',
     }
     text = {"word/document.xml": f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>누수 도수로</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'}
@@ -138,7 +138,54 @@ def test_documents_and_what_cannot_be_read(spark, folder):
     assert got == {("map.xlsx", "A", 2, ("균열", "", "12", "7m"), True), ("note.docx", "body", 1, ("누수 도수로",), True), ("note.docx", "table 1", 1, ("a", "b"), True), ("bad.xlsx", None, None, (), False), ("old.doc", None, None, (), False), ("what.bin", None, None, (), False)}
     files = documents.registered(rows, [("map", "plan")]).orderBy("id").collect()
     assert [(r["id"], r["status"], r["source_type"]) for r in files] == [("AD001", "failed", "other"), ("AD002", "ok", "plan"), ("AD003", "ok", "other"), ("AD004", "failed", "other"), ("AD005", "failed", "other")]
-    assert {(r["damage_name"], r["sub_part"], r["location"]) for r in documents.text_candidates(rows).collect()} == {("균열", None, "7m"), ("누수", "도수로", None)}
+    found = documents.candidates(rows, documents.registered(rows, []))
+    assert {(r["damage_name"], r["sub_part"], r["location"], r["document_id"]) for r in found.collect()} == {("균열", None, "7m", "AD002"), ("누수", "도수로", None, "AD003")}
+
+
+def _book(sheets, names):
+    """A workbook whose sheets lie in files of another order than they are named."""
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    tags = "".join(f'<sheet name="{n}" r:id="r{k}"/>' for k, n in enumerate(names))
+    links = "".join(f'<Relationship Id="r{k}" Target="/xl/worksheets/sheet{len(names) - k}.xml"/>' for k in range(len(names)))
+    out = {"xl/workbook.xml": f'<workbook xmlns="{ns}" xmlns:r="{ns}"><sheets>{tags}</sheets></workbook>', "xl/_rels/workbook.xml.rels": f"<Relationships>{links}</Relationships>"}
+    for k, rows in enumerate(sheets):
+        cells = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{c}</t></is></c>' for c in row) + "</row>" for row in rows)
+        out[f"xl/worksheets/sheet{len(names) - k}.xml"] = f'<worksheet xmlns="{ns}"><sheetData>{cells}</sheetData></worksheet>'
+    return _zip(out)
+
+
+def test_every_file_has_a_row_and_tables_become_candidates(spark, tmp_path):
+    first = [["점검표"], ["구 간", "손상명", "세부 부위", "위치", "물량", "수량"], ["1구간", " 균열 ", "도수로", "10m", "3m", ""], ["", "", "", "", "", ""], ["2구간", "누수", "", "", "5m", "7m"]]
+    second = [["x", "균열 도수로 12 m"], ["y", "양호"]]
+    files = {"a.xlsx": _book([first, second], ["첫", "둘"]), "empty.xlsx": _book([[]], ["빈"]), "t.csv": "손상명,위치\n균열,\"9,5m\"\n".encode(), "g.json": b"[]", "old.xls": b"x", "none.csv": b"\n", "noext": b"?", "bad.csv": b"\xff\xfe\x00"}
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    rows = documents.load_documents(spark, str(tmp_path))
+    short = lambda f: f.rsplit("/", 1)[-1]
+    assert {short(r["file"]) for r in rows.collect()} == set(files)
+    assert {short(r["file"]) for r in rows.where("error is not null").collect()} == {"g.json", "old.xls", "noext", "bad.csv"}
+    listed, found = documents.documents_to_candidates(spark, str(tmp_path), [("도수로", "plan")])
+    assert {short(r["file"]): r["source_type"] for r in listed.collect()}["a.xlsx"] == "plan" and listed.count() == len(files)
+    shown = [(short(r["file"]), r["place"], r["row_no"], r["section"], r["damage_name"], r["sub_part"], r["location"], r["quantity"], r["seq"]) for r in found.orderBy("file", "seq").collect()]
+    assert shown == [("a.xlsx", "첫", 3, "1구간", "균열", "도수로", "10m", "3m", 1), ("a.xlsx", "첫", 5, "2구간", "누수", None, None, "7m", 2), ("a.xlsx", "둘", 1, None, "균열", "도수로", "12m", None, 3), ("t.csv", "csv", 2, None, "균열", None, "9,5m", None, 1)]
+
+
+def test_the_sample_sees_as_many_rows_as_it_needs(spark):
+    rows = spark.createDataFrame([("f", "csv", "csv", 0, k, 2 * k, ["m" if k == 1400 else "x"], None) for k in range(2000)], documents.ROWS).repartition(3)
+    assert documents.registered(rows, [("m", "late")]).first()["source_type"] == "late"
+    assert documents.registered(rows.where("row_no <> 1400"), [("m", "late")]).first()["source_type"] == "other"
+
+
+def test_body_text_gives_a_candidate_for_each_place(spark):
+    rows = spark.createDataFrame([("f", "word", "body", 0, 1, 0, ["균열 도수로 10 m 구간"], None), ("f", "word", "body", 0, 2, 20, [" 누수 20~30m"], None), ("g", "word", "body", 0, 1, 0, ["침하만 보임"], None), ("h", "word", "body", 0, 1, 0, ["없음"], None)], documents.ROWS)
+    got = {(r["file"], r["row_no"], r["location"], r["damage_name"]) for r in documents.body_candidates(rows).collect()}
+    assert got == {("f", 1, "10m", "균열"), ("f", 2, "20~30m", "누수"), ("g", 1, None, "침하")}
+
+
+def test_documents_with_the_same_candidates_of_one_type_are_duplicates(spark):
+    rows = [(d, t, n, p) for d, t in (("A", "x"), ("B", "x"), ("C", "y")) for n, p in (("균열", "1m"), ("누수", None), (None, "3m"))] + [("D", "x", "균열", "9m")]
+    got = documents.duplicate_documents(spark.createDataFrame(rows, "document_id string, source_type string, damage_name string, location string"))
+    assert {r["document_id"]: r["duplicate_of"] for r in got.collect()} == {"A": ["B"], "B": ["A"]}
 
 
 def test_json_groups_become_records(spark, folder):
