@@ -108,14 +108,22 @@ def photo_results(photos: DataFrame, pairs: DataFrame) -> DataFrame:
         "linked": F.when(hand, F.col("linked")).otherwise(F.coalesce("_linked", none)), "match_reasons": F.when(hand, none).otherwise(F.coalesce("_why", none)),
         "match_source": F.when(hand, "manual").otherwise("auto"),
     }
+    if "status" in photos.columns:  # of the photo itself: what failed stays so unless it is confirmed
+        made["status"] = F.when(hand, F.col("status")).when(F.col("_sure"), "confirmed").when(F.col("status") == "failed", "failed").otherwise("review")
     return out.withColumns(made).drop("_best", "_sure", "_maybe", "_linked", "_why")
 
 
 def record_links(records: DataFrame, photos: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Records with photo_ids and photo_status, told by the photos' links; ``no_photo`` set by hand holds unless a photo is linked."""
+    """Records with photo_ids and photo_status, told by the photos' links; ``no_photo`` set by hand holds unless a photo is linked.
+
+    Of photos set by hand the candidates of earlier runs count (``candidates``: id, score, conflict), if there is such a column."""
     links = photos.select("report_id", F.explode("linked").alias("id"), "photo_id").groupBy("report_id", "id").agg(F.array_sort(F.collect_set("photo_id")).alias("photo_ids"))
     held = photos.where(~F.coalesce("manual", F.lit(False))).select("report_id", "photo_id")
-    weak = pairs.where("status <> 'unmatched' or conflict").join(held, ["report_id", "photo_id"], "left_semi").groupBy("report_id", "id").agg(F.bool_or("conflict").alias("_conflict"))
+    weak = pairs.where("status <> 'unmatched' or conflict").join(held, ["report_id", "photo_id"], "left_semi").select("report_id", "id", "conflict")
+    if "candidates" in photos.columns:
+        earlier = photos.where("manual").select("report_id", F.explode("candidates").alias("c")).where((F.col("c.score") / PHOTO_BEST >= MAYBE) | F.col("c.conflict"))
+        weak = weak.unionByName(earlier.select("report_id", "c.id", F.coalesce("c.conflict", F.lit(False)).alias("conflict")))
+    weak = weak.groupBy("report_id", "id").agg(F.bool_or("conflict").alias("_conflict"))
     out = records.join(links, ["report_id", "id"], "left").join(weak, ["report_id", "id"], "left")
     status = F.when(F.col("photo_ids").isNotNull(), "confirmed").when(F.col("no_photo"), "noPhoto").when(F.col("_conflict"), "conflict").when(F.col("_conflict").isNotNull(), "review").otherwise("noPhoto")
     return out.withColumns({"photo_status": status, "photo_ids": F.coalesce("photo_ids", F.array().cast("array<string>"))}).drop("_conflict")

@@ -36,6 +36,7 @@ PHOTOS = {
     "ocr_text": _case(f"{_K} * 29", None, "위치 100m", "도수로 옆"), "nearby_text": _case(f"{_K} * 31", None, "소단측구 부근", "없음"), "vision_type": _case(f"{_K} * 37", None, "균열 의심", ""),
     "manual": f"{_K} % 17 = 0", "match_status": f"CASE WHEN {_K} % 17 = 0 THEN 'confirmed' END", "confidence": "CAST(NULL AS DOUBLE)", "l1": f"CASE WHEN {_K} % 17 = 0 THEN 'R' || {_TEXT} END",
     "extraction_status": _case(_K, "failed", "ok", "ok", "ok", None), "related": _case(f"{_K} * 5", "false", "true", None, "unknown"), "match_source": _case(f"{_K} * 7", "auto", "manual", None),
+    "status": _case(f"{_K} * 3", "failed", "review", None, "confirmed"), "c1": f"CASE WHEN {_K} % 17 = 0 THEN 'NEW-' || {_TEXT} END", "c_score": f"CASE WHEN {_K} % 3 = 0 THEN 10 ELSE 80 END", "c_conflict": f"{_K} % 2 = 0",
 }
 EVIDENCE = {
     "report_id": "o_custkey", "document_no": f"CAST({_K} % 3 AS INT)", "seq": _K, "source_type": _case(f"{_K} * 3", "map", "table"), "section": _case(f"{_K} * 3", "1구간", "1 구간", "2구간", None),
@@ -60,7 +61,9 @@ def records(t) -> DataFrame:
 
 
 def photos(t) -> DataFrame:
-    return t("orders").selectExpr(*[f"{e} AS {n}" for n, e in PHOTOS.items()]).withColumn("linked", _texts("l1"))
+    before = F.struct(F.col("c1").alias("id"), F.col("c_score").alias("score"), F.col("c_conflict").alias("conflict"))
+    rows = t("orders").selectExpr(*[f"{e} AS {n}" for n, e in PHOTOS.items()])
+    return rows.withColumns({"linked": _texts("l1"), "candidates": F.array_compact(F.array(F.when(F.col("c1").isNotNull(), before)))})
 
 
 def evidence(t) -> DataFrame:

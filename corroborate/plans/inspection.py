@@ -30,7 +30,8 @@ s AS (SELECT p.report_id, p.photo_id, r.id, {_SCORE} AS score, {T.names(_HOLDS)}
 x AS (SELECT *, score / 105 AS confidence, CASE WHEN score / 105 >= 0.9 AND NOT conflict THEN 'confirmed' WHEN score / 105 >= 0.7 OR conflict THEN 'review' ELSE 'unmatched' END AS status FROM s WHERE score > 0)"""
 _RESULTS = f"""{_PAIRS}, b AS (SELECT report_id, photo_id, max(confidence) AS best, bool_or(status = 'confirmed') AS sure, bool_or(status = 'review') AS maybe, list(id ORDER BY id) FILTER (status = 'confirmed') AS ids FROM x GROUP BY ALL),
 q AS (SELECT p.report_id, p.photo_id, p.manual, p.photo_no, p.page, CASE WHEN manual THEN match_status WHEN sure THEN 'confirmed' WHEN maybe THEN 'review' ELSE 'unmatched' END AS match_status, CASE WHEN NOT manual THEN best END AS confidence,
-  CASE WHEN manual THEN [l1] ELSE coalesce(ids, []) END AS linked, CASE WHEN manual THEN 'manual' ELSE 'auto' END AS match_source FROM p LEFT JOIN b ON b.report_id = p.report_id AND b.photo_id = p.photo_id),
+  CASE WHEN manual THEN [l1] ELSE coalesce(ids, []) END AS linked, CASE WHEN manual THEN 'manual' ELSE 'auto' END AS match_source,
+  CASE WHEN manual THEN status WHEN sure THEN 'confirmed' WHEN status = 'failed' THEN 'failed' ELSE 'review' END AS status FROM p LEFT JOIN b ON b.report_id = p.report_id AND b.photo_id = p.photo_id),
 l AS (SELECT report_id, unnest(linked) AS id, photo_id FROM q)"""
 
 
@@ -48,13 +49,14 @@ def photo_top_candidates(t) -> DataFrame:
     return L.top_k(_pairs(t), ["report_id", "photo_id"], [F.desc("score"), F.asc("id")], 5).select("photo_id", "id", "score", "rank")
 
 
-@query(f"WITH {_RESULTS} SELECT photo_id, match_status, round(confidence, 9) AS confidence, array_to_string(linked, ',') AS linked, match_source FROM q")
+@query(f"WITH {_RESULTS} SELECT photo_id, match_status, round(confidence, 9) AS confidence, array_to_string(linked, ',') AS linked, match_source, status FROM q")
 def photo_match_results(t) -> DataFrame:
     out = M.photo_results(T.photos(t), _pairs(t))
-    return out.select("photo_id", "match_status", F.round("confidence", 9).alias("confidence"), F.array_join("linked", ",").alias("linked"), "match_source")
+    return out.select("photo_id", "match_status", F.round("confidence", 9).alias("confidence"), F.array_join("linked", ",").alias("linked"), "match_source", "status")
 
 
-_STATUS = f"""{_RESULTS}, w AS (SELECT report_id, id, bool_or(conflict) AS bad FROM x JOIN p USING (report_id, photo_id) WHERE NOT manual AND (status <> 'unmatched' OR conflict) GROUP BY ALL),
+_STATUS = f"""{_RESULTS}, w AS (SELECT report_id, id, bool_or(conflict) AS bad FROM (SELECT x.report_id, x.id, x.conflict FROM x JOIN p USING (report_id, photo_id) WHERE NOT manual AND (x.status <> 'unmatched' OR conflict)
+  UNION ALL SELECT report_id, c1, c_conflict FROM p WHERE manual AND c1 IS NOT NULL AND (c_score / 105 >= 0.7 OR c_conflict)) GROUP BY ALL),
 g AS (SELECT report_id, id, string_agg(photo_id, ',' ORDER BY photo_id) AS ids, count(*) AS n FROM l GROUP BY ALL),
 y AS (SELECT r.*, coalesce(ids, '') AS photo_ids, coalesce(g.n, 0) AS n_photos, CASE WHEN ids IS NOT NULL THEN 'confirmed' WHEN no_photo THEN 'noPhoto' WHEN bad THEN 'conflict' WHEN bad IS NOT NULL THEN 'review' ELSE 'noPhoto' END AS photo_status
   FROM r LEFT JOIN g ON g.report_id = r.report_id AND g.id = r.id LEFT JOIN w ON w.report_id = r.report_id AND w.id = r.id)"""
