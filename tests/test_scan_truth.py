@@ -135,3 +135,31 @@ def test_a_choice_narrows_only_its_reports(spark):
     shown = lambda chosen: {(r["report_id"], r["id"]) for r in R.final_records(rows, chosen).collect()}
     one = spark.createDataFrame([(1, "a"), (1, None)], "report_id int, id string")
     assert shown(one) == {(1, "a"), (2, "a")} and shown(one.limit(0)) == shown(None) == {(1, "a"), (1, "b"), (2, "a")}
+
+
+def test_a_second_check_keeps_decisions_and_history(spark):
+    from corroborate.operators import matching as M
+    from tests.test_inspection import EVIDENCE
+    from tests.test_inspection import RECORD as ROW
+    from tests.test_inspection import record
+
+    records = spark.createDataFrame([record("1", repair_method=""), record("2", "77m", sub_part="소단측구")], ROW)
+    same = ("s", "균열", "사면", "도수로")
+    rows = [(1, 1, 1, "t", *same, "10m", "표면처리", None, "1"), (1, 2, 1, "t", *same, "12m", "그라우팅", None, "1"), (1, 2, 2, "t", None, None, None, None, None, None, None, None)]
+    first = M.remember(M.cross_check(records, spark.createDataFrame(rows, EVIDENCE)))
+    one = {r["id"]: r for r in first.collect()}
+    assert [(c["field"], c["main"], c["other"], c["document_no"]) for c in one["1"]["conflicts"]] == [("location", "10m", "12m", 2), ("repair_method", "표면처리", "그라우팅", 2)]
+    assert one["1"]["cv_result"] == "conflict" and one["1"]["review_required"] and one["1"]["field_states"]["repair_method"] == "conflict" and one["2"]["cv_result"] == "missingInAdditional"
+    assert [(e["field"], e["value"], e["document_no"]) for e in one["1"]["enrichments"]] == [("repair_method", "표면처리", 1)]
+    decisions = [(1, "1", "location", "11m", None, "t1"), (1, "1", "location", "12m", "seen", "t2"), (1, "1", "repair_method", "절취", None, "t3")]
+    settled = M.settle(first, spark.createDataFrame(decisions, "report_id int, id string, field string, value string, reason string, decided_at string"))
+    two = {r["id"]: r for r in settled.collect()}
+    assert (two["1"]["location"], two["1"]["repair_method"], two["1"]["cv_result"], two["1"]["field_states"]["repair_method"]) == ("12m", "절취", "matched", "matched") and two["2"]["cv_result"] == "missingInAdditional"
+    again = M.remember(M.cross_check(records, spark.createDataFrame(rows[:2], EVIDENCE)), settled.select("report_id", "id", "conflicts", "enrichments", "group_confirmed"))
+    three = {r["id"]: r for r in again.collect()}
+    assert three["1"]["cv_result"] == "matched" and [c["resolved"]["value"] for c in three["1"]["conflicts"]] == ["12m", "절취"] and len(three["1"]["enrichments"]) == 2
+    documents = spark.createDataFrame([(1, d, s, f"f{d}", "map", 4, "q") for d in (1, 2) for s in (1, 2)], "report_id int, document_no int, seq int, file string, type string, page int, quote string")
+    shown = R.check_rows(M.evidence_rows(again, documents), M.conflict_rows(again, documents)).collect()
+    assert {(r["file"], r["item"], r["result"], r["decision"]) for r in shown} == {("f1", "확인", "일치", "-"), ("f2", "location", "불일치", "12m 확정 (seen)"), ("f2", "repair_method", "불일치", "절취 확정 (수동)")}
+    assert R.source_rows(again, M.evidence_rows(again, documents)).where("field = '교차검증'").count() == 2
+    assert R.history_rows(spark.createDataFrame([], "report_id int, id string, field string, original string, to string, at string"), M.conflict_rows(again, documents)).count() == 2
