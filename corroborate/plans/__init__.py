@@ -1,3 +1,3 @@
 """Queries by subject; importing the package registers all of them."""
 
-from . import approvals, inspection, placement, quality, registry, reporting, review, truth  # noqa: F401
+from . import approvals, inspection, placement, quality, registry, reporting, review, rollups, truth  # noqa: F401

@@ -231,6 +231,44 @@ def merged_records(t) -> DataFrame:
     return out.select("id", "location", "group_no", "repair_method", "quantity", "quantity_group", "status", "merged", *joined)
 
 
+def _told_sql(source: str, keys: list[str], place: bool) -> str:
+    """Values in conflict of one stage: every value's first record, then the fields with several."""
+    by = ", ".join(keys)
+    kinds = [("repair_method", "repair_method", 0), ("group_no", "group_no", 0), ("quantity", "quantity_group", 0), ("quantity", "quantity", 1)]
+    one = [f"SELECT {by}, '{f}' AS field, {k} AS turn, {T.nrm(c)} AS k, trim({c}) AS value, group_index, id, pages[1] AS page FROM {source} WHERE trim(coalesce({c}, '')) <> ''" for f, c, k in kinds]
+    one += [f"SELECT {by}, 'location', 0, {T.nrm('location')}, location, group_index, id, pages[1] FROM {source}"] * place
+    firsts = f"SELECT * FROM ({' UNION ALL '.join(one)}) QUALIFY row_number() OVER (PARTITION BY {by}, field, turn, k ORDER BY group_index, id) = 1"
+    several = f"SELECT * FROM ({firsts}) QUALIFY count(*) OVER (PARTITION BY {by}, field, turn) > 1"
+    return f"""SELECT report_id, b.id, field, string_agg(coalesce(value, '') || '@' || coalesce(page::VARCHAR, ''), '; ' ORDER BY turn, x.group_index, x.id) AS "values"
+      FROM ({several}) x JOIN (SELECT {by}, arg_min(id, (group_index, id)) AS id FROM {source} GROUP BY ALL) b USING ({by}) GROUP BY ALL"""
+
+
+_STAGES = f"""{T.R_SQL}, a AS (SELECT * EXCLUDE (report_id), [p1, p2] AS pages, {_KEYED}, {T.nrm('location')} AS k5 FROM r),
+m1 AS ({_merge_sql('a', ['report_id', 'k1', 'k2', 'k3', 'k4', 'k5'], False)}), b AS (SELECT * EXCLUDE (report_id), {_KEYED}, {T.nrm('group_no')} AS k5, {T.nrm('location')} AS place FROM m1),
+g AS (SELECT report_id, k1, k2, k3, k4, k5 FROM b GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT place) > 1 AND sum(len(list_distinct(pages))) = len(list_distinct(flatten(list(pages))))),
+h AS (SELECT b.* FROM b SEMI JOIN g USING (report_id, k1, k2, k3, k4, k5))"""
+_MERGE_KEYS = ["report_id", "k1", "k2", "k3", "k4", "k5"]
+
+
+@query(f"""WITH {_STAGES}, t1 AS ({_told_sql('a', _MERGE_KEYS, False)}), t2 AS ({_told_sql('h', _MERGE_KEYS, True)})
+SELECT * FROM t1 WHERE (report_id, id) NOT IN (SELECT (report_id, id) FROM h) UNION ALL SELECT * FROM t2""")
+def merge_conflict_values(t) -> DataFrame:
+    shown = F.transform("values", lambda v: F.concat(F.coalesce(v["value"], F.lit("")), F.lit("@"), F.coalesce(v["page"].cast("string"), F.lit(""))))
+    return G.merge_conflicts(T.records(t)).select("report_id", "id", "field", F.array_join(shown, "; ").alias("values"))
+
+
+@query(f"""WITH {_STAGES}, i AS (SELECT a.report_id, a.id AS record_id, a.n, min_by(z.id, (z.group_index, z.id)) AS id1, (a.group_index, a.id) AS o FROM a JOIN a z USING (report_id, k1, k2, k3, k4, k5) GROUP BY ALL),
+j AS (SELECT h.report_id, h.id AS id1, min_by(z.id, (z.group_index, z.id)) AS id2, (h.group_index, h.id) AS o2 FROM h JOIN h z USING (report_id, k1, k2, k3, k4, k5) GROUP BY ALL),
+f AS (SELECT i.report_id, coalesce(id2, i.id1) AS id, o2, o, s, CASE s WHEN 0 THEN CASE WHEN n % 4 > 0 THEN 'P' || n % 3 END ELSE CASE WHEN n % 5 = 0 THEN 'Q' || n END END AS photo FROM (SELECT *, unnest([0, 1]) AS s FROM i) i LEFT JOIN j ON j.report_id = i.report_id AND j.id1 = i.id1),
+u AS (SELECT *, row_number() OVER (PARTITION BY report_id, id, photo ORDER BY o2, o, s) AS k FROM f)
+SELECT report_id, id, coalesce(string_agg(photo, ',' ORDER BY o2, o, s) FILTER (k = 1), '') AS photos FROM u GROUP BY ALL""")
+def merged_record_photos(t) -> DataFrame:
+    records, n = T.records(t), F.col("n")
+    named = F.array(F.when(n % 4 > 0, F.concat(F.lit("P"), (n % 3).cast("string"))), F.when(n % 5 == 0, F.concat(F.lit("Q"), n.cast("string"))))
+    photos = records.select("report_id", F.col("id").alias("record_id"), F.posexplode(named).alias("seq", "photo_id"))
+    return G.merged_photos(records, photos).withColumn("photos", F.array_join("photos", ","))
+
+
 @query("""
 SELECT 'R' || o_orderkey AS id, i::INT AS place, l AS location, s AS sub_part FROM (
   SELECT o_orderkey, unnest([1, 2, 3, 4]) AS i, unnest([(o_orderkey % 90)::VARCHAR || 'm', '20~30m', '208m', '7m']) AS l, unnest(['기본', '기본', '도수로', '도수로']) AS s FROM orders)""")

@@ -130,6 +130,24 @@ def test_a_page_named_twice_is_one_page(spark):
     assert {r["id"] for r in G.merge_records(spark.createDataFrame(rows, ROW)).collect()} == {"1", "3", "4"}
 
 
+def test_conflicts_name_their_values_and_pages(spark):
+    from tests.test_inspection import RECORD as ROW
+    from tests.test_inspection import record
+
+    rows = [record("1", repair_method="a b", quantity="3m", quantity_group="x", pages=(4, 2)), record("2", repair_method="c", quantity=" ", pages=(1,), group_index=0), record("3", repair_method=" ab", quantity="5m", quantity_group=None, pages=(9,), group_index=2),
+            record("4", "20m", (7,), section="t", group_index=3), record("5", "20m", (8,), section="t", group_no=" G"), record("6", "30m", (5,), section="t"), record("7", "1m", (6,), section="u")]
+    frame = spark.createDataFrame(rows, ROW)
+    got = {(r["id"], r["field"]): [tuple(v) for v in r["values"]] for r in G.merge_conflicts(frame).collect()}
+    assert got == {("2", "repair_method"): [("c", 1), ("a b", 4)], ("2", "quantity"): [("3m", 4), ("5m", 9)], ("5", "location"): [("20m", 7), ("30m", 5)]}
+    merged = {r["id"]: r for r in G.merge_records(frame).collect()}
+    assert {(i, f) for i, f in got} == {(i, f) for i, r in merged.items() for f in r["conflicts"]}
+    photos = spark.createDataFrame([(1, "4", 0, "b"), (1, "5", 1, "a"), (1, "5", 0, "c"), (1, "6", 0, "a"), (1, "6", 1, "d"), (1, "3", 0, None), (1, "no", 0, "z")], "report_id int, record_id string, seq int, photo_id string")
+    listed = {r["id"]: r["photos"] for r in G.merged_photos(frame, photos).collect()}
+    assert set(listed) == set(merged) and listed["2"] == listed["7"] == [] and listed["5"] == ["c", "a", "b", "d"]
+    empty = frame.limit(0)
+    assert G.merge_conflicts(empty).count() == 0 and G.merged_photos(empty, photos).count() == 0
+
+
 def test_a_choice_narrows_only_its_reports(spark):
     rows = spark.createDataFrame([(1, "a", "review"), (1, "b", "review"), (2, "a", "review"), (2, "b", "excluded")], "report_id int, id string, status string")
     shown = lambda chosen: {(r["report_id"], r["id"]) for r in R.final_records(rows, chosen).collect()}
