@@ -60,38 +60,47 @@ def _stream(z: zipfile.ZipFile, name: str, tag: str) -> Iterator[ElementTree.Ele
                 root.clear()
 
 
-def _sheets(z: zipfile.ZipFile) -> Iterator[tuple[str, str]]:
-    """(name, file) of the worksheets in the workbook's order, by the ids of its relations."""
+def worksheets(z: zipfile.ZipFile) -> Iterator[tuple[str, str, bool]]:
+    """(name, file, whether it is hidden) of the worksheets in the workbook's order, by the ids of its relations."""
     targets = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter():
         if _name(x.tag) == "sheet":
             target = targets[next(v for k, v in x.attrib.items() if _name(k) == "id")]
-            yield x.get("name"), target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            file = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if file.startswith("xl/worksheets/"):  # a chart has no rows
+                yield x.get("name"), file, x.get("state", "visible") != "visible"
+
+
+def shared_strings(z: zipfile.ZipFile) -> list[str]:
+    return [_texts(x) for x in _stream(z, "xl/sharedStrings.xml", "si")] if "xl/sharedStrings.xml" in z.namelist() else []
+
+
+def sheet_rows(z: zipfile.ZipFile, file: str, shared: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(row number, cells as text) of a worksheet as it is read; cells left out are empty."""
+    at_row = 0
+    for row in _stream(z, file, "row"):
+        at_row = int(row.get("r") or at_row + 1)
+        cells: list[str] = []
+        for c in row:
+            at = len(cells)
+            if letters := re.match(r"[A-Z]*", c.get("r") or "").group():
+                at = 0
+                for ch in letters:
+                    at = 26 * at + ord(ch) - 64
+                at -= 1
+            value = next((x.text or "" for x in c if _name(x.tag) == "v"), None)
+            shown = shared[int(value)] if c.get("t") == "s" and value else _texts(c) if c.get("t") == "inlineStr" else value or ""
+            cells += [""] * (at + 1 - len(cells))
+            cells[at] = shown
+        yield at_row, cells
 
 
 def xlsx_rows(raw: bytes) -> Iterator[tuple[str, int, list[str]]]:
-    """(sheet, row number, cells as text) of every worksheet in the workbook's order; cells left out are empty."""
+    """(sheet, row number, cells as text) of every worksheet in the workbook's order."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        names = set(z.namelist())
-        shared = [_texts(x) for x in _stream(z, "xl/sharedStrings.xml", "si")] if "xl/sharedStrings.xml" in names else []
-        for sheet, file in _sheets(z):
-            if not file.startswith("xl/worksheets/"):
-                continue  # a chart has no rows
-            at_row = 0
-            for row in _stream(z, file, "row"):
-                at_row = int(row.get("r") or at_row + 1)
-                cells: list[str] = []
-                for c in row:
-                    at = len(cells)
-                    if letters := re.match(r"[A-Z]*", c.get("r") or "").group():
-                        at = 0
-                        for ch in letters:
-                            at = 26 * at + ord(ch) - 64
-                        at -= 1
-                    value = next((x.text or "" for x in c if _name(x.tag) == "v"), None)
-                    shown = shared[int(value)] if c.get("t") == "s" and value else _texts(c) if c.get("t") == "inlineStr" else value or ""
-                    cells += [""] * (at + 1 - len(cells))
-                    cells[at] = shown
+        shared = shared_strings(z)
+        for sheet, file, _ in worksheets(z):
+            for at_row, cells in sheet_rows(z, file, shared):
                 yield sheet, at_row, cells
 
 
