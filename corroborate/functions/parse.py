@@ -42,6 +42,13 @@ def json_object(answer: Column, schema: str) -> Column:
     return F.from_json(F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit("")), schema)
 
 
+def vision_answer(answer: Column) -> Column:
+    """struct(damage_type, facility, confidence) of a model's answer about a picture, null without an object in it; a confidence that is no number is 0."""
+    read = json_object(answer, "damageType string, facility string, confidence double")
+    sure = F.when(F.isnan(read["confidence"]), 0.0).otherwise(F.coalesce(read["confidence"], F.lit(0.0)))
+    return F.when(answer.rlike(r"(?s)\{.*\}"), F.struct(read["damageType"].alias("damage_type"), read["facility"].alias("facility"), sure.alias("confidence")))
+
+
 def keyword_hits(cells: Column, keywords: list[str]) -> Column:
     """How many cells contain one of the keywords."""
     hit = lambda c: F.coalesce(F.greatest(*[F.contains(c, F.lit(k)).cast("int") for k in keywords], F.lit(0)), F.lit(0))

@@ -191,6 +191,15 @@ def export_history(exports: DataFrame) -> DataFrame:
     return in_turn(exports, ["report_id"], [F.col("at"), F.col("file")], "n").withColumn("export_id", F.format_string("EXP-%03d", "n")).drop("n")
 
 
+def append_exports(log: DataFrame, exports: DataFrame) -> DataFrame:
+    """``log`` with new exports (report_id, at, file, error and what else the log holds) behind it: ids go on after each report's
+    last, and an export with an error has failed.  Rows of the log stay as they are; those without an id count for nothing."""
+    last = log.groupBy("report_id").agg(F.max(F.regexp_extract("export_id", r"^EXP-(\d+)$", 1).try_cast("int")).alias("_last"))
+    new = in_turn(exports, ["report_id"], [F.col("at"), F.col("file")], "_n").join(last, "report_id", "left")
+    made = {"export_id": F.format_string("EXP-%03d", F.col("_n") + F.coalesce("_last", F.lit(0))), "status": F.when(D.given(F.col("error")), "failed").otherwise("success")}
+    return log.unionByName(new.withColumns(made).drop("_n", "_last"), allowMissingColumns=True)
+
+
 def nearby_text(boxes: DataFrame, items: DataFrame, margin: float = 60.0) -> DataFrame:
     """Text of the items within ``margin`` of each box on its page, by y and then x.
 
@@ -237,16 +246,24 @@ def joined_pages(pages: DataFrame, key: str, number: str, text: str) -> DataFram
     return pages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["x"]), "\n\n").alias("prompt"))
 
 
-def group_records(groups: DataFrame) -> DataFrame:
+def group_records(groups: DataFrame, order: str | None = None) -> DataFrame:
     """Groups (report_id, group_no, section, damage_name, part, repair_method, total, locations) to one record per location.
 
-    One location takes the group's number as its id, several get -01, -02; a location without a quantity of its own is part of the group's."""
+    One location takes the group's number as its id, several get -01, -02; a location without a quantity of its own is part
+    of the group's.  A single location of a group without a number is TMP-1 and on within its report, in the order of the
+    column ``order`` (without one, of the groups' own values).  A part that is no standard one is noted as it was written."""
     part, n = D.standard_part(F.col("part")), F.size("locations")
     label = F.when(D.given(F.col("total")), F.concat(F.lit("그룹 합계 "), F.col("total"), F.lit("에 포함"))).when(n > 1, "그룹 합계에 포함")
-    out = groups.select("report_id", "group_no", "section", "damage_name", "repair_method", part["part"].alias("part"), label.alias("_label"), n.alias("_n"), F.posexplode("locations").alias("_p", "_l"))
-    own = D.given(F.col("_l.quantity"))
+    note = F.when(~part["matched"] & D.given(F.col("part")), F.concat(F.lit('원문 부위값 "'), F.col("part"), F.lit('"을(를) 표준 분류로 확정하지 못해 "기타"로 지정함')))
+    nameless = (n == 1) & ~D.given(F.col("group_no"))
+    by = [F.col(order)] if order else [F.col("section"), F.col("damage_name"), F.col("part"), F.col("repair_method"), F.to_json("locations"), F.col("total")]
+    # only groups without a number are numbered, and so ordered within their report
+    rows = groups.withColumn("_n", F.lit(None).cast("int")).where(~nameless).unionByName(in_turn(groups.where(nameless), ["report_id"], by, "_n"))
+    out = rows.select("report_id", "group_no", "section", "damage_name", "repair_method", part["part"].alias("part"), label.alias("_label"), note.alias("notes"), "_n", n.alias("_of"), F.posexplode("locations").alias("_p", "_l"))
+    own, number = D.given(F.col("_l.quantity")), F.coalesce("group_no", F.lit(""))
+    id_ = F.when(F.col("_n").isNotNull(), F.concat(F.lit("TMP-"), F.col("_n").cast("string"))).when(F.col("_of") == 1, number).otherwise(F.format_string("%s-%02d", number, F.col("_p") + 1))
     return out.select(
-        "report_id", F.when(F.col("_n") == 1, F.col("group_no")).otherwise(F.format_string("%s-%02d", "group_no", F.col("_p") + 1)).alias("id"), "group_no", (F.col("_p") + 1).alias("group_index"),
+        "report_id", id_.alias("id"), "group_no", (F.col("_p") + 1).alias("group_index"),
         "section", "damage_name", "part", F.coalesce(F.nullif(F.col("_l.sub_part"), F.lit("")), F.lit(D.DASH)).alias("sub_part"), F.col("_l.location").alias("location"), "repair_method",
-        F.when(own, F.col("_l.quantity")).alias("quantity"), F.when(~own, F.col("_label")).alias("quantity_group"),
+        F.when(own, F.col("_l.quantity")).alias("quantity"), F.when(~own, F.col("_label")).alias("quantity_group"), "notes",
     )

@@ -225,6 +225,36 @@ def groups_to_records(t) -> DataFrame:
     return R.group_records(groups).select("id", "group_index", "part", "sub_part", "quantity", "quantity_group")
 
 
+@query("""WITH g AS (SELECT o_custkey AS report_id, o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'G' || o_orderkey WHEN o_orderkey % 4 = 1 THEN '' END AS no, CASE o_orderkey % 3 WHEN 0 THEN '비탈면' WHEN 1 THEN '' END AS part, o_orderkey % 3 AS n FROM orders),
+m AS (SELECT k, row_number() OVER (PARTITION BY report_id ORDER BY k) AS tmp FROM g WHERE n = 1 AND coalesce(no, '') = ''), x AS (SELECT *, unnest(range(1, n + 1)) AS i FROM g)
+SELECT report_id, k AS damage_name, CASE WHEN tmp IS NOT NULL THEN 'TMP-' || tmp WHEN n = 1 THEN no ELSE printf('%s-%02d', coalesce(no, ''), i) END AS id, CASE WHEN part <> '' THEN '원문 부위값 "' || part || '"을(를) 표준 분류로 확정하지 못해 "기타"로 지정함' END AS notes FROM x LEFT JOIN m USING (k)""")
+def groups_without_numbers(t) -> DataFrame:
+    k = F.col("o_orderkey")
+    place = F.struct(F.lit("").alias("sub_part"), F.lit("1m").alias("location"), F.lit(None).cast("string").alias("quantity"))
+    groups = t("orders").select(F.col("o_custkey").alias("report_id"), F.when(k % 4 == 0, F.concat(F.lit("G"), k.cast("string"))).when(k % 4 == 1, "").alias("group_no"), F.lit("s").alias("section"), k.alias("damage_name"), F.when(k % 3 == 0, "비탈면").when(k % 3 == 1, "").alias("part"), F.lit("").alias("repair_method"), F.lit(None).cast("string").alias("total"), F.array_repeat(place, (k % 3).cast("int")).alias("locations"))
+    return R.group_records(groups, "damage_name").select("report_id", "damage_name", "id", "notes")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN p_name END AS damage_type, CASE WHEN p_partkey % 7 > 0 AND p_partkey % 2 = 0 THEN p_brand END AS facility, CASE WHEN p_partkey % 7 > 0 AND p_partkey % 3 = 0 THEN p_size / 100 WHEN p_partkey % 7 > 0 THEN 0 END AS confidence FROM part""")
+def vision_answers(t) -> DataFrame:
+    k, size = F.col("p_partkey"), (F.col("p_size") / 100).cast("string")
+    sure = F.when(k % 3 == 0, size).when(k % 3 == 1, F.concat(F.lit('"'), size, F.lit('"'))).otherwise("null")
+    brand = F.when(k % 2 == 0, F.concat(F.lit(', "facility": '), F.concat(F.lit('"'), "p_brand", F.lit('"')))).otherwise("")
+    answer = F.when(k % 7 > 0, F.concat(F.lit('I see:\n{"damageType": "'), "p_name", F.lit('"'), brand, F.lit(', "confidence": '), sure, F.lit("}\nDone"))).otherwise("nothing")
+    return t("part").select("p_partkey", P.vision_answer(answer).alias("a")).select("p_partkey", "a.*")
+
+
+@query("""WITH e AS (SELECT o_custkey AS report_id, o_orderkey AS k, o_orderdate AS d, o_orderkey::VARCHAR AS file, CASE WHEN o_orderkey % 5 = 0 THEN 'disk full' WHEN o_orderkey % 5 = 1 THEN '' END AS error FROM orders),
+o AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY d, file) AS n FROM e WHERE k % 3 = 0), w AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY d, file) AS n FROM e WHERE k % 3 > 0),
+c AS (SELECT report_id, max(n) AS last FROM o GROUP BY 1)
+SELECT k, printf('EXP-%03d', n) AS export_id, 'success' AS status FROM o UNION ALL SELECT k, printf('EXP-%03d', n + coalesce(last, 0)), CASE WHEN coalesce(error, '') <> '' THEN 'failed' ELSE 'success' END FROM w LEFT JOIN c USING (report_id)""")
+def export_log_appended(t) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = t("orders").select(F.col("o_custkey").alias("report_id"), k.alias("k"), F.col("o_orderdate").alias("at"), k.cast("string").alias("file"), F.when(k % 5 == 0, "disk full").when(k % 5 == 1, "").alias("error"))
+    log = R.export_history(rows.where("k % 3 = 0").drop("error")).withColumn("status", F.lit("success"))
+    return R.append_exports(log, rows.where("k % 3 > 0")).select("k", "export_id", "status")
+
+
 _PHOTO_SIDES = """tp AS (SELECT o_custkey % 40 AS case_id, CASE WHEN o_orderkey % 5 > 0 THEN 'N:' || (o_orderkey % 30) ELSE 'P:' || (o_orderkey % 9) END AS k FROM orders WHERE o_orderstatus <> 'O'),
 fp AS (SELECT o_custkey % 40 AS case_id, CASE WHEN o_orderkey % 5 > 0 THEN 'N:' || (o_orderkey % 30) ELSE 'P:' || (o_orderkey % 9) END AS k FROM orders WHERE o_orderstatus <> 'F'),
 pm AS (SELECT case_id, k, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT case_id, k, count(*) AS a FROM tp GROUP BY ALL) FULL JOIN (SELECT case_id, k, count(*) AS b FROM fp GROUP BY ALL) USING (case_id, k))"""

@@ -86,7 +86,8 @@ def validation_workbook_sheets(t) -> DataFrame:
     cases = t("orders").select((F.col("o_custkey") % 40).alias("case_id")).distinct()
     named = cases.select("case_id", F.lit("r").alias("report_name"), F.lit("사면").alias("facility_type"), F.lit("A").alias("vendor_type"), F.lit("").alias("report_format"), F.when(k % 2 == 0, "easy").otherwise("hard").alias("difficulty"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("locked"), F.lit("done").alias("status"))
     pairs = G.damage_pairs(truth, found)
-    bundles = U.of_bundles(G.validation_bundle(cases, truth, found, truth_photos, found_photos))
+    # one row a case, which every sheet reads
+    bundles = U.of_bundles(G.validation_bundle(cases, truth, found, truth_photos, found_photos)).persist()
     runs = bundles.select("*", F.when(k % 2 == 0, 10).alias("processing_ms"), *[F.lit(None).cast("long").alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")], F.lit("N/A").alias("estimated_cost"))
     errors = G.error_entries(pairs, G.photo_pairs(truth_photos, found_photos))
     revisions = cases.select("case_id", F.lit("t").alias("at"), F.lit("n").alias("note"))

@@ -1,5 +1,9 @@
 """Summaries over measured runs on hand-made rows: blanks, nulls, ties, no runs, no cases; the validation workbook."""
 
+from pyspark.sql import functions as F
+
+from corroborate.functions import parse as P
+from corroborate.operators import report as R
 from corroborate.operators import rollups as U
 from corroborate.operators import truth as G
 from corroborate.sources import sheets
@@ -66,3 +70,17 @@ def test_the_workbook_is_written_and_read_back(spark, tmp_path):
     empty = U.validation_workbook(cases.limit(0), runs.limit(0), fields.limit(0), errors.limit(0), revisions.limit(0))
     assert {n: s.count() for n, s in empty.items() if s.count()} == {"Summary": 9, "Provider Comparison": 1}
     assert G.errors_by_category(errors.limit(0)).count() == 0
+
+
+def test_answers_about_pictures(spark):
+    answers = ['x {"damageType": "균열", "confidence": 0.5} y', '{"confidence": "0.9", "facility": "f"}', '{"confidence": "NaN"}', '{"confidence": null}', "none", "{broken", "{broken}", None, ""]
+    rows = spark.createDataFrame(list(enumerate(answers)), "k int, a string").select("k", P.vision_answer(F.col("a")).alias("v")).orderBy("k").collect()
+    assert [r["v"] and tuple(r["v"]) for r in rows] == [("균열", None, 0.5), (None, "f", 0.0), (None, None, 0.0), (None, None, 0.0), None, None, (None, None, 0.0), None, None]
+
+
+def test_export_log_goes_on(spark):
+    log = spark.createDataFrame([(1, "EXP-001", "a", "success"), (1, "EXP-1200", "b", "failed"), (2, None, "c", "success")], "report_id int, export_id string, file string, status string")
+    new = spark.createDataFrame([(1, 2, "d", None), (1, 1, "e", "x"), (2, 1, "f", ""), (3, 1, "g", None)], "report_id int, at int, file string, error string")
+    got = {r["file"]: (r["export_id"], r["status"]) for r in R.append_exports(log, new).collect()}
+    assert got == {"a": ("EXP-001", "success"), "b": ("EXP-1200", "failed"), "c": (None, "success"), "e": ("EXP-1201", "failed"), "d": ("EXP-1202", "success"), "f": ("EXP-001", "success"), "g": ("EXP-001", "success")}
+    assert R.append_exports(log.limit(0), new.limit(0)).count() == 0
