@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +80,8 @@ v AS (SELECT case_id, tp, fp, fn, CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp
 w AS (SELECT 'Test Cases' AS sheet, case_id, concat_ws('|', CASE case_id % 3 WHEN 0 THEN '확정' WHEN 1 THEN '작성중' ELSE '미작성' END, {_ONE.format('f1')}, CASE WHEN f1 >= 0.9 THEN 'GOOD' WHEN f1 >= 0.75 THEN 'WARNING' ELSE 'FAIL' END) AS line FROM v
 UNION ALL SELECT 'Damage Metrics', case_id, concat_ws('|', tp, fp, fn, {_ONE.format('f1')}) FROM v
 UNION ALL SELECT 'Processing Time', case_id, CASE WHEN case_id % 2 = 0 THEN '10' ELSE '미제공' END FROM v
+UNION ALL SELECT 'Field Metrics', case_id, concat_ws('|', 'part', a, b, CASE WHEN b > 0 THEN printf('%.1f%%', a / b * 100) ELSE 'N/A' END) FROM (SELECT o_custkey % 40 AS case_id, count_if(o_orderkey % 4 = 0) AS a, count_if(o_orderkey % 4 < 2) AS b FROM orders GROUP BY 1)
+UNION ALL SELECT 'Error Summary', NULL, {T._case('k', 'LOST', 'NAME', 'PLACE')} || '|' || count(*) FROM (SELECT o_orderkey % 3 AS k FROM orders WHERE o_orderkey % 7 = 0) GROUP BY k
 UNION ALL SELECT '난이도별', NULL, concat_ws('|', difficulty, count(*), printf('%.1f%%', avg(f1) * 100)) FROM (SELECT *, CASE case_id % 2 WHEN 0 THEN 'easy' ELSE 'hard' END AS difficulty FROM v) GROUP BY difficulty)
 SELECT * FROM w""")
 def validation_workbook_sheets(t) -> DataFrame:
@@ -85,13 +89,14 @@ def validation_workbook_sheets(t) -> DataFrame:
     k = F.col("case_id")
     cases = t("orders").select((F.col("o_custkey") % 40).alias("case_id")).distinct()
     named = cases.select("case_id", F.lit("r").alias("report_name"), F.lit("사면").alias("facility_type"), F.lit("A").alias("vendor_type"), F.lit("").alias("report_format"), F.when(k % 2 == 0, "easy").otherwise("hard").alias("difficulty"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("locked"), F.lit("done").alias("status"))
-    pairs = G.damage_pairs(truth, found)
     # one row a case, which every sheet reads
     bundles = U.of_bundles(G.validation_bundle(cases, truth, found, truth_photos, found_photos)).persist()
     runs = bundles.select("*", F.when(k % 2 == 0, 10).alias("processing_ms"), *[F.lit(None).cast("long").alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")], F.lit("N/A").alias("estimated_cost"))
-    errors = G.error_entries(pairs, G.photo_pairs(truth_photos, found_photos))
+    shown = {"step": "'step'", "field": "CASE WHEN o_orderkey % 2 = 0 THEN 'part' END", "category": T._case("o_orderkey", "LOST", "NAME", "PLACE"), "truth_value": "o_orderstatus", "found_value": "CAST(NULL AS STRING)", "truth_source": "'p.1'", "found_source": "CAST(NULL AS STRING)"}
+    errors = t("orders").where("o_orderkey % 7 = 0").selectExpr("o_custkey % 40 AS case_id", *[f"{e} AS {n}" for n, e in shown.items()])
+    fields = t("orders").groupBy((F.col("o_custkey") % 40).alias("case_id")).agg(F.count_if(F.col("o_orderkey") % 4 == 0).alias("matched"), F.count_if(F.col("o_orderkey") % 4 < 2).alias("total")).select("*", F.lit("part").alias("field"), F.try_divide("matched", "total").alias("match_rate"))
     revisions = cases.select("case_id", F.lit("t").alias("at"), F.lit("n").alias("note"))
-    sheets = U.validation_workbook(named, runs, G.field_accuracy(pairs, ["case_id"]), errors, revisions)
-    shown = {"Test Cases": ["Ground Truth", "종합 F1", "결과"], "Damage Metrics": ["TP", "FP", "FN", "F1"], "Processing Time": ["처리시간(ms)"], "난이도별": ["구분", "테스트수", "F1"]}
-    out = [sheets[n].select(F.lit(n).alias("sheet"), (F.col("ID") if "ID" in sheets[n].columns else F.lit(None)).cast("bigint").alias("case_id"), F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in columns]).alias("line")) for n, columns in shown.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    sheets = U.validation_workbook(named, runs, fields, errors, revisions)
+    lines = {"Test Cases": ["Ground Truth", "종합 F1", "결과"], "Damage Metrics": ["TP", "FP", "FN", "F1"], "Processing Time": ["처리시간(ms)"], "Field Metrics": ["필드", "일치", "전체", "정확도"], "Error Summary": ["유형", "건수"], "난이도별": ["구분", "테스트수", "F1"]}
+    out = [sheets[n].select(F.lit(n).alias("sheet"), (F.col("ID") if "ID" in sheets[n].columns else F.lit(None)).cast("bigint").alias("case_id"), F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in columns]).alias("line")) for n, columns in lines.items()]
+    return functools.reduce(DataFrame.unionByName, out)
