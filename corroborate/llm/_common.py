@@ -145,8 +145,9 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Finaliser that spreads each 64-bit value over all bits."""
     with np.errstate(over="ignore"):
         x = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
         return x ^ (x >> np.uint64(31))
 
 
@@ -218,27 +219,34 @@ def equal_slices(a: np.ndarray, a_start: np.ndarray, a_size: np.ndarray, b: np.n
     return same
 
 
-def piece_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of each of many overlapping slices of at most a few hundred bytes, from one running sum."""
+def running_sum(buf: np.ndarray, which: int = 0) -> np.ndarray:
+    """Sum of all bytes before each position, each times its power of the base."""
+    run = np.zeros(len(buf) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(len(buf), which)[0][:-1], out=run[1:])
+    return run
+
+
+def piece_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, run: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each of many overlapping slices of at most a few hundred bytes, from one running sum (``run``, if at hand)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(len(buf), which)
+    run = running_sum(buf, which) if run is None else run
     with np.errstate(over="ignore"):
-        run = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=run[1:])
-        return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64), which)
+        return mix((run[ends] - run[starts]) * powers(len(buf), which)[1][starts] + (ends - starts).astype(np.uint64), which)
 
 
-def every_slice_hash(buf: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+def every_slice_hash(buf: np.ndarray, width: int, which: int = 0, run: np.ndarray | None = None) -> np.ndarray:
     """``piece_hashes`` of the ``width`` bytes from every position that has so many."""
     n = len(buf) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(len(buf), which)
+    run = running_sum(buf, which) if run is None else run
     with np.errstate(over="ignore"):
-        run = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=run[1:])
-        return mix((run[width:] - run[:-width]) * down[:n] + np.uint64(width), which)
+        h = run[width:] - run[:-width]
+        h *= powers(len(buf), which)[1][:n]
+        h += np.uint64(width)
+        return mix(h, which)
 
 
 def word_spans(buf: np.ndarray, off: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,8 +7,9 @@ A stretch of consecutive windows with one minimiser is cut out as a piece and de
 the bucket of its minimiser, so all places of a repeated string meet in one bucket, and
 a chunk sends equal pieces once with their smallest doc_id.
 
-In a bucket equal pieces are one, of the smallest doc_id, and a piece whose minimiser no
-other piece of the bucket has is left out, as it shares no string. The pieces left form
+In a bucket equal pieces are one, of the smallest doc_id, and a piece is left out where no
+other piece of the bucket has its minimiser with half of a string's further bytes before
+or behind it, as it shares no string. The pieces left form
 shards of about ``SHARD_BYTES``: the suffixes of each are sorted by themselves and give a
 Burrows-Wheeler transform.  The transforms are then merged without sorting the suffixes
 of all shards: an interleave of the shards is refined by one symbol per round, each round
@@ -28,6 +29,7 @@ like a result are replaced by it.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +53,21 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
+def _slabs(start: np.ndarray, end: np.ndarray) -> Iterator[slice]:
+    """Pieces in their order, about ``CHUNK_BYTES`` at a time: tables of powers stay small and are kept."""
+    part = np.cumsum(end - start) // CHUNK_BYTES
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
+        yield slice(a, b)
+
+
 def _distinct(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first piece of each kind, kind of each piece) of pieces of a text."""
-    a, b = (C.piece_hashes(text, start, end, which) for which in (0, 1))
+    a, b = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
+    for own in _slabs(start, end):
+        base, upto = int(start[own].min()), int(end[own].max())
+        for which, out in enumerate((a, b)):
+            out[own] = C.piece_hashes(text[base:upto], start[own] - base, end[own] - base, which)
     order = np.lexsort((b, a))
     new = np.ones(len(start), bool)
     new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
@@ -63,30 +77,28 @@ def _distinct(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
 
 
 class _Chunk:
-    """Windows of one chunk and the minimiser of each."""
+    """Runs of windows of one chunk with one minimiser: first window, windows and minimiser of each."""
 
     def __init__(self, table: pa.Table, length: int, buckets: int):
         self.length, self.buckets = length, buckets
         self.buf, self.off = C.text_buffer(table.column("text"))
         self.ids, ok = C.long_column(table, "doc_id")
         n = len(self.buf) - length + 1
-        if n <= 0:
-            self.at, self.low, self.row = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        else:
-            low = _sliding_min(C.every_slice_hash(self.buf, SEED_BYTES), length - SEED_BYTES + 1)
-            windows = np.where(ok, np.maximum(0, np.diff(self.off) - length + 1), 0)
-            self.at = np.arange(windows.sum()) + np.repeat(self.off[:-1] - (np.cumsum(windows) - windows), windows)
-            self.low = low[self.at]
-            self.row = np.repeat(np.arange(len(windows)), windows)
+        low = _sliding_min(C.every_slice_hash(self.buf, SEED_BYTES), length - SEED_BYTES + 1) if n > 0 else np.zeros(0, np.uint64)
         # windows in a row with one minimiser are a run, of at most RUN windows
-        new = np.ones(len(self.at), bool)
-        new[1:] = (self.low[1:] != self.low[:-1]) | (self.at[1:] != self.at[:-1] + 1) | (self.row[1:] != self.row[:-1])
-        head = np.flatnonzero(new)
-        since = np.arange(len(self.at)) - np.repeat(head, np.diff(np.append(head, len(self.at))))
-        self.head = np.flatnonzero(since % RUN == 0)
-        self.size = np.diff(np.append(self.head, len(self.at)))
-        self.key, self.of = np.unique(self.low[self.head], return_inverse=True)
-        self.doc = self.ids[self.row[self.head]]
+        new = np.ones(len(low) + 1, bool)
+        np.not_equal(low[1:], low[:-1], out=new[1:-1])
+        new[np.minimum(self.off, len(low))] = True
+        head = np.flatnonzero(new[:-1])
+        row = np.searchsorted(self.off, head, side="right") - 1
+        size = np.minimum(np.append(head[1:], len(low)), self.off[row + 1] - length + 1) - head
+        some = np.flatnonzero((size > 0) & ok[row])
+        head, row, size = head[some], row[some], size[some]
+        cuts = -(-size // RUN)
+        since = RUN * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+        self.head, self.size = np.repeat(head, cuts) + since, np.minimum(RUN, np.repeat(size, cuts) - since)
+        self.key, self.of = np.unique(low[self.head], return_inverse=True)
+        self.doc = self.ids[np.repeat(row, cuts)]
         some, other = np.full(len(self.key), np.iinfo(np.int64).max), np.full(len(self.key), np.iinfo(np.int64).min)
         np.minimum.at(some, self.of, self.doc)
         np.maximum.at(other, self.of, self.doc)
@@ -106,7 +118,7 @@ class _Chunk:
         for b, pick in self.picks():
             bits[pick] |= np.unpackbits(np.frombuffer(got[b], np.uint8), count=len(pick)).astype(bool)
         self.runs = np.flatnonzero(bits[self.of])
-        start, size = self.at[self.head[self.runs]], self.size[self.runs]
+        start, size = self.head[self.runs], self.size[self.runs]
         first, self.same = _distinct(self.buf, start, start + size + self.length - 1)
         self.owner = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(self.owner, self.same, self.doc[self.runs])
@@ -210,21 +222,22 @@ def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.nda
     Returns, in merged order, the entry of each suffix (shards end to end) and its common
     prefix with the one before it (``rounds`` if it goes on)."""
     flat = np.concatenate(transforms)
-    front, at = np.empty(len(flat), np.int32), 0
+    front, at = np.empty(len(flat), np.int64), 0
     for t in transforms:
         front[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t))
         at += len(t)
-    entry, block = np.arange(len(flat), dtype=np.int32), np.zeros(len(flat), np.int32)
-    common = np.full(len(flat), rounds, np.int16)
-    new = np.ones(len(flat), bool)  # where a block of equal prefixes begins
-    for k in range(rounds):
+    entry, block = np.arange(len(flat)), np.zeros(len(flat), np.int64)
+    common = np.zeros(len(flat), np.int16)  # rounds in which an entry was in the block of the one before it
+    for _ in range(rounds):
         symbol = flat[entry]
         order = np.argsort(symbol, kind="stable")
-        entry, symbol, block = front[entry[order]], symbol[order], block[order]
-        np.not_equal(symbol[1:], symbol[:-1], out=new[1:])
-        new[1:] |= block[1:] != block[:-1]
-        block = np.cumsum(new, dtype=np.int32)
-        common[new & (common == rounds)] = k
+        block <<= 8
+        block |= symbol
+        entry, block = front[entry[order]], block[order]
+        same = block[1:] == block[:-1]
+        common[1:] += same
+        block[0] = 0
+        np.cumsum(~same, out=block[1:])
     return entry, common
 
 
@@ -254,6 +267,39 @@ def _repeated(text: np.ndarray, start: np.ndarray, windows: np.ndarray, owner: n
     return flag
 
 
+def _meeting(text: np.ndarray, start: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """The distinct pieces that may share a string with another one.
+
+    Two that do have one minimiser, and where each holds it once they stand side by side at
+    it: of the bytes that a shared string has around it, half lie before or behind it."""
+    span, half = windows + length - 1, (length - SEED_BYTES + 1) // 2
+    low, once = np.empty(len(start), np.uint64), np.empty(len(start), bool)
+    sides = [(half, SEED_BYTES), (0, SEED_BYTES + half)]
+    whole, around = np.empty((2, len(start)), bool), np.empty((2, len(start)), np.uint64)
+    for own in _slabs(start, start + span):
+        n, ends = span[own], np.cumsum(span[own])
+        body = text[np.repeat(start[own] - (ends - n), n) + np.arange(ends[-1])]
+        run = C.running_sum(body)
+        hashed = C.every_slice_hash(body, SEED_BYTES, run=run)
+        across = (ends[:-1, None] - np.arange(1, SEED_BYTES)).ravel()
+        hashed[across] = np.iinfo(np.uint64).max
+        low[own] = np.minimum.reduceat(hashed, ends - n)
+        hit = np.flatnonzero(hashed == np.repeat(low[own], n)[: len(hashed)])
+        begin = np.searchsorted(hit, ends - n)
+        once[own] = np.diff(np.append(begin, len(hit))) == 1
+        at = hit[begin]
+        for k, (before, behind) in enumerate(sides):
+            whole[k, own] = (at - before >= ends - n) & (at + behind <= ends)
+            at_whole = at[whole[k, own]]
+            around[k, own][whole[k, own]] = C.piece_hashes(body, at_whole - before, at_whole + behind, run=run)
+    _, same, count = np.unique(low, return_inverse=True, return_counts=True)
+    keep = (np.bincount(same, ~once) > 0)[same]  # a minimiser that a piece repeats tells no place
+    for has, key in zip(whole, around, strict=True):
+        _, of, n = np.unique(key[has], return_inverse=True, return_counts=True)
+        keep[has] |= n[of] > 1
+    return np.flatnonzero(keep & (count[same] > 1))
+
+
 def _intervals(length: int):
     """Which windows of each chunk's pieces begin a string that a smaller doc_id owns too."""
 
@@ -267,11 +313,7 @@ def _intervals(length: int):
         first, kind = _distinct(text, start, start + span)
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, kind, owner)
-        # only pieces with one minimiser can share a string
-        seeds = (start[first][:, None] + np.arange(length - SEED_BYTES + 1)).ravel()
-        low = C.every_slice_hash(text, SEED_BYTES)[seeds].reshape(len(first), -1).min(axis=1)
-        _, same, count = np.unique(low, return_inverse=True, return_counts=True)
-        some = np.flatnonzero(count[same] > 1)
+        some = _meeting(text, start[first], windows[first], length)
         size = windows[first]
         flag = np.zeros(int(size.sum()), bool)
         begin = np.cumsum(size) - size
@@ -302,7 +344,7 @@ def _finish(length: int, buckets: int, keep: bool, schema: pa.Schema):
         n = chunk.size[chunk.runs]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         flag = bits[np.repeat(begin[chunk.same], n) + inner] | np.repeat(chunk.owner[chunk.same] < chunk.doc[chunk.runs], n)
-        starts = (np.repeat(chunk.at[chunk.head[chunk.runs]], n) + inner)[flag]
+        starts = (np.repeat(chunk.head[chunk.runs], n) + inner)[flag]
         gone = C.cover(starts, length, len(chunk.buf))
         total = np.concatenate([[0], np.cumsum(gone)])
         edge = gone.copy()
