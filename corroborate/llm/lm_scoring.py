@@ -12,7 +12,8 @@ The trie is never held whole.  A chunk of documents sends each bucket its distin
 (context, symbol) grams with their training counts, compressed; a bucket holds all
 contexts that end in the same ``SUFFIX`` symbols, hence every context of its grams from
 that order up, and answers each gram with its log probability.  Shorter contexts come
-from the table of grams of SUFFIX symbols, at most 257**3 entries, broadcast.
+from the table of grams of SUFFIX symbols, at most 257**3 entries, counted beforehand and
+broadcast; question, answer and score are one plan, so that the texts are dealt once.
 The counts cover the whole training corpus and grow with it.
 
 The base score is a smoothed unigram model over words; word counts travel the same way,
@@ -40,20 +41,49 @@ ORDER, SUFFIX, SYMBOLS, MARK, CHUNK_BYTES = 5, 3, 257, 256, 8 << 20
 _BITS = np.uint64(9)
 
 
-def _grams(buf: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The gram of each byte and end mark, and where each row's begin."""
+def _grams(buf: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(distinct grams that end at a byte or end mark, blocks of rows). Of a block: the row of
+    each of its grams, these in ascending order, where each distinct one's run begins, and its
+    place among all distinct grams.
+
+    Symbols are numbered as they occur here, so that a gram and its row are one number and the
+    numbers are sorted by themselves."""
+    symbols = np.append(np.flatnonzero(np.bincount(buf, minlength=256)), MARK)
+    bits = max(1, (len(symbols) - 1).bit_length())
+    left = 64 - bits * (order + 1)
+    code = np.zeros(256, np.uint8 if bits <= 8 else np.uint16)
+    code[symbols[:-1]] = np.arange(len(symbols) - 1)
     size = np.diff(off) + 1
-    first = np.concatenate([[0], np.cumsum(size)])
-    row = np.repeat(np.arange(len(size)), size)
-    padded = np.full(first[-1] + order * len(size), MARK, np.uint64)
-    at = np.arange(first[-1]) + order * (row + 1)
-    inner = np.ones(first[-1], bool)
-    inner[first[1:] - 1] = False
-    padded[at[inner]] = buf
-    g = np.zeros(first[-1], np.uint64)
-    for j in range(order + 1):
-        g = (g << _BITS) | padded[at - order + j]
-    return g, first
+    end = np.cumsum(size + order)
+    ends = np.ones(end[-1] if len(end) else 0, bool)  # of a gram; a row's first ``order`` marks end none
+    ends[((end - size - order)[:, None] + np.arange(order)).ravel()] = False
+    text = ends.copy()
+    text[end - 1] = False
+    padded = np.full(len(text), len(symbols) - 1, code.dtype)
+    padded[text] = code[buf]
+    n = max(0, len(padded) - order)
+    g = padded[:n].astype(np.uint64)
+    for j in range(1, order + 1):
+        g <<= np.uint64(bits)
+        g |= padded[j : j + n]
+    g = g[ends[order:]]
+    del text, padded, ends
+    first, blocks, found = np.concatenate([[0], np.cumsum(size)]), [], []
+    for a in range(0, max(len(size), 1), 1 << left):
+        n = size[a : a + (1 << left)]
+        key = g[first[a] : first[a] + n.sum()]  # worked on in place, as it is large
+        key <<= np.uint64(left)
+        key |= np.repeat(np.arange(len(n), dtype=np.uint32), n)
+        key.sort()
+        head = np.flatnonzero(np.concatenate([[True], (key[1:] ^ key[:-1]) >> np.uint64(left) > 0])) if len(key) else np.zeros(0, int)
+        found.append(key[head] >> np.uint64(left))
+        key &= np.uint64((1 << left) - 1)
+        blocks.append((key.astype(np.uint32) + np.uint32(a), head))
+    distinct = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+    gram = np.zeros(len(distinct), np.uint64)
+    for j in range(order, -1, -1):
+        gram = (gram << _BITS) | symbols.astype(np.uint64)[(distinct >> np.uint64(bits * j)) & np.uint64((1 << bits) - 1)]
+    return gram, [(row, head, np.searchsorted(distinct, own)) for (row, head), own in zip(blocks, found, strict=True)]
 
 
 def _part(g: np.ndarray, symbols: int) -> np.ndarray:
@@ -148,30 +178,50 @@ def unlisted(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(raw, "<f8", n, 8)[code]
 
 
-def _word_keys(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of every word, and where each row's words begin."""
-    low = C.ASCII_LOWER[buf]
-    starts, ends, row = C.word_spans(low, off, C.ASCII_SPACE)
-    return C.slice_hashes(low, starts, ends), C.slice_hashes(low, starts, ends, 1).astype(np.uint32), np.searchsorted(row, np.arange(len(off)))
-
-
 class _Chunk:
     """The distinct grams and words of one chunk, in the order of its messages."""
 
     def __init__(self, table: pa.Table, buckets: int):
         self.buckets = buckets
         buf, off = C.text_buffer(table.column("text"))
-        train = np.asarray(table.column("_train").combine_chunks()).astype(bool)
-        g, self.first = _grams(buf, off, ORDER)
-        self.gram, self.of_gram = np.unique(g, return_inverse=True)
-        self.gram_count = np.bincount(self.of_gram, np.repeat(train, np.diff(self.first)), minlength=len(self.gram)).astype(np.uint32)
-        h, c, self.word_first = _word_keys(buf, off)
-        self.word, at, self.of_word = np.unique(h, return_index=True, return_inverse=True)
-        self.check = c[at]
-        self.word_count = np.bincount(self.of_word, np.repeat(train, np.diff(self.word_first)), minlength=len(self.word)).astype(np.uint32)
+        self.train = np.asarray(table.column("_train").combine_chunks()).astype(bool)
+        self.gram, self.blocks = _grams(buf, off, ORDER)
+        self.text = C.ASCII_LOWER[buf]
+        self.start, self.end, self.row = C.word_spans(self.text, off, C.ASCII_SPACE)
+        h = C.slice_hashes(self.text, self.start, self.end)
+        order = np.argsort(h)
+        new = np.ones(len(h), bool)
+        new[1:] = h[order[1:]] != h[order[:-1]]
+        self.some, self.of_word = order[new], np.empty(len(h), np.int64)  # an occurrence of each word; the word of each occurrence
+        self.of_word[order] = np.cumsum(new) - 1
+        self.word = h[self.some]
         suffix = _part(self.gram >> _BITS, SUFFIX)
-        self.gram_bucket = (C.mix(suffix) % np.uint64(buckets)).astype(np.int64)
-        self.word_bucket = ((self.word >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        self.gram_bucket = (C.mix(suffix) % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
+        self.word_bucket = ((self.word >> np.uint64(20)) % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
+
+    def gram_counts(self) -> np.ndarray:
+        """How often each gram occurs in training rows."""
+        out = np.zeros(len(self.gram), np.uint32)
+        for row, head, at in self.blocks:
+            if len(head):
+                out[at] += np.add.reduceat(self.train[row], head, dtype=np.uint32)
+        return out
+
+    def word_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """A second hash of each word and how often it occurs in training rows."""
+        check = C.slice_hashes(self.text, self.start[self.some], self.end[self.some], 1).astype(np.uint32)
+        return check, np.bincount(self.of_word, self.train[self.row], minlength=len(self.word)).astype(np.uint32)
+
+    def gram_sums(self, value: np.ndarray) -> np.ndarray:
+        """Of each row the sum of its grams' values."""
+        out = np.zeros(len(self.train))
+        for row, head, at in self.blocks:
+            out += np.bincount(row, np.repeat(value[at], np.diff(np.append(head, len(row)))), minlength=len(out))
+        return out
+
+    def word_sums(self, value: np.ndarray) -> np.ndarray:
+        """Of each row the sum of its words' values."""
+        return np.bincount(self.row, value[self.of_word], minlength=len(self.train))
 
     def picks(self, where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(where, kind="stable")
@@ -190,18 +240,17 @@ def _ask(buckets: int):
             for column, x in zip((kind, bucket, keys, counts), row, strict=True):
                 column.append(x)
 
+        count = chunk.gram_counts()
         for b, pick in chunk.picks(chunk.gram_bucket):
             gram = chunk.gram[pick]  # ascending
-            put("gram", b, packed(np.diff(gram, prepend=gram[:1])), packed(np.append(gram[:1], chunk.gram_count[pick].astype(np.uint64))))
+            put("gram", b, packed(np.diff(gram, prepend=gram[:1])), packed(np.append(gram[:1], count[pick].astype(np.uint64))))
+        second, times = chunk.word_counts()
         for b, pick in chunk.picks(chunk.word_bucket):
-            check = chunk.check[pick].astype(np.uint16).astype(np.uint64) << np.uint64(32)
-            put("word", b, packed(np.diff(chunk.word[pick], prepend=np.uint64(0))), packed(check | chunk.word_count[pick]))
-        level = _Level(_part(chunk.gram, SUFFIX), chunk.gram_count.astype(np.int64))
-        seen = level.count > 0
-        put("short", 0, level.gram[seen].tobytes(), level.count[seen].tobytes())
+            check = second[pick].astype(np.uint16).astype(np.uint64) << np.uint64(32)
+            put("word", b, packed(np.diff(chunk.word[pick], prepend=np.uint64(0))), packed(check | times[pick]))
         return pa.table(
             {
-                "kind": pa.array(kind), "bucket": pa.array(bucket, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(kind), pa.int32()),
+                "kind": pa.array(kind, pa.string()), "bucket": pa.array(bucket, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(kind), pa.int32()),
                 "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary()),
             }
         )
@@ -226,34 +275,40 @@ def _answer(short):
             distinct, inverse = np.unique(gram, return_inverse=True)
             value = _log_probabilities(distinct, levels)[inverse]
         else:
-            parts = [np.cumsum(unpacked(x), dtype=np.uint64) for x in table["keys"]]
-            facts = np.concatenate([unpacked(x) for x in table["counts"]])
-            word, check, n = np.concatenate(parts), facts >> np.uint64(32), (facts & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            order = np.lexsort((check, word))
-            new = np.ones(len(word), bool)
-            new[1:] = (word[order[1:]] != word[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
-            total = np.add.reduceat(n[order], np.flatnonzero(new))
-            value = np.empty(len(word), np.int64)
-            value[order] = total[np.cumsum(new) - 1]
+            parts, value, _ = _word_totals(table)
         cuts = np.cumsum([len(p) for p in parts])[:-1]
         found = [packed(v) if kind == "word" else listed(v) for v in np.split(value, cuts)]
-        facts = [0] * len(found), [0] * len(found)
-        if kind == "word":
-            facts[0][0], facts[1][0] = int(total.sum()), int((total > 0).sum())
-        return pa.table(
-            {
-                "kind": table["kind"], "bucket": table["bucket"], "chunk": table["chunk"], "found": pa.array(found, pa.binary()),
-                "tokens": pa.array(facts[0], pa.int64()), "types": pa.array(facts[1], pa.int64()),
-            }
-        )
+        return pa.table({"kind": table["kind"], "bucket": table["bucket"], "chunk": table["chunk"], "found": pa.array(found, pa.binary())})
 
     return run
 
 
-_ANSWERED = "kind string, bucket int, chunk int, found binary, tokens long, types long"
+def _word_totals(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(words of each message, count over all of each, count of each distinct word)."""
+    parts = [np.cumsum(unpacked(x), dtype=np.uint64) for x in table["keys"]]
+    facts = np.concatenate([unpacked(x) for x in table["counts"]])
+    word, check, n = np.concatenate(parts), facts >> np.uint64(32), (facts & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    order = np.lexsort((check, word))
+    new = np.ones(len(word), bool)
+    new[1:] = (word[order[1:]] != word[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+    total = np.add.reduceat(n[order], np.flatnonzero(new))
+    value = np.empty(len(word), np.int64)
+    value[order] = total[np.cumsum(new) - 1]
+    return parts, value, total
+
+
+def _word_facts(key, table):
+    """A bucket's training words, repeats included, and different ones."""
+    if key[0].as_py() != "word":
+        return pa.table({"tokens": pa.array([], pa.int64()), "types": pa.array([], pa.int64())})
+    total = _word_totals(table)[2]
+    return pa.table({"tokens": pa.array([int(total.sum())]), "types": pa.array([int((total > 0).sum())])})
+
+
+_ANSWERED = "kind string, bucket int, chunk int, found binary"
 
 
-def _finish(buckets: int, tokens: int, types: int, ends: int):
+def _finish(buckets: int, ends: int):
     def run(key, left, right):
         chunk = _Chunk(left, buckets)
         gram, word = np.zeros(len(chunk.gram)), np.zeros(len(chunk.word), np.int64)
@@ -262,30 +317,31 @@ def _finish(buckets: int, tokens: int, types: int, ends: int):
             gram[pick] = unlisted(got["gram", b])
         for b, pick in chunk.picks(chunk.word_bucket):
             word[pick] = unpacked(got["word", b])
-        bottom = tokens + 0.1 * (types + 1)
-        known = np.concatenate([[0], np.cumsum(word[chunk.of_word] > 0)])
-        a, b = chunk.word_first[:-1], chunk.word_first[1:]
-        score = np.add.reduceat(gram[chunk.of_gram], chunk.first[:-1])
-        per_row = [np.log10((word[chunk.of_word[s:e]] + 0.1) / bottom).sum() for s, e in zip(a, b, strict=True)]
+        n_words = np.bincount(chunk.row, minlength=left.num_rows)
+        known = chunk.word_sums((word > 0).astype(float)).astype(np.int64)
+        top = chunk.word_sums(np.log10(word + 0.1)) + np.log10(ends + 0.1)
         return pa.table(
             {
-                "doc_id": left["doc_id"], "held_out": pa.array(~np.asarray(left["_train"].combine_chunks()).astype(bool)),
-                "n_tokens": pa.array(b - a + 1), "n_known": pa.array(known[b] - known[a] + (ends > 0)),
-                "train_tokens": pa.array(np.full(len(a), tokens, np.int64)),
-                "base_score": pa.array(np.array(per_row) + np.log10((ends + 0.1) / bottom)), "score": pa.array(score),
+                "doc_id": left["doc_id"], "held_out": pa.array(~chunk.train),
+                "n_tokens": pa.array(n_words + 1), "n_known": pa.array(known + (ends > 0)),
+                "top": pa.array(top), "score": pa.array(chunk.gram_sums(gram)),
             }
         )
 
     return run
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, top double, score double"
 
 
 def _short_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_buffer(), np.int64)), pa.array(np.frombuffer(counts.as_buffer(), np.int64))], ["gram", "n"])
+    """Grams of ``SUFFIX`` symbols and their counts."""
+    for batch in C.small_batches(batches):
+        gram, blocks = _grams(*C.text_buffer(batch.column(0)), SUFFIX - 1)
+        n = np.zeros(len(gram), np.int64)
+        for row, head, at in blocks:
+            n[at] += np.diff(np.append(head, len(row)))
+        yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n)], ["gram", "n"])
 
 
 def lm_scores(docs: DataFrame, train: Column) -> DataFrame:
@@ -295,20 +351,23 @@ def lm_scores(docs: DataFrame, train: Column) -> DataFrame:
     spark = docs.sparkSession
     base = C.ids(docs).withColumn("_train", F.coalesce(train, F.lit(True)))
     chunks, buckets = C.plan_chunks(base, CHUNK_BYTES)
-    base = C.with_chunk(base, chunks)
-    asked = C.cut(base.groupBy("_chunk").applyInArrow(_ask(buckets), _ASKED))
-    short = asked.where("kind = 'short'").select("keys", "counts").mapInArrow(_short_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    short = base.where("_train").select("text").mapInArrow(_short_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     # at most 257**3 grams of three symbols exist, whatever the corpus
     order = np.argsort(short["gram"].to_numpy(np.int64))
     low = _levels(short["gram"].to_numpy(np.int64)[order].astype(np.uint64), short["n"].to_numpy(np.int64)[order], 0, SUFFIX - 1)
     ends = base.where("_train").count()
-    answer = _answer(spark.sparkContext.broadcast(low))
-    by_kind = lambda kind: asked.where(F.col("kind") == kind).groupBy("kind", "bucket").applyInArrow(answer, _ANSWERED)
-    words = C.cut(by_kind("word"))
-    facts = words.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
-    answered = by_kind("gram").unionByName(words)
-    tokens, types = (facts["n"] or 0) + ends, (facts["v"] or 0) + (ends > 0)
-    return base.groupBy("_chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_finish(buckets, tokens, types, ends), _SCORED)
+    # one plan from here on: the texts are dealt once, for the question and for the score
+    by_chunk = C.with_chunk(base, chunks).groupBy("_chunk")
+    asked = by_chunk.applyInArrow(_ask(buckets), _ASKED).groupBy("kind", "bucket")
+    answered = asked.applyInArrow(_answer(spark.sparkContext.broadcast(low)), _ANSWERED)
+    scored = by_chunk.cogroup(answered.groupBy("chunk")).applyInArrow(_finish(buckets, ends), _SCORED)
+    facts = asked.applyInArrow(_word_facts, "tokens long, types long").agg(
+        (F.coalesce(F.sum("tokens"), F.lit(0)) + ends).alias("tokens"), (F.coalesce(F.sum("types"), F.lit(0)) + int(ends > 0)).alias("types")
+    )
+    bottom = F.log10(F.col("tokens") + 0.1 * (F.col("types") + 1))
+    return scored.crossJoin(F.broadcast(facts)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.col("tokens").alias("train_tokens"), (F.col("top") - F.col("n_tokens") * bottom).alias("base_score"), "score"
+    )
 
 
 def held_out(doc_id: str | Column) -> Column:

@@ -1,12 +1,14 @@
 """What the corpus operators leave undone because it can't change a result."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from corroborate.llm import suffix_dedup
+from corroborate.llm import lm_scoring, suffix_dedup
+from corroborate.llm import _common as C
 
 RND = random.Random(29)
 
@@ -86,3 +88,52 @@ def test_random_texts_of_few_letters(monkeypatch):
             texts.append("".join(x))
         chunks = [[(k % 9, x) for k, x in enumerate(texts) if k % 2 == c] for c in range(2)]
         assert removed(chunks, monkeypatch)[0] == brute(chunks)
+
+
+def row_grams(x: bytes) -> list[int]:
+    symbols = [256] * 5 + list(x) + [256]
+    return [sum(v << (9 * (5 - j)) for j, v in enumerate(symbols[k : k + 6])) for k in range(len(x) + 1)]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijklmnopqrstuvwxyz .", "".join(map(chr, range(1, 0x250)))])
+@pytest.mark.parametrize("rows", [0, 1, 7, 2500])
+def test_grams_of_rows_equal_brute_force(letters, rows):
+    texts = [noise(RND.randrange(40), letters) for _ in range(rows)]
+    if rows > 2:
+        texts[1], texts[2] = "", None
+    buf, off = C.text_buffer(pa.array(texts, pa.string()))
+    if rows > 2:
+        buf = buf.copy()
+        buf[3:5] = 255  # not UTF-8, yet not the end mark
+    gram, blocks = lm_scoring._grams(buf, off, 5)
+    want = [Counter(row_grams(buf[a:b].tobytes())) for a, b in zip(off[:-1], off[1:], strict=True)]
+    assert gram.tolist() == sorted(set().union(*want))
+    got = [Counter() for _ in want]
+    for row, head, at in blocks:
+        for r, k in zip(row.tolist(), np.repeat(at, np.diff(np.append(head, len(row)))).tolist(), strict=True):
+            got[r][int(gram[k])] += 1
+    assert got == want
+
+
+def test_every_byte_value_leaves_room_for_the_mark():
+    buf = np.repeat(np.arange(256, dtype=np.uint8), 9)
+    RND.shuffle(buf)
+    off = np.append(np.arange(0, len(buf), 1), len(buf))
+    gram, blocks = lm_scoring._grams(buf, off, 5)
+    assert len(blocks) > 1 and gram.tolist() == sorted({g for b in range(256) for g in row_grams(bytes([b]))})
+    assert sum(len(row) for row, *_ in blocks) == 2 * len(buf)
+
+
+def test_the_second_hash_is_taken_of_different_words_only(monkeypatch):
+    hashed, inner = Counter(), C.slice_hashes
+
+    def slices(buf, starts, ends, which=0):
+        hashed[which] += len(starts)
+        return inner(buf, starts, ends, which)
+
+    monkeypatch.setattr(C, "slice_hashes", slices)
+    table = pa.table({"doc_id": pa.array(range(50)), "text": pa.array(["one two Two three " * 20] * 50), "_train": pa.array([k % 5 > 0 for k in range(50)])})
+    out = lm_scoring._ask(1)((pa.scalar(0),), table)
+    assert hashed == {0: 4000, 1: 3}
+    words = out.filter(pa.compute.equal(out["kind"], "word"))
+    assert sorted((lm_scoring.unpacked(words["counts"][0]) & np.uint64(0xFFFFFFFF)).tolist()) == [800, 800, 1600]
