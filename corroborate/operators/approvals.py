@@ -6,8 +6,8 @@ candidate becomes one more of its references; else it becomes a record itself, w
 
 That order needs no walk through the candidates.  Whatever becomes of a candidate, a record with its key and part stands
 afterwards; so a candidate is new exactly if no record has its key and part and no earlier candidate either, and the
-record that it meets otherwise is the first of these.  The first of each key and of each key and part are reductions, so
-a key of very many candidates is no single task.  Two rules need care.  A candidate without a part is new only if it is
+record that it meets otherwise is the first of these.  Candidates of one turn follow each other by id.  The first of each
+key and of each key and part are reductions, so a key of very many candidates is no single task.  Two rules need care.  A candidate without a part is new only if it is
 the first of its whole key, and then stands as the catch-all part.  One without a sub part is looked up without, but
 stands under a dash: it meets what the first pass has settled, and what it adds is known to the second."""
 
@@ -42,14 +42,14 @@ def _met(candidates: DataFrame, every: DataFrame, own: DataFrame) -> DataFrame:
     """Candidates with ``first``, the earliest event that they may meet, if it is earlier than they are."""
     out = candidates.join(every, _KEY, "left").join(own, [*_KEY, "part"], "left")
     first = F.when(F.col("part").isNull(), F.col("any")).otherwise(F.col("own"))
-    return out.withColumn("first", F.when(first["turn"] < F.col("turn"), first)).drop("any", "own")
+    return out.withColumn("first", F.when(first < F.struct("turn", "ordinal", "id"), first)).drop("any", "own")
 
 
 def outcomes(records: DataFrame, candidates: DataFrame, approved: DataFrame) -> DataFrame:
     """report_id, candidate_id, turn, outcome (new or duplicate) and target (the record met) of each approval that finds its candidate.
 
     records: report_id, ordinal, id and the fields compared; candidates: report_id, candidate_id and the fields; approved:
-    report_id, candidate_id, turn (rising; of several of one candidate the first counts)."""
+    report_id, candidate_id, turn (rising, then by candidate_id; of several of one candidate the first counts)."""
     turns = approved.groupBy("report_id", "candidate_id").agg(F.min("turn").cast("long").alias("turn"))
     asked = candidates.join(turns, ["report_id", "candidate_id"]).withColumns({"id": F.col("candidate_id"), "ordinal": F.lit(0).cast("long")})
     shown = [*_KEY, "part", "turn", "ordinal", "id"]

@@ -116,6 +116,17 @@ def test_approvals_are_records_for_the_next(spark):
     assert A.outcomes(*empty).count() == 0 and A.approve(*empty)[0].count() == 0
 
 
+def test_approvals_of_one_turn_follow_each_other(spark):
+    rng = random.Random(4)
+    pick = lambda *x: rng.choice(x)
+    records = [(1, 0, "R1", "s", "균열", "사면", "-", "", "", None, "G", 1, "review", [1], [(1, "t", None)], None, "e")]
+    candidates = [(r, f"C{k:02}", "s", pick("균열", "누수"), pick("사면", None), pick("도수로", "-", None), "", None, None, "map", "f", 1, f"q{k}") for r in (1, 2) for k in range(60)]
+    approved = [(r, f"C{k:02}", k // 20) for r in (1, 2) for k in range(60)]
+    frames = spark.createDataFrame(records, RECORD), spark.createDataFrame(candidates, CANDIDATE), spark.createDataFrame(approved, "report_id int, candidate_id string, turn int")
+    got = {(r["report_id"], r["candidate_id"]): r["target"] for r in A.outcomes(*frames).collect()}
+    assert got == walked(records, candidates, sorted(approved))
+
+
 def test_the_last_change_is_decided_among_equals(spark):
     records = spark.createDataFrame([(1, "a", False), (1, "b", True)], "report_id int, id string, no_photo boolean")
     changes = spark.createDataFrame([(1, "a", k % 2 == 0, 5) for k in range(40)] + [(1, "b", True, 1), (1, "b", False, 2)], "report_id int, id string, on boolean, at int").repartition(7)
