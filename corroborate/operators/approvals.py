@@ -72,7 +72,7 @@ def approve(records: DataFrame, candidates: DataFrame, approved: DataFrame) -> t
     made = candidates.join(told, ["report_id", "candidate_id"])
     page = F.coalesce("page", F.lit(0)).cast("int")
     ref = F.struct(page.alias("page"), F.col("source_type").alias("type"), F.col("quote").alias("excerpt"))
-    more = made.where("outcome = 'duplicate'").groupBy("report_id", F.col("target").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", ref.alias("r")))), lambda x: x["r"]).alias("_more"))
+    more = made.where("outcome = 'duplicate'").groupBy("report_id", F.col("target").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "candidate_id", ref.alias("r")))), lambda x: x["r"]).alias("_more"))
     filled = lambda c, other: F.coalesce(c, F.lit(other)).alias(c)
     fresh = made.where("outcome = 'new'").select(
         "report_id", F.col("candidate_id").alias("id"), F.col("turn").alias("_turn"), F.lit(D.DASH).alias("group_no"), F.lit(1).alias("group_index"), filled("section", ""), filled("damage_name", ""), filled("part", D.OTHER),

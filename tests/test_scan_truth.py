@@ -192,3 +192,10 @@ def test_a_second_check_keeps_decisions_and_history(spark):
     assert {(r["file"], r["item"], r["result"], r["decision"]) for r in shown} == {("f1", "확인", "일치", "-"), ("f2", "location", "불일치", "12m 확정 (seen)"), ("f2", "repair_method", "불일치", "절취 확정 (수동)")}
     assert R.source_rows(again, M.evidence_rows(again, documents)).where("field = '교차검증'").count() == 2
     assert R.history_rows(spark.createDataFrame([], "report_id int, id string, field string, original string, to string, at string"), M.conflict_rows(again, documents)).count() == 2
+
+
+def test_references_of_one_turn_stand_by_candidate(spark):
+    records = [(1, 0, "R1", "s", "균열", "사면", "-", "", "", None, "G", 1, "review", [1], [(1, "t", None)], None, "e")]
+    candidates = [(1, f"C{k}", "s", "균열", "사면", "-", "", None, None, "map", "f", 9 - k, f"q{k}") for k in range(4)]
+    frames = spark.createDataFrame(records, RECORD), spark.createDataFrame(candidates, CANDIDATE), spark.createDataFrame([(1, f"C{k}", 7) for k in range(4)], "report_id int, candidate_id string, turn int")
+    assert [r["excerpt"] for r in A.approve(*frames)[0].first()["refs"]] == [None, "q0", "q1", "q2", "q3"]
