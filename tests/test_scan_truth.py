@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corroborate.operators import approvals as A
+from corroborate.operators import evaluation as E
 from corroborate.operators import merging as G
 from corroborate.operators import report as R
 from corroborate.operators import scan
@@ -194,6 +195,12 @@ def test_a_second_check_keeps_decisions_and_history(spark):
     assert R.history_rows(spark.createDataFrame([], "report_id int, id string, field string, original string, to string, at string"), M.conflict_rows(again, documents)).count() == 2
 
 
+def test_counters_are_null_where_nothing_is_known(spark):
+    rows = spark.createDataFrame([(1, None), (1, None), (2, "a"), (2, None), (3, "b")], "report_id int, result string")
+    got = {r["report_id"]: (r["total"], r["a"], r["none"]) for r in E.counters(rows, ["report_id"], {"a": F.col("result") == "a", "none": F.col("result").isNull()}).collect()}
+    assert got == {1: (2, None, 2), 2: (2, 1, 1), 3: (1, 0, 0)}
+
+
 def test_references_of_one_turn_stand_by_candidate(spark):
     records = [(1, 0, "R1", "s", "균열", "사면", "-", "", "", None, "G", 1, "review", [1], [(1, "t", None)], None, "e")]
     candidates = [(1, f"C{k}", "s", "균열", "사면", "-", "", None, None, "map", "f", 9 - k, f"q{k}") for k in range(4)]
