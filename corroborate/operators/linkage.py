@@ -43,8 +43,11 @@ def score(signals: dict[str, tuple[Column, int]]) -> tuple[Column, Column]:
 
 
 def link(left: DataFrame, right: DataFrame, on: Column, signals: dict[str, tuple[Column, int]], conflict: Column, best: int, sure: float = 0.9, maybe: float = 0.7) -> DataFrame:
-    """Pairs that meet ``on`` with score, reasons, confidence, conflict and status; score 0 is dropped."""
+    """Pairs that meet ``on`` with score, reasons, confidence, conflict and status; score 0 is dropped.
+
+    The left rows are dealt to all tasks first: pairs are many more than rows, and a small file is read by one task."""
     total, why = score(signals)
+    left = left.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *left.columns)
     pairs = left.join(right, on).withColumns({"score": F.least(total, F.lit(best)), "reasons": why, "conflict": F.coalesce(conflict, F.lit(False))})
     pairs = pairs.where("score > 0").withColumn("confidence", F.col("score") / F.lit(float(best)))
     status = F.when((F.col("confidence") >= sure) & ~F.col("conflict"), "confirmed").when((F.col("confidence") >= maybe) | F.col("conflict"), "review").otherwise("unmatched")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corroborate.operators import approvals as A
 from corroborate.operators import evaluation as E
+from corroborate.operators import linkage as L
 from corroborate.operators import merging as G
 from corroborate.operators import report as R
 from corroborate.operators import scan
@@ -206,3 +207,9 @@ def test_references_of_one_turn_stand_by_candidate(spark):
     candidates = [(1, f"C{k}", "s", "균열", "사면", "-", "", None, None, "map", "f", 9 - k, f"q{k}") for k in range(4)]
     frames = spark.createDataFrame(records, RECORD), spark.createDataFrame(candidates, CANDIDATE), spark.createDataFrame([(1, f"C{k}", 7) for k in range(4)], "report_id int, candidate_id string, turn int")
     assert [r["excerpt"] for r in A.approve(*frames)[0].first()["refs"]] == [None, "q0", "q1", "q2", "q3"]
+
+
+def test_linked_rows_are_dealt_to_all_tasks(spark):
+    rows = spark.range(0, 1000, 1, 1)
+    pairs = L.link(rows.select(F.col("id").alias("a")), rows.select(F.col("id").alias("b")), F.col("a") % 5 == F.col("b") % 5, {"x": (F.col("a") == F.col("b"), 10)}, F.lit(False), 10)
+    assert pairs.count() == 1000 and pairs.rdd.getNumPartitions() > 1
