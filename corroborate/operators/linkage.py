@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +62,30 @@ def top_k(pairs: DataFrame, by: list[str], order: list[Column], k: int) -> DataF
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def top_linked(left: DataFrame, right: DataFrame, on: Column, signals: dict[str, tuple[Column, int]], conflict: Column, best: int, by: list[str], order: list[Column], k: int, steps: list[list[tuple[str, ...]]]) -> DataFrame:
+    """``top_k`` of ``link`` by falling score, then ``order``, without looking at every pair.
+
+    A step is a list of sets of signals that are equalities: only pairs in which all signals of one of its sets hold are
+    looked at.  Any other pair lacks a signal of each set, which bounds its score; a left row (``by``) with k pairs above
+    that bound has its k best, and only the others go into the next step, in the end over all pairs.  Weights are not
+    negative."""
+    ranking, kept, rest = [F.desc("score"), *order], [], left
+    for sets in steps:
+        found, seen = [], F.lit(False)
+        for names in sets:
+            holds = reduce(and_, [signals[n][0] for n in names])
+            found.append(link(rest, right, on & holds & ~seen, signals, conflict, best))
+            seen = seen | F.coalesce(holds, F.lit(False))
+        least = min(sum(signals[n][1] for n in set(lacking)) for lacking in product(*sets))
+        bound = min(best, sum(w for _, w in signals.values()) - least)
+        ranked = top_k(reduce(DataFrame.unionByName, found).where(F.col("score") > bound), by, ranking, k)
+        sure = ranked.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).where(F.col("_n") == k).drop("_n")
+        kept.append(sure)
+        done = sure.where(F.col("rank") == k).select(*[F.col(c).alias(f"_{c}") for c in by])
+        rest = rest.join(done, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]), "left_anti")
+    return reduce(DataFrame.unionByName, [*kept, top_k(link(rest, right, on, signals, conflict, best), by, ranking, k)])
+
+
 def one_to_one(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Greedy 1:1 match on equal keys: the n-th of either side with the n-th of the other; side is matched, missed or extra.
 

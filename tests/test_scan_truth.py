@@ -209,6 +209,24 @@ def test_references_of_one_turn_stand_by_candidate(spark):
     assert [r["excerpt"] for r in A.approve(*frames)[0].first()["refs"]] == [None, "q0", "q1", "q2", "q3"]
 
 
+def _linked(spark, rng, n, m):
+    """Rows with keys, values that tie, nulls and no partner, and what ``link`` takes."""
+    pick = lambda k: rng.choice([None, *range(k)])
+    a = spark.createDataFrame([(k, k % 40, rng.randrange(3), pick(3), float(rng.randrange(60))) for k in range(n)], "a int, a_no int, a_on int, a_kind int, a_x double")
+    b = spark.createDataFrame([(k, k % 40, rng.randrange(3), pick(3), float(rng.randrange(60))) for k in range(m)], "b int, b_no int, b_on int, b_kind int, b_x double")
+    near, kind, no = F.abs(F.col("a_x") - F.col("b_x")) <= 5, F.col("a_kind") == F.col("b_kind"), F.col("a_no") == F.col("b_no")
+    return a, b, F.col("a_on") == F.col("b_on"), {"no": (no, 30), "near": (near, 20), "kind": (kind, 15), "band": (F.col("a_no") % 5 == F.col("b_no") % 5, 10)}, no & ~near, 75
+
+
+def test_the_best_links_need_not_all_pairs(spark):
+    steps = [[("no", "kind")], [("no",)], [("no",), ("kind", "band")]]
+    for n, m in ((50, 600), (50, 60), (20, 3), (0, 5), (5, 0)):
+        linked = _linked(spark, random.Random(n + m), n, m)
+        order = [F.desc("score"), F.asc("b")]
+        want = sorted(map(tuple, L.top_k(L.link(*linked), ["a"], order, 5).select("a", "b", "score", "rank").collect()))
+        assert sorted(map(tuple, L.top_linked(*linked, ["a"], order[1:], 5, steps).select("a", "b", "score", "rank").collect())) == want, (n, m)
+
+
 def test_linked_rows_are_dealt_to_all_tasks(spark):
     rows = spark.range(0, 1000, 1, 1)
     pairs = L.link(rows.select(F.col("id").alias("a")), rows.select(F.col("id").alias("b")), F.col("a") % 5 == F.col("b") % 5, {"x": (F.col("a") == F.col("b"), 10)}, F.lit(False), 10)
