@@ -86,6 +86,23 @@ def top_linked(left: DataFrame, right: DataFrame, on: Column, signals: dict[str,
     return reduce(DataFrame.unionByName, [*kept, top_k(link(rest, right, on, signals, conflict, best), by, ranking, k)])
 
 
+def near_and_far(left: DataFrame, right: DataFrame, keys: list[str], value: str, reach: float) -> DataFrame:
+    """Left rows with ``near`` and ``far``: whether a right row of equal ``keys`` has a ``value`` within ``reach``, and one beyond it.
+
+    Either side has the keys and the value; rows without one of them meet nothing.  No pair is built: what lies beyond is
+    told by the least and greatest value of the keys, what lies within by those of the value's own and the two blocks of
+    ``reach`` on either side, a few values for each key and block."""
+    given = right.where(reduce(and_, [F.col(c).isNotNull() for c in (*keys, value)]))
+    ends = given.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    blocks = given.groupBy(*keys, F.rint(F.col(value) / reach).alias("_b")).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    seen = blocks.select(*keys, F.explode(F.array(*[F.col("_b") + i for i in range(-2, 3)])).alias("_b"), "_lo", "_hi")
+    seen = seen.groupBy(*keys, "_b").agg(F.array_union(F.collect_set("_lo"), F.collect_set("_hi")).alias("_near"))
+    out = left.withColumn("_b", F.rint(F.col(value) / reach)).join(seen, [*keys, "_b"], "left").join(ends, keys, "left")
+    within = lambda x: F.abs(F.col(value) - x) <= reach
+    far = ~within(F.col("_lo")) | ~within(F.col("_hi"))
+    return out.withColumns({"near": F.coalesce(F.exists("_near", within), F.lit(False)), "far": F.coalesce(far, F.lit(False))}).drop("_b", "_near", "_lo", "_hi")
+
+
 def one_to_one(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Greedy 1:1 match on equal keys: the n-th of either side with the n-th of the other; side is matched, missed or extra.
 

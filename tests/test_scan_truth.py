@@ -227,6 +227,16 @@ def test_the_best_links_need_not_all_pairs(spark):
         assert sorted(map(tuple, L.top_linked(*linked, ["a"], order[1:], 5, steps).select("a", "b", "score", "rank").collect())) == want, (n, m)
 
 
+def test_near_and_far_are_told_without_pairs(spark):
+    rng, reach, nan = random.Random(5), 0.1, float("nan")
+    number = lambda: rng.choice([None, nan, float("inf"), 0.0, 1e300, *[rng.randrange(40) / 10 + d for d in (0, 1e-16, 0.05)] * 3])
+    left, right = ([(k, rng.choice([None, 1, 2, 3, 4]), number()) for k in range(n)] for n in (300, 60))
+    got = {r["i"]: (r["near"], r["far"]) for r in L.near_and_far(*[spark.createDataFrame(x, "i int, k int, v double") for x in (left, right)], ["k"], "v", reach).collect()}
+    for i, k, v in left:
+        holds = [abs(v - x) <= reach for _, q, x in right if k is not None and q == k and v is not None and x is not None]
+        assert got[i] == (any(holds), not all(holds)), (i, k, v)
+
+
 def test_linked_rows_are_dealt_to_all_tasks(spark):
     rows = spark.range(0, 1000, 1, 1)
     pairs = L.link(rows.select(F.col("id").alias("a")), rows.select(F.col("id").alias("b")), F.col("a") % 5 == F.col("b") % 5, {"x": (F.col("a") == F.col("b"), 10)}, F.lit(False), 10)
