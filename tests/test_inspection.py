@@ -222,3 +222,15 @@ def test_a_stream_counts_what_a_table_counts(spark, tmp_path):
     counted.awaitTermination()
     want = {tuple(r) for r in V.windowed_counts(spark.read.parquet(str(tmp_path / "out")), "ts", "c", "1 hour").collect()}
     assert want == {tuple(r) for r in spark.table("counted").collect()} and len(want) > 9
+
+
+def test_cross_checking_deals_thin_rows_by_report(spark):
+    """Texts are not held in the pairs, repeats and reports without candidates keep their rows, and what is sorted is sorted once."""
+    full = ("s", "균열", "사면", "도수로", "10m", "표면처리", "3m", "1")
+    records = [record("1"), record("1"), record("2", "77m", sub_part="-", damage_name="x"), record("3", sub_part="-", damage_name="", repair_method=" "), (2, *record("4")[1:]), (None, *record("5")[1:])]
+    evidence = [(1, 1, 1, "t", *full)] * 2 + [(1, 2, 1, "t", *full[:3], "소단측구", *full[4:7], None), (1, 3, 5, "t", None, None, None, "-", None, None, None, None), (3, 1, 1, "t", *full)]
+    frames = spark.createDataFrame(records, RECORD), spark.createDataFrame(evidence, EVIDENCE)
+    got = sorted((r["id"], r["cv_result"], r["n_evidence"], tuple(r["filled"]), len(r["cv_evidence"])) for r in M.cross_check(*frames).collect())
+    assert got == [("1", "matched", 2, ("quantity", "repair_method"), 2)] * 2 + [("2", "missingInAdditional", 0, (), 0), ("3", "missingInAdditional", 0, (), 0), ("4", "unsupported", 0, (), 0), ("5", "unsupported", 0, (), 0)]
+    plan = M._winners(*frames)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 3 and plan.count("Exchange hashpartitioning") == 2 and "Aggregate" not in plan
